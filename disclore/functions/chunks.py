@@ -33,28 +33,32 @@ def token_chunks(t: Column, most: int, whole_up_to: int = 0) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= whole_up_to, F.array(F.array_join(tokens, " "))).otherwise(runs)
 
 
-def semantic_chunks(t: Column, percentile: float = 0.95, overlap_of=None) -> Column:
-    """Sentences joined until neighbours differ more than all but the given share of neighbours do (STR17).
+def semantic_chunks(df: DataFrame, *keys: str, text: str = "text", percentile: float = 0.95, likeness=None) -> DataFrame:
+    """keys, chunk_id, text: sentences joined until neighbours differ more than all but the given share of neighbours do (STR17).
 
-    ``overlap_of(a, b)`` is the similarity of two sentences; by default the cosine of their word sets.
+    ``likeness(a, b)`` is the similarity of two sentences; by default the cosine of their word sets. Each
+    step is a column of its own, so that no step is computed again for every sentence.
     """
     def cosine(a: Column, b: Column) -> Column:
         x, y = F.array_distinct(F.split(F.lower(a), r"(?U)\W+")), F.array_distinct(F.split(F.lower(b), r"(?U)\W+"))
         return F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))
 
-    like = overlap_of or cosine
-    sentences = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+|\n+"), strip), lambda x: x != "")
-    n = F.size(sentences)
-    gaps = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: 1 - like(F.get(sentences, i - 1), F.get(sentences, i)))).otherwise(F.array().cast("array<double>"))
-    cut = F.get(F.array_sort(gaps), F.floor(percentile * (F.size(gaps) - 1)).cast("int"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("i"))
+    like = likeness or cosine
+    d = df.select(*keys, F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), strip), lambda x: x != "").alias("_s"))
+    d = d.select(*keys, F.posexplode("_s").alias("_i", "_a"), F.col("_s"))
+    d = d.select(*keys, "_i", "_a", F.when(F.col("_i") > 0, 1 - like(F.get("_s", F.col("_i") - 1), F.col("_a"))).alias("_g"))
+    d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_a", "_g"))).alias("_p"))
+    gaps = F.array_sort(F.filter(F.transform("_p", lambda x: x["_g"]), lambda g: g.isNotNull()))
+    d = d.select(*keys, "_p", gaps.alias("_gs")).select(*keys, "_p", F.get("_gs", F.floor(percentile * (F.size("_gs") - 1)).cast("int")).alias("_cut"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def add(acc: Column, s: Column) -> Column:
-        broken = (acc["i"] > 0) & (F.get(gaps, acc["i"] - 1) > cut)
-        now = F.when(acc["now"] == "", s).otherwise(F.concat(acc["now"], F.lit(" "), s))
-        return F.struct(F.when(broken, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(broken, s).otherwise(now).alias("now"), (acc["i"] + 1).alias("i"))
+    def add(acc: Column, x: Column) -> Column:
+        broken = F.coalesce(x["_g"] > F.col("_cut"), F.lit(False))
+        now = F.when(acc["now"] == "", x["_a"]).otherwise(F.concat(acc["now"], F.lit(" "), x["_a"]))
+        return F.struct(F.when(broken, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(broken, x["_a"]).otherwise(now).alias("now"))
 
-    return F.aggregate(sentences, start, add, lambda a: F.when(a["now"] != "", F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    folded = F.aggregate("_p", start, add, lambda a: F.when(a["now"] != "", F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    return d.select(*keys, F.posexplode(folded).alias("chunk_id", "text"))
 
 
 def exploded(df: DataFrame, chunks: Column, *keys: str) -> DataFrame:

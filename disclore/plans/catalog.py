@@ -300,7 +300,7 @@ def pool_mean(spark, d):
     return _rounded_vector(pooling.mean_vectors(_vec(_Tables(spark, d)), ["cluster"]), "cluster")
 
 
-@query("""WITH v AS (SELECT vec_id % 50 AS doc_id, vec_id // 50 AS chunk_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+@query("""WITH v AS (SELECT vec_id % 50 AS doc_id, vec_id // 50 AS chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
   s AS (SELECT a.doc_id, a.chunk_id, any_value(a.e) AS e, sum(list_distance(a.e, b.e)) AS s FROM v a JOIN v b USING (doc_id) GROUP BY 1, 2),
   m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9), chunk_id) AS k FROM s)
   SELECT doc_id, i - 1 AS pos, round(e[i], 6) AS x FROM m, range(1, 65) r(i) WHERE k = 1""")
@@ -319,7 +319,7 @@ def tfidf_chunk_weights(spark, d):
 
 
 @query("""SELECT vec_id, CASE WHEN len(v) = 0 THEN -1 ELSE (SELECT x FROM (SELECT x, count(*) AS n FROM unnest(v) u(x) GROUP BY x) ORDER BY n DESC, x LIMIT 1) END AS vote FROM
-  (SELECT vec_id, list_filter([CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END, (vec_id % 5)::INTEGER, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE (vec_id % 4)::INTEGER END], x -> x >= 0) AS v FROM embeddings)""")
+  (SELECT vec_id, list_filter([CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END, (vec_id % 5)::INTEGER, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE (vec_id % 4)::INTEGER END], lambda x: x >= 0) AS v FROM embeddings)""")
 def vote3(spark, d):
     e = _Tables(spark, d).embeddings.select("vec_id", F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("label")).alias("a"), (F.col("vec_id") % 5).alias("b"), F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("vec_id") % 4).alias("c"))
     return fusion.vote(e, ["a", "b", "c"]).select("vec_id", "vote")
@@ -361,7 +361,7 @@ def pdf_statistics(spark, d):
 # -- windows, samples, orders ---------------------------------------------------------------------------------------
 
 _DIST = """c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), cc AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY 1),
-  d AS (SELECT vec_id, label AS cluster, round({f}(list_transform(embedding, x -> x::DOUBLE), m), 9) AS dist FROM embeddings JOIN cc USING (label)),
+  d AS (SELECT vec_id, label AS cluster, round({f}(list_transform(embedding, lambda x: x::DOUBLE), m), 9) AS dist FROM embeddings JOIN cc USING (label)),
   p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, vec_id::VARCHAR) - 1 AS r, count(*) OVER (PARTITION BY cluster) AS n FROM d)"""
 
 
@@ -419,12 +419,12 @@ def clean_text(spark, d):
 
 @query("""WITH a AS (SELECT doc_id, CASE WHEN instr(text, 'the') > 0 THEN substr(text, instr(text, 'the')) ELSE text END AS t FROM documents),
   b AS (SELECT doc_id, t, CASE WHEN instr(t, 'Licensed under') > 0 THEN instr(t, 'Licensed under') WHEN instr(t, 'token = ') > 0 THEN instr(t, 'token = ') WHEN instr(t, 'with') > 0 THEN instr(t, 'with') END AS e FROM a)
-  SELECT doc_id, array_to_string(list_filter(list_transform(string_split(CASE WHEN e IS NULL THEN t ELSE substr(t, 1, e - 1) END, chr(10)), x -> trim(x)), x -> x <> ''), chr(10)) AS text FROM b""")
+  SELECT doc_id, array_to_string(list_filter(list_transform(string_split(CASE WHEN e IS NULL THEN t ELSE substr(t, 1, e - 1) END, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM b""")
 def trim_markers(spark, d):
     return _Tables(spark, d).documents.select("doc_id", text.trim_report(F.col("text"), "the", ("Licensed under", "token = ", "with")).alias("text"))
 
 
-@query("SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), x -> trim(x)), x -> x <> '')[1], '') AS first_line FROM documents")
+@query("SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS first_line FROM documents")
 def first_line(spark, d):
     return _Tables(spark, d).documents.select("doc_id", text.first_line(F.col("text")).alias("first_line"))
 
@@ -470,7 +470,7 @@ def html_to_text(spark, d):
     return _Tables(spark, d).pages.select("page_id", html.html_text(F.col("html")).alias("text"))
 
 
-@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_sql_entities(_DROP)}, chr(10)), x -> trim(x)), x -> x <> ''), chr(10)) AS text FROM pages")
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_sql_entities(_DROP)}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def html_body_text(spark, d):
     return _Tables(spark, d).pages.select("page_id", html.html_body(F.col("html")).alias("text"))
 
@@ -490,7 +490,7 @@ def paragraph_chunks(spark, d):
     return ch.exploded(_Tables(spark, d).documents, ch.paragraph_chunks(F.col("text"), 1000), "doc_id")
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents), u AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 200 THEN [0] ELSE range(0, len(w), 100) END) AS i FROM t WHERE len(w) > 0)
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 200 THEN [0] ELSE range(0, len(w), 100) END) AS i FROM t WHERE len(w) > 0)
   SELECT doc_id, i // 100 AS chunk_id, array_to_string(CASE WHEN len(w) <= 200 THEN w ELSE w[i + 1:i + 100] END, ' ') AS text FROM u""")
 def token_chunks(spark, d):
     return ch.exploded(_Tables(spark, d).documents, ch.token_chunks(F.col("text"), 100, 200), "doc_id")
@@ -498,7 +498,7 @@ def token_chunks(spark, d):
 
 @query()
 def semantic_chunks(spark, d):
-    return ch.exploded(_Tables(spark, d).documents, ch.semantic_chunks(F.col("text")), "doc_id")
+    return ch.semantic_chunks(_Tables(spark, d).documents, "doc_id")
 
 
 _SYMBOLS = ["ת076", "ת094", "ת081", "ת126", "ת100", "ד125", "ת089", "א121", "ת121", "ת053", "ת999", None, ""]
@@ -545,19 +545,19 @@ def reply_parser(spark, d):
 # -- vectors and clusterings ----------------------------------------------------------------------------------------
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v) SELECT vec_id, i - 1 AS pos, round(e[i] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM n, range(1, 65) r(i)""")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id, i - 1 AS pos, round(e[i] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM n, range(1, 65) r(i)""")
 def l2_normalize(spark, d):
     return _rounded_vector(clustering.normalised(_vec(_Tables(spark, d))), "vec_id")
 
 
-@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), dd AS (SELECT a.vec_id, a.label AS l, b.label AS m, sum(list_cosine_distance(a.e, b.e)) AS s, count(*) AS n FROM v a, v b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), dd AS (SELECT a.vec_id, a.label AS l, b.label AS m, sum(list_cosine_distance(a.e, b.e)) AS s, count(*) AS n FROM v a, v b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
   ab AS (SELECT vec_id, max(CASE WHEN l = m THEN s / n END) AS a, min(CASE WHEN l <> m THEN s / n END) AS b FROM dd GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab""")
 def silhouette(spark, d):
     return evaluation.cosine_silhouette(_vec(_Tables(spark, d)), "cluster").select(_r("silhouette").alias("silhouette"))
 
 
 @query("""WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), cc AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY 1),
-  s AS (SELECT label, any_value(m) AS m, avg(list_distance(list_transform(embedding, x -> x::DOUBLE), m)) AS s FROM embeddings JOIN cc USING (label) GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT a.label, max((a.s + b.s) / list_distance(a.m, b.m)) AS r FROM s a, s b WHERE a.label <> b.label GROUP BY 1)""")
+  s AS (SELECT label, any_value(m) AS m, avg(list_distance(list_transform(embedding, lambda x: x::DOUBLE), m)) AS s FROM embeddings JOIN cc USING (label) GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT a.label, max((a.s + b.s) / list_distance(a.m, b.m)) AS r FROM s a, s b WHERE a.label <> b.label GROUP BY 1)""")
 def davies_bouldin(spark, d):
     return evaluation.davies_bouldin(_vec(_Tables(spark, d)), "cluster").select(_r("davies_bouldin").alias("davies_bouldin"))
 

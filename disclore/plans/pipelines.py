@@ -23,7 +23,7 @@ def chunked(pages: DataFrame, fixed: bool = True, size: int = 1500, stride: int
     p = pages.withColumn("_f", form_fields("html"))
     text = combined(trim_report(html_text(F.col("html"))), F.col("_f.table_text"), narrative(F.col("html")))
     p = p.select("doc_id", strip_points(text).alias("text")).where("text <> ''")
-    return exploded(p, char_chunks(F.col("text"), size, stride) if fixed else semantic_chunks(F.col("text")), "doc_id")
+    return exploded(p, char_chunks(F.col("text"), size, stride), "doc_id") if fixed else semantic_chunks(p, "doc_id")
 
 
 def clustered_corpus(pages: DataFrame, clusters: int = 20, dims: int = 50, per_region: int = 4, models: dict | None = None) -> dict[str, DataFrame]:
