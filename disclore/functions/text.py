@@ -120,7 +120,7 @@ def strip_fence(t: Column) -> Column:
 
 def escape_inner_quotes(t: Column) -> Column:
     """A quotation mark between Hebrew letters gets a backslash (STR12)."""
-    return F.regexp_replace(t, '(?<=[֐-׿])"(?=[֐-׿])', '\\\\\\\\"')
+    return F.regexp_replace(t, '(?<=[֐-׿])"(?=[֐-׿])', '\\\\"')
 
 
 def excerpt(t: Column, most: int = 500) -> Column:
