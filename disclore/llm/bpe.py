@@ -8,7 +8,7 @@ many words share is encoded once. A word's ids are read off by walking the links
 
 The vocabulary is a ``tokenizers`` JSON file of the word-end kind: NFC, lower case, a split by pattern,
 byte-level symbols, a suffix on each word's last symbol. Its path is a parameter and the file is read on
-the executors. Tries and word caches live in the Python worker and are bounded; they start anew when full.
+the executors. Tries and caches of runs between blanks live in the Python worker and are bounded; they start anew when full.
 """
 
 from __future__ import annotations
@@ -19,16 +19,18 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_NODES = 600_000
-MAX_WORDS = 300_000
+MAX_NODES = 800_000
+MAX_WORDS = 500_000
 PIECE_CHARS = 1 << 20
 _BREAK = re.compile(r"[ \n]")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -78,7 +80,7 @@ class WordTrieBpe:
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        #: the words' ids, and those of the generation before: words in use move on, the rest go
+        #: ids of runs between blanks, and those of the generation before: runs in use move on, the rest go
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self._reset()
@@ -153,44 +155,56 @@ class WordTrieBpe:
         return ok
 
     # -- the trie -------------------------------------------------------------------------------------------
-    def insert(self, words: list[str]) -> None:
-        """Add distinct words in sorted order, that is depth first, and fill the states of new nodes."""
+    def insert(self, runs: list[str]) -> None:
+        """Add distinct runs of text without blanks, in sorted order, so that their words go down the trie depth
+        first; new nodes get their states, and the cache each run's ids."""
         child, last, start, vocab, suffix, longest = self.child, self.last, self.start, self.vocab, self.suffix, self.longest
         table, cache, pairs, follows = self.symbols, self.cache, self._pairs, self.follows
-        for word in words:
-            s = "".join([table[b] for b in word.encode("utf-8")])
-            path, node, n = [0], 0, len(s)
-            for d in range(1, n + 1):
-                end = d == n
-                key = node << 10 | ord(s[d - 1]) << 1 | end
-                to = child.get(key)
-                if to is None:
-                    to = child[key] = len(last)
-                    near = start[node]  # the last token mostly extends the parent's, or is a shorter one
-                    for k in (*range(near, d), *range(near - 1, max(0, d - longest) - 1, -1)):
-                        token = vocab.get(s[k:d] + suffix if end else s[k:d])
-                        if token is None:
-                            continue
-                        if k:
-                            before = last[path[k]]
-                            ok = pairs.get(before << 32 | token)
-                            if follows(before, token) if ok is None else ok:
+        older = self.older
+        for run in runs:
+            if run in cache:  # as a word of a run before
+                continue
+            parts = []
+            for word in (run,) if run.isalpha() else self.words(run):
+                known = cache.get(word) or older.get(word)
+                if known is not None:
+                    parts.append(known)
+                    continue
+                s = word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode("utf-8")])
+                path, node, n = [0], 0, len(s)
+                for d in range(1, n + 1):
+                    end = d == n
+                    key = node << 10 | ord(s[d - 1]) << 1 | end
+                    to = child.get(key)
+                    if to is None:
+                        to = child[key] = len(last)
+                        near = start[node]  # the last token mostly extends the parent's, or is a shorter one
+                        for k in chain((near,), range(d - 1, near, -1), range(near - 1, max(0, d - longest) - 1, -1)):
+                            token = vocab.get(s[k:d] + suffix if end else s[k:d])
+                            if token is None:
+                                continue
+                            if k:
+                                before = last[path[k]]
+                                ok = pairs.get(before << 32 | token)
+                                if follows(before, token) if ok is None else ok:
+                                    break
+                            elif self.whole(token):
                                 break
-                        elif self.whole(token):
-                            break
-                    else:
-                        raise ValueError(f"no encoding of {s[:d]!r}")
-                    last.append(token)
-                    start.append(k)
-                node = to
-                path.append(node)
-            ids, d = [], n
-            while d:
-                node = path[d]
-                ids.append(last[node])
-                d = start[node]
-            ids.reverse()
-            cache[word] = array("I", ids).tobytes()
+                        else:
+                            raise ValueError(f"no encoding of {s[:d]!r}")
+                        last.append(token)
+                        start.append(k)
+                    node = to
+                    path.append(node)
+                ids, d = [], n
+                while d:
+                    node = path[d]
+                    ids.append(last[node])
+                    d = start[node]
+                ids.reverse()
+                known = cache[word] = array("I", ids).tobytes()
+                parts.append(known)
+            cache[run] = b"".join(parts)
 
     # -- texts ----------------------------------------------------------------------------------------------
     def _plain(self, text: str) -> list[bytes]:
@@ -204,9 +218,11 @@ class WordTrieBpe:
             at = to
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final sigma: characters are lowered one by one
-            words = self.words(piece.lower())
+            piece = piece.lower()
+            # no word of the pattern spans a blank; U+001C..1F are blanks to split(), not to the pattern
+            words = self.words(piece) if _SEPARATORS.search(piece) else piece.split()
             cache = self.cache
-            new = {w for w in set(words) if w not in cache}
+            new = set(words).difference(cache)
             if new:
                 if len(cache) > MAX_WORDS:
                     self.older, self.cache = cache, {}

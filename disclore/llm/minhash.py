@@ -32,7 +32,7 @@ from .graph import components
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
-MAX_WORDS = 1_000_000
+MAX_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
 
 
