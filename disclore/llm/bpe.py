@@ -30,7 +30,7 @@ MAX_NODES = 800_000
 MAX_WORDS = 500_000
 PIECE_CHARS = 1 << 20
 _BREAK = re.compile(r"[ \n]")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_symbols() -> list[str]:
@@ -172,15 +172,14 @@ class WordTrieBpe:
                     continue
                 s = word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode("utf-8")])
                 path, node, n = [0], 0, len(s)
-                for d in range(1, n + 1):
-                    end = d == n
-                    key = node << 10 | ord(s[d - 1]) << 1 | end
+                for d in range(1, n):
+                    key = node << 9 | ord(s[d - 1])
                     to = child.get(key)
                     if to is None:
                         to = child[key] = len(last)
                         near = start[node]  # the last token mostly extends the parent's, or is a shorter one
                         for k in chain((near,), range(d - 1, near, -1), range(near - 1, max(0, d - longest) - 1, -1)):
-                            token = vocab.get(s[k:d] + suffix if end else s[k:d])
+                            token = vocab.get(s[k:d])
                             if token is None:
                                 continue
                             if k:
@@ -196,7 +195,22 @@ class WordTrieBpe:
                         start.append(k)
                     node = to
                     path.append(node)
-                ids, d = [], n
+                # the leaf, with the word-end suffix; a word comes here once, so it need not be kept
+                near = start[node]
+                for k in chain((near,), range(n - 1, near, -1), range(near - 1, max(0, n - longest) - 1, -1)):
+                    token = vocab.get(s[k:] + suffix)
+                    if token is None:
+                        continue
+                    if k:
+                        before = last[path[k]]
+                        ok = pairs.get(before << 32 | token)
+                        if follows(before, token) if ok is None else ok:
+                            break
+                    elif self.whole(token):
+                        break
+                else:
+                    raise ValueError(f"no encoding of {s!r}")
+                ids, d = [token], k
                 while d:
                     node = path[d]
                     ids.append(last[node])
@@ -220,7 +234,7 @@ class WordTrieBpe:
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final sigma: characters are lowered one by one
             piece = piece.lower()
             # no word of the pattern spans a blank; U+001C..1F are blanks to split(), not to the pattern
-            words = self.words(piece) if _SEPARATORS.search(piece) else piece.split()
+            words = self.words(piece) if any(x in piece for x in _SEPARATORS) else piece.split()
             cache = self.cache
             new = set(words).difference(cache)
             if new:

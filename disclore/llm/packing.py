@@ -55,12 +55,16 @@ class SumOfSquares:
     def choose(self, size: int) -> int:
         """The level to place ``size`` tokens on: 0 for a new window. Ties go to the fullest level."""
         n, w = self.levels, self.window
-        # moving a window from h to h+size changes the sum of squares by 2*(N[h+size]-N[h]+1); one that fills up leaves the count
-        cost = 2 * (n[size:w] - n[: w - size] + 1)
-        cost[0] = 2 * n[size] + 1
-        cost[1:][n[1 : w - size] == 0] = 1 << 40
-        best = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        if n[w - size] and 1 - 2 * n[w - size] <= cost[best]:
+        # moving a window from h to h+size changes the sum of squares by 2*(N[h+size]-N[h]+1), a new one by 2*N[size]+1,
+        # one that fills up by 1-2*N[h]
+        best, least = 0, 2 * int(n[size]) + 1
+        at = np.flatnonzero(n[1 : w - size]) + 1
+        if len(at):
+            cost = n[at + size] - n[at]
+            k = len(cost) - 1 - int(np.argmin(cost[::-1]))
+            if 2 * (int(cost[k]) + 1) <= least:
+                best, least = int(at[k]), 2 * (int(cost[k]) + 1)
+        if n[w - size] and 1 - 2 * int(n[w - size]) <= least:
             return w - size
         return best
 
