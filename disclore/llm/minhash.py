@@ -8,7 +8,8 @@
    others, so the number of pairs is bounded by the number of rows, not by squares of bucket sizes.
 4. Candidates are confirmed on the full sets of shingles, made again from the texts of the candidates alone.
 5. A star can miss a pair whose members both differ from the centre. Where a bucket's members are still not
-   in one component after the stars, the members outside its largest component are compared with the rest.
+   in one component after the stars, they meet the members of all such buckets they share, in blocks of
+   bounded size: a task compares the full sets of two blocks and returns a forest of links, never pairs.
 6. Links give components; the least document id of each names it.
 
 Nothing of the corpus is collected. Recall is that of the bands: with 50 bands of 7 slots a pair at
@@ -21,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 _S30, _S27, _S31, _S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
 MAX_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
+#: Sets that meet as one side of a task where buckets are ambiguous.
+BLOCK = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,6 +155,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def _links_between(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the sets of two blocks (or within one), as a forest over what is not yet in one component."""
+    frame = frame.sort_values(["side", "rid"], ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in frame["s"]]
+    size = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    row, keep = np.repeat(np.arange(len(sets)), size), shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    side = frame["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        common += has[left] @ has[right].T
+    root, rid = frame["root"].to_numpy(), frame["rid"].to_numpy()
+    linked = (100 * common >= percent * (size[left][:, None] + size[right][None] - common)) & (root[left][:, None] != root[right][None])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    edges = []
+    for i, j in zip(*np.nonzero(linked)):
+        i, j = left[i], right[j]
+        x, y = find(root[i]), find(root[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            edges.append((rid[i], rid[j]))
+    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 50, rows: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -203,18 +247,28 @@ def class_components(src: DataFrame, classes: DataFrame, width: int, percent: in
     placed = written(placed, "placed")
     sizes = placed.groupBy("key", "root").count()
     open_keys = written(sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("top")), "open")
-    here = written(placed.join(open_keys, "key").select("key", "rid", "root", (F.col("root") == F.col("top")).alias("main")).join(classes.select("rid", "size"), "rid"), "ambiguous")
-    x = here.where("not main").select("key", F.col("rid").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"))
-    y = here.select("key", F.col("rid").alias("y"), F.col("root").alias("ry"), F.col("size").alias("ny"), "main")
-    more = x.join(y, "key").where("rx <> ry and (main or x < y)").where(f"least(nx, ny) * 100 >= greatest(nx, ny) * {percent}")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    for t in (placed, open_keys, here, members):
+    here = written(placed.join(open_keys, "key").select("key", "rid", "root"), "ambiguous")
+    for t in (placed, open_keys, members):
+        discard(t)
+    if is_empty(here):
+        discard(here)
+        discard(sets)
+        return roots
+    # what shares an ambiguous bucket, directly or by way of others, is compared block by block
+    low = here.groupBy("key").agg(F.min("rid").alias("low"))
+    fields = components(here.join(low, "key").where("rid <> low").select(F.col("low").alias("a"), F.col("rid").alias("b")).distinct())
+    fields = written(fields.select(F.col("node").alias("rid"), F.col("root").alias("field")), "fields")
+    parts = written(fields.groupBy("field").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
+    dealt = fields.join(parts, "field").select("field", "rid", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"))
+    dealt = written(dealt.join(here.select("rid", "root").distinct(), "rid"), "dealt")
+    tasks = parts.select("field", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "parts").select("field", "i", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)).alias("j"))
+    tasks = written(tasks.withColumn("task", F.monotonically_increasing_id()), "tasks")
+    sides = [dealt.join(t, ["field", "part"]).select("task", F.lit(k).alias("side"), "rid", "root") for k, t in enumerate((tasks.select("field", F.col("i").alias("part"), "task"), tasks.where("i <> j").select("field", F.col("j").alias("part"), "task")))]
+    met = written(sides[0].union(sides[1]), "met").join(sets, "rid")
+    again = met.groupBy("task").applyInPandas(lambda f: _links_between(f, percent), "a long, b long")
+    again = written(again, "judged")
+    out = roots if is_empty(again) else components(links.union(again))
+    for t in (here, fields, parts, dealt, tasks):
         discard(t)
-    if is_empty(more):
-        out = roots
-    else:
-        again = written(_confirm(more, sets, percent).where("linked").select("a", "b"), "judged")
-        out = roots if is_empty(again) else components(links.union(again))
     discard(sets)
     return out
