@@ -44,3 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each with as many _ before it as it takes to clash with none of ``taken``."""
+    out = []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        out.append(n)
+    return out

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
+from .common import free_names
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 from .toxicity import _thinned
 
@@ -141,7 +142,7 @@ def quality_of(chains: list[np.ndarray], sizes: list[np.ndarray], model: Model)
 
 def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 150, l2: float = 1e-3) -> Model:
     """Train on (text, label) pairs: the field on even rows, the curve on odd ones. Without both labels all score 1."""
-    sample = _thinned(sample)
+    sample = sorted(_thinned(sample), key=lambda r: r[1])  # so that every part has both labels
     made = [line_features(t) for t, _ in sample]
     y = np.array([v for _, v in sample])
     width = 3 * N_LINE + 1
@@ -184,13 +185,15 @@ def _logit(q: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, cut: float = 0.3) -> DataFrame:
-    """id, score in [0, 1], predicted (1 from ``cut`` on); with ``keep``, those columns too. No shuffle.
+    """id, score in [0, 1], predicted (1 from ``cut`` on); with ``keep``, those columns too (the last
+    two get a _ before their names where these are taken). No shuffle.
 
     Null, empty and blank texts score 0. Null ids and repeated rows stay as they are.
     """
     cols = [id_col, *(c for c in keep or [] if c != id_col)]
+    made = free_names(["score", "predicted"], cols)
     src = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + f", {made[0]} double, {made[1]} int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +208,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         sizes.append(size)
                 if where:
                     s[where] = sigmoid(_logit(quality_of(chains, sizes, model)) * model.curve[0] + model.curve[1] + model.shift)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[*cols, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[*cols, *made])
 
     return src.mapInArrow(run, schema)
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
+from .common import free_names
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.=@:\-]{12,}")
 DIGIT = re.compile(r"[0-9]")
@@ -197,11 +198,13 @@ def scans(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     and with ``with_text`` the text with each finding replaced by a mark. No shuffle.
 
     Null and empty texts have no findings (a null text stays null). Null ids and repeated rows stay. Places
-    count characters from 0.
+    count characters from 0. Result names that kept columns have get a _ before them.
     """
     cols = [id_col, *(c for c in keep or [] if c != id_col)]
     src = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + f", n_candidates bigint, n_findings bigint, findings {FINDINGS}" + ", redacted string" * with_text
+    names = free_names(["n_candidates", "n_findings", "findings", *["redacted"] * with_text], cols)
+    kinds = ["bigint", "bigint", FINDINGS, "string"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]), *(f"{n} {k}" for n, k in zip(names, kinds))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64()), ("sha256", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +218,7 @@ def scans(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
                     if with_text:
                         texts.append(redact(t, found))
                 made = [pa.array(n, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind), *([pa.array(texts, pa.string())] if with_text else [])]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*cols, "n_candidates", "n_findings", "findings", *(["redacted"] if with_text else [])])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*cols, *names])
 
     return src.mapInArrow(run, schema)
 
@@ -223,7 +226,9 @@ def scans(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 def redacted_documents(docs: DataFrame, forest: Forest, cut: float = 0.5) -> DataFrame:
     """The documents with their findings replaced and n_chars counted anew where the text changed."""
     order = docs.columns
-    out = scans(docs, forest, keep=[c for c in order if c != "text"], cut=cut, with_text=True).withColumnRenamed("redacted", "text")
+    out = scans(docs, forest, keep=[c for c in order if c != "text"], cut=cut, with_text=True)
+    _, n_findings, _, redacted = out.columns[-4:]
+    out = out.withColumnRenamed(redacted, "text")
     if "n_chars" in order:
-        out = out.withColumn("n_chars", F.when(F.col("n_findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(n_findings) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*order)

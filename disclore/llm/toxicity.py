@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
+from .common import free_names
 from .minhash import shingles
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 
@@ -131,7 +132,7 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = 1,
 
     Without both labels in each part's rest every document scores 0.
     """
-    sample = _thinned(sample)
+    sample = sorted(_thinned(sample), key=lambda r: r[1])  # so that every part has both labels
     k = window_words
     rests = [[r for i, r in enumerate(sample) if i % parts != p] for p in range(parts)]
     if any(len({v for _, v in r}) < 2 for r in rests):
@@ -151,13 +152,15 @@ _gains: dict[tuple[bytes, bytes], Gains] = {}
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, cut: float = 0.7) -> DataFrame:
-    """id, score in [0, 1], predicted (1 from ``cut`` on); with ``keep``, those columns too. No shuffle.
+    """id, score in [0, 1], predicted (1 from ``cut`` on); with ``keep``, those columns too (the last
+    two get a _ before their names where these are taken). No shuffle.
 
     Null and empty texts have no windows and score by that. Null ids and repeated rows stay as they are.
     """
     cols = [id_col, *(c for c in keep or [] if c != id_col)]
+    made = free_names(["score", "predicted"], cols)
     src = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + f", {made[0]} double, {made[1]} int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (model.toxic, model.ordinary)
@@ -169,7 +172,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part in _slices(batch):
                 x = np.array([features(t, gains, model.threshold, model.window_words) for t in _texts(part.column(0))]).reshape(-1, 2)
                 s = sigmoid(np.column_stack([x, np.ones(len(x))]) @ w + model.shift)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[*cols, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[*cols, *made])
 
     return src.mapInArrow(run, schema)
 
