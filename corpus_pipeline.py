@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from disclore.llm import minhash, packing, quality, secrets, toxicity
 from disclore.llm.common import table, written
@@ -21,14 +22,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the random field takes for good ones."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     judged = quality.scores(docs, model, keep=docs.columns)
-    return judged.where("predicted = 1").select(*docs.columns)
+    return judged.where(F.col(judged.columns[-1]) == 1).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance does not take for toxic."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     judged = toxicity.scores(docs, model, keep=docs.columns)
-    return judged.where("predicted = 0").select(*docs.columns)
+    return judged.where(F.col(judged.columns[-1]) == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
