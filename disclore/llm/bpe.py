@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 MAX_NODES = 800_000
 MAX_WORDS = 500_000
 PIECE_CHARS = 1 << 20
@@ -280,7 +282,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     Null and empty texts give no ids; null ids and repeated rows stay as they are; other columns are dropped.
     No shuffle: each task encodes its own rows.
     """
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    src = small_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
@@ -307,7 +309,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass, keeping digests: id, n_tokens, ids_sha256, decoded_sha256."""
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    src = small_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
         bpe = load(vocabulary)

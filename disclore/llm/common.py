@@ -54,3 +54,12 @@ def free_names(names: list[str], taken: list[str]) -> list[str]:
             n = "_" + n
         out.append(n)
     return out
+
+
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, after holding the session's Arrow batches to so many rows: texts are long, and every task keeps
+    some batches on both sides of its Python worker."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

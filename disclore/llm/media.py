@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import _slices, _texts
+from .common import small_batches
 
 FPS = 25
 BINS = 16
@@ -290,7 +291,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for part in _slices(batch, 64):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([write_avi(padded((t or "").encode("utf-8", "surrogatepass"))) for t in _texts(part.column(1))], pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, media binary")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, media binary")
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -340,4 +341,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
-from .common import discard, is_empty, written
+from .common import discard, is_empty, small_batches, written
 from .graph import components
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     keeps its row (component_id null, kept true). Repeated rows stay, as members of one class. Other columns
     are not read, so clashing names do no harm. An empty table gives an empty result.
     """
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    src = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sketch = written(sketches(src, width, bands, rows), "sketches")
     classes = sketch.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("rid"), "fp", F.col("m.doc_id").alias("first_id"), F.col("m.n_shingles").alias("size"), F.col("m.bands").alias("bands")), "classes")

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bpe
+from .common import small_batches
 
 MAX_OPEN = 8192
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     in exactly one piece; pieces of a sequence have offsets without gaps from 0. Null ids and repeated rows
     are packed as rows of their own. An empty table gives no rows; other columns are not read.
     """
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    src = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     end = int(end_id).to_bytes(4, "little")
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
-from .common import free_names
+from .common import free_names, small_batches
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 from .toxicity import _thinned
 
@@ -192,7 +192,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     cols = [id_col, *(c for c in keep or [] if c != id_col)]
     made = free_names(["score", "predicted"], cols)
-    src = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
+    src = small_batches(docs).select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + f", {made[0]} double, {made[1]} int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

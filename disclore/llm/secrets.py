@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
-from .common import free_names
+from .common import free_names, small_batches
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.=@:\-]{12,}")
 DIGIT = re.compile(r"[0-9]")
@@ -201,7 +201,7 @@ def scans(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     count characters from 0. Result names that kept columns have get a _ before them.
     """
     cols = [id_col, *(c for c in keep or [] if c != id_col)]
-    src = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
+    src = small_batches(docs).select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in cols])
     names = free_names(["n_candidates", "n_findings", "findings", *["redacted"] * with_text], cols)
     kinds = ["bigint", "bigint", FINDINGS, "string"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]), *(f"{n} {k}" for n, k in zip(names, kinds))])
