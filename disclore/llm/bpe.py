@@ -26,10 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, sole_cache
 
-MAX_NODES = 800_000
-MAX_WORDS = 500_000
+MAX_PAIRS = 400_000
+MAX_NODES = 500_000
+MAX_WORDS = 400_000
 PIECE_CHARS = 1 << 20
 _BREAK = re.compile(r"[ \n]")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -92,7 +93,7 @@ class WordTrieBpe:
         self.child: dict[int, int] = {}
         self.last = array("i", [-1])
         self.start = array("i", [0])
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > MAX_PAIRS:
             self._pairs.clear()
 
     # -- which tokens may follow each other -----------------------------------------------------------------
@@ -153,6 +154,8 @@ class WordTrieBpe:
                 limit, a = ra, halves[a][1]
             else:
                 limit, b = rb + 1, halves[b][0]
+        if len(self._pairs) > MAX_PAIRS:
+            self._pairs.clear()
         self._pairs[key] = ok
         return ok
 
@@ -271,6 +274,7 @@ _loaded: dict[str, WordTrieBpe] = {}
 
 def load(path: str) -> WordTrieBpe:
     """The encoder of a file, once per Python worker."""
+    sole_cache("bpe", _loaded)
     if path not in _loaded:
         _loaded[path] = WordTrieBpe(path)
     return _loaded[path]

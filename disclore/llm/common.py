@@ -63,3 +63,14 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+_caches: dict[str, list] = {}
+
+
+def sole_cache(owner: str, *caches) -> None:
+    """On an executor: ``owner`` is at work in this Python worker, so what other operators have cached in it goes."""
+    _caches[owner] = list(caches)
+    for other in [o for o in _caches if o != owner]:
+        for c in _caches.pop(other):
+            c.clear()

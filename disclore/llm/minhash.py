@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
-from .common import discard, is_empty, small_batches, written
+from .common import discard, is_empty, small_batches, sole_cache, written
 from .graph import components
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, fp (null without shingles or id), bands. A map over the rows, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("minhash", _words)
         for batch in batches:
             for part in _slices(batch):
                 ids, n, fp, keys = part.column(0).to_pylist(), [], [], []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
-from .common import free_names, small_batches
+from .common import free_names, small_batches, sole_cache
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 from .toxicity import _thinned
 
@@ -196,6 +196,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + f", {made[0]} double, {made[1]} int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("quality")
         for batch in batches:
             for part in _slices(batch):
                 s = np.zeros(part.num_rows)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _slices, _texts
-from .common import free_names, small_batches
+from .common import free_names, small_batches, sole_cache
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.=@:\-]{12,}")
 DIGIT = re.compile(r"[0-9]")
@@ -208,6 +208,7 @@ def scans(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64()), ("sha256", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("secrets")
         for batch in batches:
             for part in _slices(batch):
                 n, rows, texts = [], [], []
