@@ -87,15 +87,13 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     up = written(up.select("conv_id", "turn", F.coalesce("quote_of", "before").alias("reply_to"), F.col("quote_of").isNotNull().alias("by_quote"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "replies")
 
     # depth and thread by pointer doubling
-    jump = written(up.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("top"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")), "jump")
-    while True:
-        above = jump.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more"))
-        longer = written(jump.join(above, ["conv_id", "top"]).select("conv_id", "turn", F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "jump")
-        more = longer.where("moved").take(1)
+    jump = written(up.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("top"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("reply_to").isNull().alias("done")), "jump")
+    while jump.where("not done").take(1):  # what has reached its thread's start is not joined again
+        above = jump.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = jump.where("not done").join(above, ["conv_id", "top"]).select("conv_id", "turn", F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        longer = written(jump.where("done").unionByName(moved), "jump")
         discard(jump)
         jump = longer
-        if not more:
-            break
     placed = written(up.join(jump.select("conv_id", "turn", F.col("top").alias("thread"), "depth"), ["conv_id", "turn"]), "placed")
     out = m.select("conv_id", "turn", "role", "text", F.size("passages").cast("long").alias("n_passages")).join(placed, ["conv_id", "turn"], "left")
     depth = F.coalesce("depth", F.lit(0)).cast("long")
