@@ -638,8 +638,7 @@ def cluster_label_prompts(spark, d):
 def summaries_by_handle(spark, d):
     docs = _Tables(spark, d).documents.select("doc_id", "text", F.col("source").alias("category_handle"))
     prompts = docs.where("category_handle < 'src5'").select(F.col("category_handle").alias("handle"), F.lit("Summarise:").alias("prompt_text")).distinct()
-    one_line = docs.where(~F.contains(F.trim("text"), F.lit("\n")))
-    return assist.summaries(one_line, prompts).select("doc_id", "category_handle", "raw_response")
+    return assist.summaries(docs, prompts).select("doc_id", "category_handle", "raw_response")
 
 
 @query("SELECT n_name AS handle, CASE WHEN n_nationkey % 2 = 0 THEN 'better ' || n_name ELSE 'old' END AS prompt_text FROM nation UNION ALL SELECT 'NEW', 'fresh'")

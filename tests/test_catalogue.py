@@ -35,3 +35,13 @@ def test_stream_upserts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["title"] for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()] == ["t1"] or spark.read.parquet(str(tmp_path / "t/v=1")).count() == 1
+
+
+def test_summaries_take_documents_of_many_lines(spark, tmp_path):
+    from disclore.operators.assist import stub
+
+    texts = {1: "one line", 2: "first\nlast line", 3: "a\n\nb\n \n", 4: "  lead\r\ntail  "}
+    rows = [(i, t, "en", "src1", len(t)) for i, t in texts.items()] + [(5, "no\nprompt", "en", "src7", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["raw_response"] for r in catalog.QUERIES["summaries_by_handle"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): stub(t) for i, t in texts.items()}
