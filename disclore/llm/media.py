@@ -320,8 +320,9 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text, read the stored bytes back, and keep digests and a feature string.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. All are
-    functions of the text alone; null counts as empty. Null ids and repeated rows keep their rows.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. The feature
+    names the first frame of every shot but the first. All are functions of the text alone; null counts as
+    empty. Null ids and repeated rows keep their rows.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -335,7 +336,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     payload, hist, fps = read_avi(media)
                     cut = shots(hist)
                     total = hist.sum(0)
-                    feature = f"frames={len(hist)};fps={fps:g};shots={len(cut)};cuts={','.join(str(a) for a, _ in cut[1:17])};hist={','.join(map(str, total))}"
+                    feature = f"frames={len(hist)};fps={fps:g};shots={len(cut)};cuts={','.join(str(a) for a, _ in cut[1:])};hist={','.join(map(str, total))}"
                     for column, v in zip(out, (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
                         column.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

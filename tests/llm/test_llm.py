@@ -241,6 +241,13 @@ def test_general_decoder_and_shots():
         media.parse_avi(b"RIFF\4\0\0\0WAVE")
 
 
+def test_feature_names_all_cuts(spark):
+    text = "".join(c * 4096 * 3 for c in "\x01z" * 15)
+    cuts = [str(a) for a, _ in media.shots(media.read_avi(media.write_avi(media.padded(text.encode())))[1])[1:]]
+    feature = media.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["feature"]
+    assert len(cuts) > 16 and f";shots={len(cuts) + 1};cuts={','.join(cuts)};" in feature
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there.\nSecond line"), (1, 1, "assistant", "Another answer"), (1, 2, "user", "> hello   THERE\n> Second line!\nI agree"), (1, 3, "user", ">> Hello there.\n> Another answer\nyes"),
