@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-Candidates are long runs of key characters with a digit among them, or assigned to a telling name. A random
+Candidates are long runs of key characters with a digit among them, and whatever of 8 or more characters without
+blanks is assigned to a telling name by = or :, in quotes or not. A random
 forest removes the false ones by the candidate's length, character transitions and shares, how much of it
 dictionary words cover, path and address signs, and the words beside it. It is trained on labelled findings:
 made-up keys of common shapes, and made-up strings that look alike (hashes of releases, identifiers, paths,
@@ -28,11 +29,25 @@ from .common import free_names, small_batches, sole_cache
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.=@:\-]{12,}")
 DIGIT = re.compile(r"[0-9]")
 SPLIT_NAME = re.compile(r"^([A-Za-z][A-Za-z0-9_.\-]{1,40}?)\s*[=:]{1,2}(?!/)(.{8,})$")
+SIGN = re.compile(r"[=:]{1,3}>?")
+NAME = re.compile(r"([A-Za-z][\w.\-]*)[\"'`\])]*[ \t]*$")
+VALUE = re.compile(r"""[ \t]*(?:(["'`])((?:\\\S?|(?!\1)[^\s\\])*)(\1?)|([^\s"'`]\S*))""")
+#: Where a value without quotes ends before the next blank: at the next name, at a closing quote, at a closing tag.
+VALUE_END = re.compile(r"""[&;,](?=["'`]?[A-Za-z_][\w.\-]*["'`]?[=:])|["'`](?=[>,;)\]}:]|$)|</""")
+OPENED = {")": "(", "]": "[", "}": "{", ">": "<"}
+NAME_AND_SIGN = re.compile(r"[A-Za-z][\w.\-]*[=:]{1,3}")
+NAME_SPAN, LEAST, NESTED = 64, 8, 256
 BESIDE = 32
 MARK = "[REDACTED]"
 #: Names that announce a secret, and common words that identifiers are made of.
 TELLING = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "api", "private", "access", "akia")
 DICTIONARY = ("account", "address", "batch", "build", "cache", "check", "class", "client", "code", "config", "content", "count", "data", "date", "default", "document", "error", "event", "example", "false", "field", "file", "format", "group", "handler", "http", "image", "index", "input", "item", "label", "length", "level", "license", "line", "list", "mail", "main", "manager", "message", "method", "model", "module", "name", "node", "number", "object", "option", "order", "output", "page", "param", "path", "point", "process", "project", "query", "record", "release", "report", "request", "result", "return", "sample", "schema", "search", "server", "service", "session", "source", "spark", "start", "state", "status", "stream", "string", "system", "table", "task", "test", "text", "time", "title", "true", "type", "update", "user", "value", "version", "view", "window", "write", "tion", "ing", "the", "and", "ment")
+#: Names whose values may be phrases, and common pairs of letters, by which words are told from random letters.
+STRONG = ("secret", "password", "passwd", "pwd", "token", "credential")
+PAIRS = frozenset("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ll ri ro li io ic ne me co ta ma ce ch om ec qu ui ir pt na bl ab il la di ss".split())
+#: Ordinary words: values of telling names in prose, and the parts of phrases.
+ORDINARY = ("required", "optional", "incorrect", "important", "undefined", "something", "different", "available", "information", "management", "understanding", "development", "everything", "necessary", "protected", "encrypted", "disabled", "expired", "Alexander", "Elizabeth", "ordinary", "question", "following", "together", "children", "mountain", "government", "interesting", "restricted", "unlimited")
+SHORT = ("correct", "horse", "battery", "staple", "river", "stone", "green", "window", "paper", "tiger", "cloud", "silver", "apple", "garden", "north", "summer", "candle", "orange", "forest", "bridge", "rocket", "violin")
 _WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 _KINDS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 
@@ -47,11 +62,56 @@ def split_candidate(text: str, start: int, end: int) -> tuple[int, int, str, str
     return start, start + len(run), "", before.lower()
 
 
+def assigned_values(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, words before) of the values of telling names.
+
+    A quoted value ends at its quote, another one before a blank or the next name, less the marks that close a
+    sentence. Values within a value are candidates too if that has at most ``NESTED`` characters.
+    """
+    at = 0
+    while sign := SIGN.search(text, at):
+        at = sign.end()
+        from_ = max(0, sign.start() - NAME_SPAN)
+        near = text[from_ : sign.start()].lower()
+        if not any(t in near for t in TELLING):
+            continue
+        m = NAME.search(text, from_, sign.start())
+        if not m or not any(t in m[1].lower() for t in TELLING) or text.startswith("//", at):
+            continue
+        v = VALUE.match(text, at)
+        if not v:
+            continue
+        s, e = v.span(2) if v[1] else v.span(4)
+        if not v[3]:
+            run = text[s:e]
+            if not v[1] and (end := VALUE_END.search(run)):
+                run = run[: end.start()]
+            while run and (run[-1] in ".,;:\"'`" or run[-1] in OPENED and OPENED[run[-1]] not in run):
+                run = run[:-1]
+            e = s + len(run)
+        if e - s >= LEAST:
+            yield s, e, m[1].lower(), text[max(0, s - BESIDE) : s].lower()
+            if e - s > NESTED:
+                at = e
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Runs and assigned values, each place once; they may overlap. A run that is a name and the start of its
+    assigned value is left to that value."""
+    assigned = list(assigned_values(text))
+    starts, at, seen = [c[0] for c in assigned], 0, set()
     for m in CANDIDATE.finditer(text):
         s, e, name, before = split_candidate(text, m.start(), m.end())
         if e - s >= 8 and (DIGIT.search(text, s, e) or any(t in name for t in TELLING)):
+            while at < len(starts) and starts[at] <= s:
+                at += 1
+            if not name and at < len(starts) and starts[at] < e <= assigned[at][1] and NAME_AND_SIGN.fullmatch(text, s, starts[at]):
+                continue
+            seen.add((s, e))
             yield s, e, name, before
+    for c in assigned:
+        if c[:2] not in seen:
+            yield c
 
 
 def candidate_features(value: str, name: str, before: str) -> list[float]:
@@ -71,6 +131,7 @@ def candidate_features(value: str, name: str, before: str) -> list[float]:
         sum(c in "0123456789abcdef" for c in value) / n, covered, float(value.count("/")), float("@" in value or "://" in value), float(value.count(".")),
         float(value.count("-") + value.count("_")), float(assigned), float(near), max(len(x) for x in re.split(r"[^0-9]", value)) / n,
         float(len(set(value))), float(value.isupper() and value.isalnum()),
+        sum(value[i : i + 2].lower() in PAIRS for i in range(n - 1)) / steps, float(any(t in w for w in [*words[-1:], name] for t in STRONG)),
     ]
 
 
@@ -104,6 +165,37 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
         if rng.random() < 0.2:
             out.append((pick("x*0", 1) * rng.randint(8, 20) + rng.choice(("", "1")), secret_name(), prose(), 0))
             out.append((pick(hexed, rng.choice((7, 12))) + "0" * rng.randint(2, 6), "", prose() + "commit ", 0))
+    return out + _assigned_findings(n, random.Random(seed + 1))
+
+
+def _assigned_findings(n: int, rng: random.Random) -> list[tuple[str, str, str, int]]:
+    """Values of telling names: phrases, letters alone, short keys and special signs; against words, references and code."""
+    pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    lower, letters, alnum = string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits
+    strong = lambda: rng.choice(("password", "secret", "passwd", "db_password", "client_secret", "token", "auth_token", "pwd", "credential"))
+    weak = lambda: rng.choice(("key", "api", "access", "author", "private", "auth", "keywords", "api_version", "access_level", "monkey"))
+    word = lambda: rng.choice((*ORDINARY, *(w for w in DICTIONARY if len(w) > 3)))
+    sign = lambda: rng.choice((": ", " = ", "=", ': "', ' = "', ":"))
+    start = rng.randrange
+    out = []
+    for _ in range(n):
+        name = strong() if rng.random() < 0.8 else rng.choice(("api_key", "access_key", "private_key", "apikey"))
+        k = rng.randrange(8)
+        value = (
+            lambda: rng.choice("-_.").join(rng.choice((*SHORT, pick("etaoinsrhldcu", rng.randint(4, 8)))) for _ in range(rng.randint(3, 5))), lambda: pick(lower, rng.randint(10, 24)), lambda: (lower * 2)[(i := start(26)) : i + rng.randint(10, 20)],
+            lambda: pick(alnum, rng.randint(8, 15)), lambda: pick(alnum + "!@#$%&*^?+", rng.randint(8, 24)), lambda: rng.choice(SHORT).title() + pick("!#$%&@", 1) + pick(string.digits, rng.randint(2, 4)) + rng.choice(("", "!", "$")) + pick(letters, 3), lambda: pick(letters, rng.randint(10, 24)), lambda: "".join(rng.choice(SHORT) + pick(string.digits, rng.randint(1, 4)) for _ in range(2)),
+        )[k]()
+        if k in (0, 7):
+            name = strong()
+        out.append((value, name, f"{pick(lower, 5)} {name}{sign()}", 1))
+        name = strong() if rng.random() < 0.5 else weak()
+        k = rng.randrange(8)
+        value = (
+            lambda: rng.choice((str, str.title, str.upper))(word() + rng.choice(("", "", "s", "ing"))), lambda: word().title(), lambda: rng.choice(("${%s}", "<your-%s>", "{{%s}}", "YOUR_%s", "$%s", "<%s>", "%%%s%%", "[%s]"))  % rng.choice((name, name.upper())), lambda: rng.choice(("get", "read", "load", "make")) + word().title() + rng.choice(("()", "(self)", "(user)", "(config).value")),
+            lambda: f"os.environ['{name.upper()}']" if rng.random() < 0.5 else f"{word()}.{word()}.{name}", lambda: f"https://www.{word()}.example.org/{word()}", lambda: pick("x*.-", 1) * rng.randint(8, 20), lambda: f"{word()}-{word()}" if name in STRONG else f"{word()}-{word()}-{word()}",
+        )[k]()
+        if len(value) >= LEAST:
+            out.append((value, name, f"{pick(lower, 5)} {name}{sign()}", 0))
     return out
 
 
@@ -172,12 +264,19 @@ def train(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
 
 
 def scan(text: str | None, forest: Forest, cut: float = 0.5) -> tuple[int, list[tuple[int, int, float]]]:
-    """(number of candidates, findings as (start, length, score)) of one text, in order."""
+    """(number of candidates, findings as (start, length, score)) of one text, in order; those that overlap are one."""
     found = list(candidates(text or ""))
     if not found:
         return 0, []
     p = forest.predict(np.array([candidate_features(text[s:e], name, before) for s, e, name, before in found]))
-    return len(found), [(s, e - s, float(q)) for (s, e, _, _), q in zip(found, p) if q >= cut]
+    out: list[tuple[int, int, float]] = []
+    for s, e, q in sorted((s, e, float(q)) for (s, e, _, _), q in zip(found, p) if q >= cut):
+        if out and s < sum(out[-1][:2]):
+            a, k, r = out[-1]
+            out[-1] = (a, max(k, e - a), max(r, q))
+        else:
+            out.append((s, e - s, q))
+    return len(found), out
 
 
 def redact(text: str | None, findings: list[tuple[int, int, float]]) -> str | None:

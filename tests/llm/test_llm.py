@@ -218,6 +218,21 @@ def test_secrets(docs, empty):
     assert secrets.redacted_documents(docs, forest).columns == docs.columns
 
 
+def test_assigned_secrets_in_whole_texts(spark):
+    forest = secrets.train()
+    for before, value, after in (
+        ('password = "', "correct-horse-battery", '" and more words'), ("the secret: ", "abcdefghijklmnop", "\nnext line"), ("password: ", "k3Yab9xQ1z", "."), ("db_password: ", "aB3#xY!9kQ$2mZ", ", then"),
+        ("password: ", "hTq#Lw!2mVzP@rX", ""), ('{"client_secret": "', "kjhGFDsaqWERtyu", '"}'), ("at https://x.example.com/?token=", "qWmZkTbvLpXo", "&user=someone"), ("Password=", "Xy7!kLm2", ";Database=foo"),
+    ):
+        text = before + value + after
+        assert [text[s : s + n] for s, n, _ in secrets.scan(text, forest)[1]] == [value]
+        got = secrets.redacted_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest).first()["text"] if value == "aB3#xY!9kQ$2mZ" else None
+        assert got in (None, before + secrets.MARK + after)
+    for text in ("password: required by law", "Author: Alexander Smith", "token = getToken()", "password=${DB_PASSWORD}", "secret: <your-secret>", "access: restricted to members", "api: https://www.example.org/path", "password: ********"):
+        assert secrets.scan(text, forest)[1] == []
+    assert secrets.scan("key=" * 25_000, forest)[0] > 0
+
+
 def test_media_round_trip(docs, empty):
     for n in (0, 1, 63, 64, 65, 4096, 9000):
         raw = (b"\xff\x00\xff\xff" * 3000)[:n]
