@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disclore.llm import minhash, packing, quality, secrets, toxicity
-from disclore.llm.common import table, written
+from disclore.llm.common import free_names, table, written
 
 #: No stage can be told in SQL: trained models and a tokenizer decide. Tests compare run() with a plain version.
 ORACLE_SQL = None
@@ -33,9 +33,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five words, similarity 0.8)."""
-    gone = written(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies (five words, similarity 0.8): that of the least doc_id, then text.
+
+    Rows count, not ids: of an id's rows those that are no near copies stay, and of a row that is repeated one
+    stays. A null doc_id comes last. Texts without words are in no group and stay.
+    """
+    (row,) = free_names(["row"], docs.columns)
+    rows = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = written(minhash.near_duplicates(rows, id_col=row).where("not kept").select(F.col("doc_id").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

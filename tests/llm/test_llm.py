@@ -277,6 +277,16 @@ def test_quotes(spark):
     assert quotes.link_quotes(df).count() == len(rows) and quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(2, a + " end"), (2, b), (1, a), (1, a), (3, c), (3, c), (None, c), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, a), (2, b), (3, c), (4, ""), (4, "")])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
