@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import _slices, _texts
 from .common import free_names, small_batches, sole_cache
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
-from .toxicity import _thinned
+from .toxicity import thinned
 
 N_LINE = 12
 
@@ -142,7 +142,7 @@ def quality_of(chains: list[np.ndarray], sizes: list[np.ndarray], model: Model)
 
 def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 150, l2: float = 1e-3) -> Model:
     """Train on (text, label) pairs: the field on even rows, the curve on odd ones. Without both labels all score 1."""
-    sample = sorted(_thinned(sample), key=lambda r: r[1])  # so that every part has both labels
+    sample = sorted(thinned(sample), key=lambda r: r[1])  # so that every part has both labels
     made = [line_features(t) for t, _ in sample]
     y = np.array([v for _, v in sample])
     width = 3 * N_LINE + 1
@@ -214,7 +214,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return src.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, folds: int = 5, held: int = 0, cut: float = 0.3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 2000), folds: int = 5, held: int = 0, cut: float = 0.3) -> Model:
     return fit(labelled_sample(docs, labels, "quality", folds, held, per_class), cut)
 
 

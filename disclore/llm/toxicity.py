@@ -1,23 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary windows and one on toxic windows. A window is
-compressed with each; the bytes that the toxic dictionary saves are its gain. A document's features are the
-windows whose gain passes a calibrated threshold, their gains and the number of windows; a logistic curve
-fitted on documents that the dictionaries have not seen turns them into a score.
-
-A window is ``window_words`` words with their bounds. Training windows of the toxic side are those that
-recur over toxic documents and hardly over ordinary ones (by document frequency), each as often as it
-recurs; without that choice both dictionaries learn the same language. Near copies are thinned out before.
-The trained dictionaries serve as content, without their entropy tables, so that only matches tell them apart.
-Both dictionaries end in the same common words and a carrier that stands around each window.
-Windows' gains are cached by text in the Python worker, up to a bound.
+Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts, and
+both end in the same third one, trained on other ordinary texts. A window is compressed with each; the bytes that
+the toxic dictionary saves are its gain. A document's features are the sum of the gains of its distinct windows
+that reach a threshold, and the number of its windows; a logistic curve turns them into a score.
+
+A window is ``WINDOW_WORDS`` neighbouring words. Most of a toxic text is ordinary language, so its windows are
+purified by the compression distance itself: the toxic texts are parted in two halves, the dictionary of each half
+judges the windows of the other, and those whose gain exceeds nearly all gains of ordinary windows train the next
+round's dictionary. No half ever judges itself. The dictionary's size, the threshold, the curve and its cut are
+calibrated on the last round: toxic texts by the dictionary of the other half, ordinary texts that are in no
+dictionary by both. The trained dictionaries serve as content, without their entropy tables, so that only matches
+tell them apart; a carrier stands around each window.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +31,17 @@ from .common import free_names, small_batches, sole_cache
 from .minhash import shingles
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 
-MAX_CACHE = 250_000
-DICT_BYTES = 16_384
+MAX_CACHE = 200_000
 LEVEL = 9
-#: Gain in bytes from which a window counts.
-THRESHOLD = 2
-BASE_WORDS = 8000
-MOST = 8
+WINDOW_WORDS = 2
+#: Rounds of purification, and the share of ordinary windows whose gain a toxic window has to exceed to stay.
+ROUNDS, RARE = 3, 0.998
+#: Bytes of the shared dictionary, of the first round's, and of those that are tried in the last round.
+BASE_BYTES, FIRST_BYTES, SIZES = 65_536, 16_384, (1024, 2048)
+#: Segment and d-mer length of the dictionary training.
+SEGMENT, DMER = 24, 6
+#: Ordinary windows by which a gain is judged, and what a window may count for at most.
+BACKGROUND, MOST = 10_000, 8
 MARKS = ".,;:!?|\"'()[]{}#$%&*"
 #: They stand before and after every window, and end both dictionaries: the first so that a short window's own
 #: bytes count in a compressed block, the second as zstandard looks for no match in a block's last bytes.
@@ -64,31 +68,38 @@ def windows(text: str, k: int) -> list[str]:
     return words if k == 1 else [" ".join(words[i : i + k]) for i in range(0, len(words), k)]
 
 
-class Gains(dict):
-    """Window -> bytes that the toxic dictionary saves against the ordinary one."""
+class Lengths(dict):
+    """Window -> its compressed length with a dictionary."""
+
+    def __init__(self, dictionary: bytes):
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=18, chain_log=18, search_log=8, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.compress = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
+
+    def length(self, window: str) -> int:
+        return len(self.compress(CARRIER + f" {window} ".encode("utf-8", "surrogatepass") + TAIL))
+
+    def __missing__(self, window: str) -> int:
+        n = self[window] = self.length(window)
+        return n
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        def compressor(d: bytes):
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=18, chain_log=18, search_log=8, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
-            return zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
 
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+class Gains(dict):
+    """Window -> bytes that the toxic dictionary saves against the ordinary one, which is given as a function."""
+
+    def __init__(self, toxic: bytes, ordinary: Callable[[str], int]):
+        self.toxic, self.ordinary = Lengths(toxic).length, ordinary
 
     def __missing__(self, window: str) -> int:
-        raw = CARRIER + f" {window} ".encode("utf-8", "surrogatepass") + TAIL
-        g = self[window] = min(len(self.ordinary(raw)) - len(self.toxic(raw)), MOST)
+        g = self[window] = min(self.ordinary(window) - self.toxic(window), MOST)
         return g
 
 
-def features(text: str | None, gains: Gains, threshold: int, k: int) -> tuple[float, float]:
-    """Logarithms of the distinct windows' gains from the threshold on, summed, and of the number of distinct windows."""
-    w = set(windows(text or "", k))
-    if len(gains) > MAX_CACHE:
-        gains.clear()
+def features(gains: Gains, w: set[str], threshold: int) -> tuple[float, float]:
+    """Logarithms of the summed gains from the threshold on, and of the number of distinct windows."""
     return math.log1p(sum(g for g in map(gains.__getitem__, w) if g >= threshold)), math.log1p(len(w))
 
 
-def _thinned(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+def thinned(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Without near copies: of texts that share their least or greatest shingle the first stays."""
     seen, out = set(), []
     for text, y in sample:
@@ -99,53 +110,60 @@ def _thinned(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def train_dictionary(samples: list[str], size: int = DICT_BYTES) -> bytes:
+def train_dictionary(samples: list[str], size: int) -> bytes:
     """A zstandard dictionary of the windows; their plain text where there are too few to train on."""
     raw = [f" {s} ".encode("utf-8", "surrogatepass") for s in samples]
     try:
-        return zstandard.train_dictionary(size, raw).as_bytes()
+        return zstandard.train_dictionary(size, raw, k=SEGMENT, d=DMER).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(raw))[-size:] or b" " * 8
 
 
-def dictionaries(sample: list[tuple[str, int]], k: int) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries of (text, label) pairs that hold both labels."""
-    by = {y: [windows(t, k) for t, v in sample if v == y] for y in (0, 1)}
-    df = {c: Counter(w for doc in by[c] for w in set(doc)) for c in (0, 1)}
-    n = {c: len(by[c]) for c in (0, 1)}
-    odds = {w: ((f - 1) / n[1]) / ((df[0][w] + 0.5) / n[0]) for w, f in df[1].items() if f >= max(3, n[1] // 60)}
-    telling = sorted((w for w, o in odds.items() if o >= 12), key=lambda w: (df[1][w], w))
-    toxic = [w for w in telling for _ in range(df[1][w])]
-    common = [w for w, f in df[0].most_common(4000) for _ in range(min(f, 50))]
-    toxic_dict = train_dictionary(toxic * max(1, 2000 // max(1, len(toxic))) if toxic else [w for d in by[1] for w in d])
-    ordinary_dict = train_dictionary(common)
-    # both end in the language's common words and the carrier; what differs is what recurs in toxic text
-    spelt = lambda words: b"".join(f" {w} ".encode("utf-8", "surrogatepass") for w in words)
-    base = spelt(w for w, _ in reversed(df[0].most_common(BASE_WORDS)))
-    toxic_dict, ordinary_dict = toxic_dict + spelt(telling[-800:]) + base + FRAME, ordinary_dict + base + FRAME
-    return toxic_dict, ordinary_dict
-
-
-def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = 1, parts: int = 5) -> Model:
-    """Train on (text, label) pairs. The curve and its cut are calibrated crosswise: each part of the sample by
-    dictionaries of the others; the model's dictionaries are those of all.
-
-    Without both labels in each part's rest every document scores 0.
-    """
-    sample = sorted(_thinned(sample), key=lambda r: r[1])  # so that every part has both labels
+def _flat(docs: list[list[str]]) -> list[str]:
+    return [w for d in docs for w in d]
+
+
+def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WINDOW_WORDS) -> Model:
+    """Train on (text, label) pairs; with fewer than four toxic or six ordinary texts every document scores 0."""
+    sample = thinned(sample)
     k = window_words
-    rests = [[r for i, r in enumerate(sample) if i % parts != p] for p in range(parts)]
-    if any(len({v for _, v in r}) < 2 for r in rests):
+    toxic, ordinary = ([w for t, v in sample if v == y and (w := windows(t, k))] for y in (1, 0))
+    if len(toxic) < 4 or len(ordinary) < 6:
         return Model(b" " * 8, b" " * 8, 1 << 20, (0.0, 0.0, -30.0), 0.0, k)
-    x, y = [], []
-    for p, rest in enumerate(rests):
-        gains = Gains(*dictionaries(rest, k))
-        x += [features(t, gains, THRESHOLD, k) for t, _ in sample[p::parts]]
-        y += [v for _, v in sample[p::parts]]
-    x, y = np.array(x), np.array(y)
-    w = logistic(x, y)
-    z = np.column_stack([x, np.ones(len(x))]) @ w
-    return Model(*dictionaries(sample, k), THRESHOLD, tuple(w.tolist()), platt_shift(z, y, cut), k)
+    shared, against, apart = ordinary[0::2], ordinary[1::4], ordinary[3::4]
+    base = train_dictionary(_flat(shared), BASE_BYTES)
+    base = " ".join(_flat(shared)).encode("utf-8", "surrogatepass")[: max(0, BASE_BYTES - len(base))] + base + FRAME  # training ends early when little recurs
+    others, background = _flat(against), _flat(apart)
+    background = background[:: max(1, len(background) // BACKGROUND)]
+    half = lambda docs, h: _flat(docs[h::2])
+    controls = {size: Lengths(train_dictionary(others, size) + base).__getitem__ for size in {FIRST_BYTES, *SIZES}}
+    kept = toxic
+    for r in range(ROUNDS):
+        size = SIZES[-1] if r else FIRST_BYTES
+        new: list[list[str]] = [[]] * len(toxic)
+        for h in (0, 1):
+            gains = Gains(train_dictionary(half(kept, 1 - h) or half(toxic, 1 - h), size) + base, controls[size])
+            least = float(np.quantile([gains[w] for w in background], RARE))
+            for i in range(h, len(toxic), 2):
+                new[i] = [w for w in toxic[i] if gains[w] > least]
+        kept = new
+    best = None
+    y = np.array([1] * len(toxic) + [0] * len(apart))
+    side = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(apart))
+    for size in SIZES:
+        judges = [Gains(train_dictionary(half(kept, 1 - h) or half(toxic, 1 - h), size) + base, controls[size]) for h in (0, 1)]
+        seen = [(judges[i % 2], set(w)) for part in (toxic, apart) for i, w in enumerate(part)]
+        for threshold in range(1, MOST):
+            x = np.array([features(g, w, threshold) for g, w in seen])
+            weights = logistic(x, y)
+            z = np.column_stack([x, np.ones(len(x))]) @ weights
+            p = sigmoid(z)
+            like = float((side * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
+            if best is None or like > best[0]:
+                best = (like, threshold, weights, platt_shift(z, y, cut), size)
+    _, threshold, weights, shift, size = best
+    final = train_dictionary(_flat(kept) or _flat(toxic), size) + base
+    return Model(final, train_dictionary(others, size) + base, threshold, tuple(weights.tolist()), shift, k)
 
 
 _gains: dict[tuple[bytes, bytes], Gains] = {}
@@ -167,18 +185,24 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         key = (model.toxic, model.ordinary)
         if key not in _gains:
             _gains.clear()
-            _gains[key] = Gains(*key)
+            _gains[key] = Gains(model.toxic, Lengths(model.ordinary).length)
         gains, w = _gains[key], np.array(model.weights)
         for batch in batches:
             for part in _slices(batch):
-                x = np.array([features(t, gains, model.threshold, model.window_words) for t in _texts(part.column(0))]).reshape(-1, 2)
+                x = []
+                for t in _texts(part.column(0)):
+                    if len(gains) > MAX_CACHE:
+                        gains.clear()
+                    x.append(features(gains, set(windows(t or "", model.window_words)), model.threshold))
+                x = np.array(x).reshape(-1, 2)
                 s = sigmoid(np.column_stack([x, np.ones(len(x))]) @ w + model.shift)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[*cols, *made])
 
     return src.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, folds: int = 3, held: int = 1, cut: float = 0.7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1500), folds: int = 3, held: int = 1, cut: float = 0.7) -> Model:
+    """A model of at most so many labelled ordinary and toxic documents (see ``labelled_sample``)."""
     return fit(labelled_sample(docs, labels, "toxic", folds, held, per_class), cut)
 
 

@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS = 8000
+from .common import discard, written
+
+#: Characters of all training texts of a class together.
+BUDGET = 24_000_000
 
 
 def remainder(id_col: Column, folds: int) -> Column:
@@ -14,21 +17,34 @@ def remainder(id_col: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` documents a class, none of the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: tuple[int, int], budget: int = BUDGET) -> list[tuple[str, int]]:
+    """(text, label) of at most ``per_class`` documents of label 0 and of label 1, of any length, none of the held-out fold.
 
-    The bound is on rows (the least hashes of the id) and on the length of a training text, so at most
-    2 * per_class * max_chars characters reach the driver. Rows with a null label, id or text are left out.
+    Two bounds, whatever the tables' size: ``per_class`` rows of ``labels`` a class, by the least hashes of the
+    id, and ``budget`` characters a class: in that order a text is taken if it fits into what is left. Rows with
+    a null label, id or text and empty texts are left out; labelled ids without a document only make the sample
+    smaller; of repeated rows one counts. The documents are scanned once.
     """
     wanted = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    size = docs.select("doc_id", F.length("text").alias("n")).where(F.col("n").between(1, max_chars))
-    fit = wanted.join(size, "doc_id")
+    ids = [(r["doc_id"], y) for y in (0, 1) for r in wanted.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y]).collect()]
+    if not ids:
+        return []
+    picked = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")  # at most sum(per_class) rows
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0").join(F.broadcast(picked), "doc_id")
+    found = written(found.select("doc_id", "y", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("n"), "text"), "labelled")
     out: list[tuple[str, int]] = []
     for y in (0, 1):
-        ids = [r[0] for r in fit.where(F.col("y") == y).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(per_class).collect()]
-        if ids:
-            rows = docs.where(F.col("doc_id").isin(ids) & F.length("text").between(1, max_chars)).select("doc_id", "text").collect()
-            out += [(r["text"], y) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+        rows = found.where(F.col("y") == y).select("h", "doc_id", "t", "n").distinct().orderBy("h", "doc_id", "t").limit(per_class[y]).collect()
+        left, take = budget, []
+        for r in rows:
+            if r["n"] <= left:
+                left -= r["n"]
+                take.append((r["doc_id"], r["t"]))
+        if take:
+            chosen = found.where(F.col("y") == y).join(F.broadcast(docs.sparkSession.createDataFrame(take, "doc_id long, t long")), ["doc_id", "t"])
+            texts = {(r["doc_id"], r["t"]): r["text"] for r in chosen.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]).collect()}  # within the budget
+            out += [(texts[k], y) for k in sorted(texts)]
+    discard(found)
     return out
 
 
