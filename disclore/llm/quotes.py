@@ -2,10 +2,12 @@
 
 A line's quote level is the number of ``>`` at its start. Neighbouring lines of one level form a passage. A
 passage is normalised (lower case, letters and digits, single blanks) and hashed, and joined to the earliest
-message of its conversation whose own words hold it: as its whole text or as one of its lines (a passage of
-several lines also by each line). The message replies to the one that holds most of what it quotes (the
-latest of equals); a message without such a link replies to the one before it. The result has each message
-without its quotes, the message it replies to, and an order in which replies follow what they answer.
+message of its conversation whose own words hold it, as its whole text or as one of its lines. A passage of several
+lines that no message holds as a whole is looked up line by line. A message quotes what it answers at the lowest
+level and what that one had quoted at higher ones; so it replies to the source of the lowest level that is linked:
+of several there, to the one that holds most of its characters, of equals to the latest. A message without a link
+replies to the one before it. The result has each message without its quotes, the message it replies to, and an
+order in which replies follow what they answer.
 
 A conversation is never one row or one task: the message before is found within blocks of turns and across
 their ends; chains of replies are followed by pointer doubling.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 BLOCK = 1024
+#: Conversations with quotes up to which their ids are broadcast to thin the messages out beforehand.
+BROADCAST_IDS = 1_000_000
 
 
 def normalised(c: Column) -> Column:
@@ -36,17 +40,13 @@ def _lines(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """array<struct<level, text>> of runs of quoted lines of one level, by a fold over the lines."""
-    start = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("done"), F.lit(0).alias("level"), F.lit("").alias("text"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["level"] > 0, F.array_append(acc["done"], F.struct(acc["level"].alias("level"), acc["text"].alias("text")))).otherwise(acc["done"])
-
-    def step(acc: Column, x: Column) -> Column:
-        same = (x["level"] == acc["level"]) & (x["level"] > 0)
-        return F.struct(F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"), x["level"].alias("level"), F.when(same, F.concat(acc["text"], F.lit("\n"), x["body"])).when(x["level"] > 0, x["body"]).otherwise(F.lit("")).alias("text"))
-
-    return F.aggregate(lines, start, step, closed)
+    """array<struct<level, text>> of runs of quoted lines of one level: places where the level changes, and what
+    stands between them, each line once."""
+    n = F.size(lines)
+    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.array(n))
+    runs = F.filter(F.arrays_zip(places.alias("a"), ends.alias("b")), lambda r: F.get(lines, r["a"])["level"] > 0)
+    return F.transform(runs, lambda r: F.struct(F.get(lines, r["a"])["level"].alias("level"), F.array_join(F.transform(F.slice(lines, r["a"] + 1, r["b"] - r["a"]), lambda x: x["body"]), "\n").alias("text")))
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -65,16 +65,22 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     m = written(m.select("conv_id", "turn", "role", "text", "passages"), "messages")
     known = m.where("conv_id is not null and turn is not null")
 
-    # what is quoted, and the earliest message that holds it
+    # what is quoted, as a whole and by lines, and the earliest message that holds it
     quoted = known.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("p", "q"))
-    parts = F.array_distinct(F.transform(F.array_append(F.split("q.text", "\n"), F.col("q.text")), normalised))
-    quoted = quoted.select("conv_id", "turn", "p", F.explode(F.filter(parts, lambda x: x != "")).alias("t"))
-    quoted = written(quoted.select("conv_id", "turn", "p", F.xxhash64("t").alias("h"), F.length("t").alias("n")), "quoted")
+    whole = normalised(F.col("q.text"))
+    parts = F.filter(F.array_distinct(F.transform(F.split("q.text", "\n"), normalised)), lambda x: (x != "") & (x != whole))
+    quoted = quoted.select("conv_id", "turn", "p", "q.level", whole.alias("whole"), parts.alias("parts")).where("whole <> ''")
+    quoted = quoted.select("conv_id", "turn", "p", "level", F.explode(F.concat(F.array(F.struct(F.col("whole").alias("t"), F.lit(True).alias("all"))), F.transform("parts", lambda x: F.struct(x.alias("t"), F.lit(False).alias("all"))))).alias("x"))
+    quoted = written(quoted.select("conv_id", "turn", "p", "level", "x.all", F.xxhash64("x.t").alias("h"), F.length("x.t").alias("n")), "quoted")
     asked = quoted.select("conv_id").distinct()
-    held = known.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.array_append(F.split("text", "\r?\n"), F.col("text")), normalised))).alias("t")).where("t <> ''")
+    some = known.join(F.broadcast(asked), "conv_id", "left_semi") if asked.count() <= BROADCAST_IDS else known
+    held = some.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.array_append(F.split("text", "\r?\n"), F.col("text")), normalised))).alias("t")).where("t <> ''")
     held = held.select("conv_id", F.xxhash64("t").alias("h"), F.length("t").alias("n"), "turn").groupBy("conv_id", "h", "n").agg(F.min("turn").alias("source"))
-    hits = written(quoted.join(held, ["conv_id", "h", "n"]).where("source < turn").select("conv_id", "turn", "p", "n", "source").distinct(), "hits")
-    best = hits.groupBy("conv_id", "turn", "source").agg(F.sum("n").alias("chars")).groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "source"))["source"].alias("quote_of"))
+    hits = quoted.join(held, ["conv_id", "h", "n"]).where("source < turn").distinct()
+    # a passage counts as a whole where it is found so, else by its lines
+    found = hits.groupBy("conv_id", "turn", "p", "level").agg(F.max("all").alias("any"), F.collect_list(F.struct("all", "n", "source")).alias("s"))
+    hits = written(found.select("conv_id", "turn", "p", "level", F.explode(F.filter("s", lambda x: x["all"] == F.col("any"))).alias("s")).select("conv_id", "turn", "p", "level", "s.n", "s.source"), "hits")
+    best = hits.groupBy("conv_id", "turn", "level", "source").agg(F.sum("n").alias("chars")).groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "chars", "source"))["source"].alias("quote_of"))
     linked = hits.select("conv_id", "turn", "p").distinct().groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"))
 
     # the message before, in blocks of turns

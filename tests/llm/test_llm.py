@@ -277,6 +277,80 @@ def test_quotes(spark):
     assert quotes.link_quotes(df).count() == len(rows) and quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def plain_replies(rows):
+    """{(conv, turn): (text, number of passages, linked ones, replied to, by quote)} by loops over all messages."""
+    import regex
+
+    norm = lambda t: regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).strip(" ")
+    made = {}
+    for conv, turn, text in rows:
+        own, runs, before = [], [], 0
+        for line in regex.split("\r?\n", text or ""):
+            head = regex.match(r"[ \t]*((?:>[ \t]*)*)", line)
+            level = head[1].count(">")
+            body = line[head.end() :] if level else line
+            if not level:
+                own.append(body)
+            elif level == before:
+                runs[-1][1].append(body)
+            else:
+                runs.append((level, [body]))
+            before = level
+        made[conv, turn] = (text if text is None or not runs else "\n".join(own).strip(" "), runs)
+    out = {}
+    for (conv, turn), (text, runs) in made.items():
+        earlier = sorted(t for c, t in made if c == conv and t < turn)
+        holds = {t: {norm(x) for x in [made[conv, t][0] or "", *regex.split("\r?\n", made[conv, t][0] or "")]} for t in earlier}
+        find = lambda x: next((t for t in earlier if x and x in holds[t]), None)
+        score, linked = {}, 0
+        for level, lines in runs:
+            whole = norm("\n".join(lines))
+            parts = [whole] if find(whole) is not None else sorted({norm(x) for x in lines} - {""})
+            at = [(find(x), len(x)) for x in parts if find(x) is not None]
+            linked += bool(at)
+            for source, n in at:
+                score[-level, source] = score.get((-level, source), 0) + n
+        best = max(((level, n, source) for (level, source), n in score.items()), default=None)
+        out[conv, turn] = (text, len(runs), linked, best[2] if best else earlier[-1] if earlier else None, best is not None)
+    return out
+
+
+def linked_replies(df):
+    return {(r["conv_id"], r["turn"]): (r["text"], r["n_passages"], r["n_linked"], r["reply_to"], r["by_quote"]) for r in quotes.link_quotes(df).collect()}
+
+
+def test_replies_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = ["Yes", "no way", "I think so.", "Why?", "Because of it!", "The end"]
+    rows = []
+    for conv in range(12):
+        raw = []
+        for turn in range(int(rng.integers(1, 14))):
+            lines = []
+            for _ in range(rng.integers(0, 4)):
+                if raw and rng.random() < 0.8:
+                    lines += ["> " + x for x in str(rng.choice(raw)).split("\n")[: int(rng.integers(1, 4))]]
+                else:
+                    lines.append(">" * int(rng.integers(1, 4)) + " never said")
+                if rng.random() < 0.4:
+                    lines.append(str(rng.choice(words)))
+            lines += [str(rng.choice(words)) + (f" {turn}" if rng.random() < 0.4 else "") for _ in range(rng.integers(0, 3))]
+            raw.append("\n".join(lines))
+            rows.append((conv, turn * 700, raw[-1]))
+    rows += [(99, 0, "a long text that is long"), (99, 1, "yes"), (99, 2, "no way"), (99, 3, ">> a long text that is long\n> yes\nthanks"), (98, 0, None), (98, 5, "> " + "x" * 300_000), (97, 0, "x" * 300_000), (97, 5000, "> " + "x" * 300_000 + "\nok")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = linked_replies(df)
+    assert got == plain_replies(rows)
+    assert got[99, 3][3] == 1 and sum(v[4] for v in got.values()) > 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_replies_of_the_table_by_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = [(r["conv_id"], r["turn"], r["text"]) for r in df.collect()]
+    assert linked_replies(df) == plain_replies(rows)
+
+
 def test_near_copies_go_by_row(spark):
     import corpus_pipeline
 
