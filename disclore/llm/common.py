@@ -56,12 +56,15 @@ def free_names(names: list[str], taken: list[str]) -> list[str]:
     return out
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """``df``, after holding the session's Arrow batches to so many rows: texts are long, and every task keeps
-    some batches on both sides of its Python worker."""
+def small_batches(df: DataFrame, rows: int = 512, size: int = 32 << 20) -> DataFrame:
+    """``df``, after bounding its session's Arrow batches by rows and bytes: texts are long, and every task keeps some
+    batches on both sides of its Python worker. Spark reads these settings when a query runs, so they stay for later
+    queries of the session; a setting that is smaller already is left as it is."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = "".join(c for c in conf.get(f"spark.sql.execution.arrow.{key}") if c.isdigit() or c == "-") or "-1"
+        if not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 

@@ -6,10 +6,11 @@ the counts of partially filled windows least. A level array holds those counts,
 over an array. At the end of the partition the windows still open are drained: the emptiest are cut up to
 fill the fullest, and what remains at last is cut into powers of two, which need no padding.
 
-Memory: the ids of open windows only. The sum-of-squares rule keeps few of them; beyond ``MAX_OPEN`` the
-open windows are drained in the same way, without a partial remainder. No shuffle. Sequence ids are unique
-over all partitions: the partition's number times 2**33 plus a count. A retried task reads its split again
-in the same order and so packs alike; write the result before anything else shuffles it.
+Memory: the ids of open windows, two bytes each where the vocabulary allows it. There is no bound on open windows:
+where no two rests fill a window there is one for each document, and they then hold up to two bytes for each token
+of the task's own split, never more. No shuffle. Sequence ids are unique over all partitions: the partition's number
+times 2**33 plus a count. A retried task reads its split again in the same order and so packs alike; write the
+result before anything else shuffles it.
 """
 
 from __future__ import annotations
@@ -25,33 +26,31 @@ from pyspark.sql import DataFrame
 from . import bpe
 from .common import small_batches
 
-MAX_OPEN = 8192
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class Piece:
-    """Part of a document: its place there, its ids (4 bytes each)."""
+    """Part of a document: its place there, its ids (unsigned, of two bytes where all fit)."""
 
     __slots__ = ("doc", "ids", "start", "tokens")
 
-    def __init__(self, doc, start: int, ids: bytes, tokens: int):
+    def __init__(self, doc, start: int, ids: np.ndarray, tokens: int):
         self.doc, self.start, self.ids, self.tokens = doc, start, ids, tokens
 
     def __len__(self) -> int:
-        return len(self.ids) // 4
+        return len(self.ids)
 
     def cut(self, n: int) -> tuple["Piece", "Piece"]:
-        return Piece(self.doc, self.start, self.ids[: 4 * n], self.tokens), Piece(self.doc, self.start + n, self.ids[4 * n :], self.tokens)
+        return Piece(self.doc, self.start, self.ids[:n], self.tokens), Piece(self.doc, self.start + n, self.ids[n:], self.tokens)
 
 
 class SumOfSquares:
     """The packer of one partition; ``emit`` gets each finished sequence, a list of pieces."""
 
-    def __init__(self, window: int, emit: Callable[[list[Piece]], None], max_open: int = MAX_OPEN):
-        self.window, self.emit, self.max_open = window, emit, max_open
+    def __init__(self, window: int, emit: Callable[[list[Piece]], None]):
+        self.window, self.emit = window, emit
         self.levels = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
-        self.n_open = 0
 
     def choose(self, size: int) -> int:
         """The level to place ``size`` tokens on: 0 for a new window. Ties go to the fullest level."""
@@ -69,11 +68,11 @@ class SumOfSquares:
             return w - size
         return best
 
-    def add(self, doc, ids: bytes) -> None:
-        tokens, w = len(ids) // 4, self.window
+    def add(self, doc, ids: np.ndarray) -> None:
+        tokens, w = len(ids), self.window
         full = tokens // w
         for k in range(full):
-            self.emit([Piece(doc, k * w, ids[4 * k * w : 4 * (k + 1) * w], tokens)])
+            self.emit([Piece(doc, k * w, ids[k * w : (k + 1) * w], tokens)])
         size = tokens - full * w
         if not size:
             return
@@ -81,11 +80,9 @@ class SumOfSquares:
         pieces = self.open[level].pop() if level else []
         if level:
             self.levels[level] -= 1
-            self.n_open -= 1
-        pieces.append(Piece(doc, full * w, ids[4 * full * w :], tokens))
+        rest = ids[full * w :]
+        pieces.append(Piece(doc, full * w, rest.astype(np.uint16) if not len(rest) or rest.max() < 1 << 16 else rest.copy(), tokens))
         self.put(level + size, pieces)
-        if self.n_open > self.max_open:
-            self.drain(last=False)
 
     def put(self, level: int, pieces: list[Piece]) -> None:
         if level == self.window:
@@ -93,12 +90,11 @@ class SumOfSquares:
             return
         self.levels[level] += 1
         self.open.setdefault(level, []).append(pieces)
-        self.n_open += 1
 
-    def drain(self, last: bool = True) -> None:
+    def drain(self) -> None:
         """Fill the fullest open windows with pieces of the emptiest, cut where needed."""
         rest = [(h, p) for h in sorted(self.open) for p in self.open[h]]
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.levels[:] = 0
         lo, hi = 0, len(rest) - 1
         spare = list(rest[0][1]) if rest else []
@@ -121,10 +117,6 @@ class SumOfSquares:
                 break
             self.emit(pieces)
             hi -= 1
-        if not last:
-            if spare:
-                self.put(sum(map(len, spare)), spare)
-            return
         left = sum(map(len, spare))
         while left:  # the largest power of two each time
             need = 1 << (left.bit_length() - 1)
@@ -161,7 +153,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             nonlocal count
             at = 0
             for p in pieces:
-                row = (p.doc, p.start, len(p), zlib.crc32(p.ids), p.tokens, base + count, at, p.ids)
+                raw = p.ids.astype("<u4").tobytes()
+                row = (p.doc, p.start, len(p), zlib.crc32(raw), p.tokens, base + count, at, raw)
                 for column, value in zip(out, row):
                     column.append(value)
                 at += len(p)
@@ -177,7 +170,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
         for batch in batches:
             for part in bpe._slices(batch):
                 for doc, text in zip(part.column(0).to_pylist(), bpe._texts(part.column(1))):
-                    packer.add(doc, coder.encode(text) + end)
+                    packer.add(doc, np.frombuffer(coder.encode(text) + end, "<u4"))
                     if len(out[0]) >= 4096:
                         yield flush()
         packer.drain()

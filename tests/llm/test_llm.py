@@ -71,14 +71,46 @@ def test_packing_holds_every_id_once(docs, empty):
         assert b"".join(dict(parts).values()) == want
 
 
-def test_sum_of_squares_choice():
+def test_sum_of_squares_choice_by_brute_force():
+    rng = np.random.default_rng(5)
+    for window in (10, 64):
+        out = []
+        p = packing.SumOfSquares(window, out.append)
+        total = 0
+        for i in range(400):
+            size = int(rng.integers(1, window))
+            costs = {}
+            for level in [0, *(h for h in range(1, window - size + 1) if p.levels[h])]:
+                after = p.levels.copy()
+                if level:
+                    after[level] -= 1
+                if level + size < window:
+                    after[level + size] += 1
+                costs[level] = int((after * after).sum())
+            chosen = p.choose(size)
+            assert costs[chosen] == min(costs.values()) and chosen == max(h for h, c in costs.items() if c == costs[chosen])
+            p.add(i, np.full(size, i, np.uint32))
+            total += size
+            assert p.levels.sum() == sum(map(len, p.open.values()))
+        p.drain()
+        full = [sum(map(len, s)) for s in out]
+        assert sum(full) == total and all(n == window or n & (n - 1) == 0 for n in full)
+
+
+def test_windows_that_never_fill():
     out = []
-    p = packing.SumOfSquares(10, out.append)
-    for i, n in enumerate((6, 4, 7, 7, 3)):
-        p.add(i, b"\0\0\0\0" * n)
-    assert [[x.doc for x in s] for s in out] == [[0, 1], [3, 4]] or [[x.doc for x in s] for s in out] == [[0, 1], [2, 4]]
+    p = packing.SumOfSquares(4096, out.append)
+    for i in range(9000):  # no two fit into one window, so that all stay open
+        p.add(i, np.full(2100, i, np.uint32))
+    assert not out and p.levels[2100] == 9000 and p.open[2100][0][0].ids.dtype == np.uint16
+    p.add(-1, np.full(5000, 70_000, np.uint32))
     p.drain()
-    assert sum(len(x) for s in out for x in s) == 27
+    got = {}
+    for s in out:
+        for x in s:
+            got.setdefault(x.doc, []).append((x.start, len(x)))
+            assert set(x.ids.tolist()) == {x.doc if x.doc >= 0 else 70_000}
+    assert all(sum(n for _, n in v) == 2100 for k, v in got.items() if k >= 0) and len(got) == 9001
 
 
 def plain_components(texts, width, percent):
