@@ -39,7 +39,8 @@ def op7_quality(spark, sf_dir):
 
 
 def op8_secrets(spark, sf_dir):
-    return secrets.scans(table(spark, sf_dir, "documents"), secrets.train())
+    words = secrets.whole_words(public_tokenizers.path(VOCABULARY))
+    return secrets.scans(table(spark, sf_dir, "documents"), secrets.train(dictionary=words))
 
 
 def op9_media(spark, sf_dir):

@@ -1,16 +1,19 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-Candidates are long runs of key characters with a digit among them, and whatever of 8 or more characters without
-blanks is assigned to a telling name by = or :, in quotes or not. A random
-forest removes the false ones by the candidate's length, character transitions and shares, how much of it
-dictionary words cover, path and address signs, and the words beside it. It is trained on labelled findings:
-made-up keys of common shapes, and made-up strings that look alike (hashes of releases, identifiers, paths,
-addresses, numbers, names). The findings are made from a seed, so training is the same everywhere.
+Candidates are long runs of key characters with a digit among them, whatever of 8 or more characters without blanks
+is assigned to a telling name by = or :, in quotes or not, passwords in addresses, and blocks of private keys. A
+random forest removes the false ones by the candidate's length, character transitions and shares, how much of it
+dictionary words cover, path and address signs, and the words before and after it. The dictionary is a list of
+words that is given (the queries take the whole words of a public vocabulary file). The forest is trained on
+labelled findings: made-up keys of common shapes, and made-up strings that look alike (digests of files and
+commits, identifiers, paths, addresses, numbers, names, references). The findings are made from a seed, so training
+is the same everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -37,10 +40,16 @@ VALUE_END = re.compile(r"""[&;,](?=["'`]?[A-Za-z_][\w.\-]*["'`]?[=:])|["'`](?=[>
 OPENED = {")": "(", "]": "[", "}": "{", ">": "<"}
 NAME_AND_SIGN = re.compile(r"[A-Za-z][\w.\-]*[=:]{1,3}")
 NAME_SPAN, LEAST, NESTED = 64, 8, 256
+LOGIN = re.compile(r"://[^\s/:@]{0,64}:([^\s/@]{6,256})@")
+BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+BLOCK_LINE = re.compile(r"\s*[A-Za-z0-9+/=]{16,}[ \t\r]*(?=\n|$)")
 BESIDE = 32
 MARK = "[REDACTED]"
 #: Names that announce a secret, and common words that identifiers are made of.
 TELLING = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "api", "private", "access", "akia")
+#: Names of what is public although it looks random.
+PUBLIC = ("commit", "sha", "md5", "checksum", "digest", "hash", "revision", "rev", "etag", "integrity", "crc", "fingerprint", "uuid", "guid", "build", "version", "tree", "blob", "merge", "object")
 DICTIONARY = ("account", "address", "batch", "build", "cache", "check", "class", "client", "code", "config", "content", "count", "data", "date", "default", "document", "error", "event", "example", "false", "field", "file", "format", "group", "handler", "http", "image", "index", "input", "item", "label", "length", "level", "license", "line", "list", "mail", "main", "manager", "message", "method", "model", "module", "name", "node", "number", "object", "option", "order", "output", "page", "param", "path", "point", "process", "project", "query", "record", "release", "report", "request", "result", "return", "sample", "schema", "search", "server", "service", "session", "source", "spark", "start", "state", "status", "stream", "string", "system", "table", "task", "test", "text", "time", "title", "true", "type", "update", "user", "value", "version", "view", "window", "write", "tion", "ing", "the", "and", "ment")
 #: Names whose values may be phrases, and common pairs of letters, by which words are told from random letters.
 STRONG = ("secret", "password", "passwd", "pwd", "token", "credential")
@@ -48,10 +57,33 @@ PAIRS = frozenset("th he in er an re nd at on nt ha es st en ed to it ou ea hi i
 #: Ordinary words: values of telling names in prose, and the parts of phrases.
 ORDINARY = ("required", "optional", "incorrect", "important", "undefined", "something", "different", "available", "information", "management", "understanding", "development", "everything", "necessary", "protected", "encrypted", "disabled", "expired", "Alexander", "Elizabeth", "ordinary", "question", "following", "together", "children", "mountain", "government", "interesting", "restricted", "unlimited")
 SHORT = ("correct", "horse", "battery", "staple", "river", "stone", "green", "window", "paper", "tiger", "cloud", "silver", "apple", "garden", "north", "summer", "candle", "orange", "forest", "bridge", "rocket", "violin")
-_WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 _KINDS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 
 
+def whole_words(vocabulary: str, least: int = 4) -> frozenset[str]:
+    """The words of letters that end a word in a ``tokenizers`` vocabulary file, from ``least`` letters on."""
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    return frozenset(w for t in model["vocab"] if t.endswith(end) and len(w := t.removesuffix(end)) >= least and w.isascii() and w.isalpha() and w.islower())
+
+
+def covered(value: str, words: frozenset[str]) -> int:
+    """Letters of the value that words cover, the longest word at each place first."""
+    total = 0
+    for run in re.findall(r"[a-z]{3,}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()):
+        at = 0
+        while at < len(run):
+            for k in range(min(len(run), at + 16), at + 2, -1):
+                if run[at:k] in words:
+                    total += k - at
+                    at = k
+                    break
+            else:
+                at += 1
+    return total
+
+
 def split_candidate(text: str, start: int, end: int) -> tuple[int, int, str, str]:
     """(start, end, name, words before) of the value in a candidate run: ``name=value`` runs are split, end marks dropped."""
     run = text[start:end].rstrip(".:=-@/") or text[start:end]
@@ -62,6 +94,22 @@ def split_candidate(text: str, start: int, end: int) -> tuple[int, int, str, str
     return start, start + len(run), "", before.lower()
 
 
+def marked_values(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Passwords in addresses, and blocks of private keys up to their end line (without one, up to the last key line)."""
+    for m in LOGIN.finditer(text):
+        yield *m.span(1), "password", text[max(0, m.start() - BESIDE) : m.start()].lower()
+    at = 0
+    while m := BLOCK.search(text, at):
+        end, stop = BLOCK_END.search(text, m.end()), BLOCK.search(text, m.end())
+        at = m.end()
+        if end and not (stop and stop.start() < end.start()):
+            at = end.end()
+        else:
+            while line := BLOCK_LINE.match(text, at):
+                at = line.end()
+        yield m.start(), at, "private key", text[max(0, m.start() - BESIDE) : m.start()].lower()
+
+
 def assigned_values(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, name, words before) of the values of telling names.
 
@@ -96,7 +144,7 @@ def assigned_values(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Runs and assigned values, each place once; they may overlap. A run that is a name and the start of its
+    """Runs, assigned and marked values, each place once; they may overlap. A run that is a name and the start of its
     assigned value is left to that value."""
     assigned = list(assigned_values(text))
     starts, at, seen = [c[0] for c in assigned], 0, set()
@@ -109,34 +157,40 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
                 continue
             seen.add((s, e))
             yield s, e, name, before
-    for c in assigned:
+    for c in [*assigned, *marked_values(text)]:
         if c[:2] not in seen:
+            seen.add(c[:2])
             yield c
 
 
-def candidate_features(value: str, name: str, before: str) -> list[float]:
+def candidate_features(value: str, name: str, before: str, after: str, dictionary: frozenset[str]) -> list[float]:
     n = len(value)
     kinds = [_KINDS.get(c, 3) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
     moves = Counter(zip(kinds, kinds[1:]))
     steps = max(1, n - 1)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    covered = sum(len(w) for w in _WORDS.findall(value.lower())) / n
-    words = re.findall(r"[a-z]+", before)[-2:]
+    words, then = re.findall(r"[a-z0-9]+", before)[-2:], re.findall(r"[a-z]+", after)[:2]
     assigned = bool(name) or bool(re.search(r"[=:]\s*[\"']?$", before))
     near = any(t in w for w in [*words, name] for t in TELLING)
+    hexed = sum(c in "0123456789abcdefABCDEF" for c in value) / n
     return [
         float(n), *share, entropy, entropy / math.log2(n + 1), sum(c for (a, b), c in moves.items() if a != b) / steps,
         (moves[0, 2] + moves[2, 0]) / steps, (moves[1, 2] + moves[2, 1]) / steps, (moves[0, 1] + moves[1, 0]) / steps,
-        sum(c in "0123456789abcdef" for c in value) / n, covered, float(value.count("/")), float("@" in value or "://" in value), float(value.count(".")),
+        hexed, covered(value, dictionary) / n, float(value.count("/")), float("@" in value or "://" in value), float(value.count(".")),
         float(value.count("-") + value.count("_")), float(assigned), float(near), max(len(x) for x in re.split(r"[^0-9]", value)) / n,
         float(len(set(value))), float(value.isupper() and value.isalnum()),
         sum(value[i : i + 2].lower() in PAIRS for i in range(n - 1)) / steps, float(any(t in w for w in [*words[-1:], name] for t in STRONG)),
+        float(any(w.startswith(PUBLIC) for w in [*words, name] if w)), float(any(t in w for w in then for t in (*TELLING, *PUBLIC))),
+        float(hexed == 1 and n in (32, 40, 56, 64, 96, 128)), float("PRIVATE KEY-----" in value),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, int]]:
-    """(value, name, words before, 1 for a secret) made from a seed."""
+Finding = tuple[str, str, str, str, int]
+
+
+def labelled_findings(n: int = 3000, seed: int = 7) -> list[Finding]:
+    """(value, name, words before, words after, 1 for a secret) made from a seed."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
     hexed, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
@@ -153,7 +207,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
         )[kind]()
         style = rng.randrange(3)
         name, before = (secret_name(), prose()) if named and style == 0 else ("", prose() + secret_name() + rng.choice((' = "', ": ", "=", ' is "'))) if named else ("", prose())
-        out.append((value, name, before, 1))
+        out.append((value, name, before, rng.choice(("", " ", '"\n', " ")) + prose(), 1))
         kind = rng.randrange(12)
         value = (
             lambda: f"{pick('etaoinsr', rng.randint(3, 7))}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: pick(string.digits, rng.choice((12, 13, 16))), lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"20{pick(string.digits, 2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(10, 23)}:{pick('012345', 2)}:00",
@@ -161,14 +215,24 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
             lambda: word().title() + word().title() + word().title() + str(rng.randint(0, 9)), lambda: pick("etaoinshrdlucm", rng.randint(12, 24)) + rng.choice(("", "1", "2.")), lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}-{word()}.{rng.randint(1, 9)}", lambda: f"+{rng.randint(1, 99)}-{pick(string.digits, 3)}-{pick(string.digits, 4)}-{pick(string.digits, 3)}",
         )[kind]()
         before = prose() + rng.choice(("", "", "see ", "file: ", "id = ", "commit ", "version: ", "path="))
-        out.append((value, rng.choice(("", "", word())), before, 0))
+        out.append((value, rng.choice(("", "", word())), before, prose(), 0))
+        if rng.random() < 0.5:  # digests and commits, named before or after, in hex or base64
+            told = rng.choice(PUBLIC)
+            digest = pick(rng.choice((hexed, hexed, hexed.upper())), rng.choice((32, 40, 40, 64, 64, 96, 128))) if rng.random() < 0.8 else pick(alnum + "+/", rng.choice((43, 64, 86))) + "="
+            told += rng.choice(("", "", "1", "256", "512", "sum", "_id"))
+            place = rng.randrange(3)
+            out.append((digest, told if place == 0 else "", prose() + (told + rng.choice((" ", ": ", " = ", ":", " (")) if place == 1 else ""), f" {told} " if place == 2 else " " + prose(), 0))
+        if rng.random() < 0.1:
+            out.append((pick(alnum + "+/", 64), "", pick(alnum + "+/", 31) + "\n", "\n" + pick(alnum + "+/", 31), 0))
+            kind = rng.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+            out.append((f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(rng.randint(1, 26))) + rng.choice((f"\n-----END {kind}PRIVATE KEY-----", "")), "private key", prose(), "", 1))
         if rng.random() < 0.2:
-            out.append((pick("x*0", 1) * rng.randint(8, 20) + rng.choice(("", "1")), secret_name(), prose(), 0))
-            out.append((pick(hexed, rng.choice((7, 12))) + "0" * rng.randint(2, 6), "", prose() + "commit ", 0))
+            out.append((pick("x*0", 1) * rng.randint(8, 20) + rng.choice(("", "1")), secret_name(), prose(), "", 0))
+            out.append((pick(hexed, rng.choice((7, 12))) + "0" * rng.randint(2, 6), "", prose() + "commit ", prose(), 0))
     return out + _assigned_findings(n, random.Random(seed + 1))
 
 
-def _assigned_findings(n: int, rng: random.Random) -> list[tuple[str, str, str, int]]:
+def _assigned_findings(n: int, rng: random.Random) -> list[Finding]:
     """Values of telling names: phrases, letters alone, short keys and special signs; against words, references and code."""
     pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
     lower, letters, alnum = string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits
@@ -187,7 +251,7 @@ def _assigned_findings(n: int, rng: random.Random) -> list[tuple[str, str, str,
         )[k]()
         if k in (0, 7):
             name = strong()
-        out.append((value, name, f"{pick(lower, 5)} {name}{sign()}", 1))
+        out.append((value, name, f"{pick(lower, 5)} {name}{sign()}", rng.choice(("", '"', "\n", " and")), 1))
         name = strong() if rng.random() < 0.5 else weak()
         k = rng.randrange(8)
         value = (
@@ -195,16 +259,17 @@ def _assigned_findings(n: int, rng: random.Random) -> list[tuple[str, str, str,
             lambda: f"os.environ['{name.upper()}']" if rng.random() < 0.5 else f"{word()}.{word()}.{name}", lambda: f"https://www.{word()}.example.org/{word()}", lambda: pick("x*.-", 1) * rng.randint(8, 20), lambda: f"{word()}-{word()}" if name in STRONG else f"{word()}-{word()}-{word()}",
         )[k]()
         if len(value) >= LEAST:
-            out.append((value, name, f"{pick(lower, 5)} {name}{sign()}", 0))
+            out.append((value, name, f"{pick(lower, 5)} {name}{sign()}", rng.choice(("", '"', "\n", " and")), 0))
     return out
 
 
 class Forest:
     """Random forest: bootstrap samples, a random subset of features at each split, Gini impurity."""
 
-    def __init__(self, trees: int = 30, depth: int = 8, leaf: int = 5, seed: int = 11):
-        self.n_trees, self.depth, self.leaf, self.seed = trees, depth, leaf, seed
-        self.trees: list[list[tuple[int, float, int, int, float]]] = []
+    def __init__(self, trees: int = 40, depth: int = 11, leaf: int = 4, seed: int = 11, dictionary: frozenset[str] = frozenset()):
+        self.n_trees, self.depth, self.leaf, self.seed, self.dictionary = trees, depth, leaf, seed, dictionary
+        #: for each tree the arrays of its nodes: feature (-1: a leaf), cut, left, right, share of secrets
+        self.trees: list[tuple[np.ndarray, ...]] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Forest":
         rng = np.random.default_rng(self.seed)
@@ -212,7 +277,7 @@ class Forest:
             rows = rng.integers(0, len(x), len(x))
             nodes: list[tuple[int, float, int, int, float]] = []
             self._grow(x[rows], y[rows], 0, nodes, rng)
-            self.trees.append(nodes)
+            self.trees.append(tuple(np.array(c) for c in zip(*nodes)))
         return self
 
     def _grow(self, x, y, depth, nodes, rng) -> int:
@@ -243,8 +308,7 @@ class Forest:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for nodes in self.trees:
-            f, cut, a, b, p = (np.array(c) for c in zip(*nodes))
+        for f, cut, a, b, p in self.trees:
             at = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 inner = f[at] >= 0
@@ -256,27 +320,34 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def train(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    """A forest of labelled findings: (value, name, words before, label)."""
+def train(findings: list[Finding] | None = None, dictionary: frozenset[str] = frozenset(DICTIONARY)) -> Forest:
+    """A forest of labelled findings: (value, name, words before, words after, label)."""
     findings = labelled_findings() if findings is None else findings
-    x = np.array([candidate_features(v, n, b) for v, n, b, _ in findings])
-    return Forest().fit(x, np.array([y for *_, y in findings], np.float64))
+    x = np.array([candidate_features(*f[:4], dictionary) for f in findings])
+    return Forest(dictionary=dictionary).fit(x, np.array([f[4] for f in findings], np.float64))
+
+
+def scan_all(texts: list[str | None], forest: Forest, cut: float = 0.5) -> list[tuple[int, list[tuple[int, int, float]]]]:
+    """(number of candidates, findings as (start, length, score)) of each text, in order; those that overlap are one.
+    The candidates of all texts are judged together."""
+    found = [list(candidates(t or "")) for t in texts]
+    x = [candidate_features(t[s:e], name, before, t[e : e + BESIDE].lower(), forest.dictionary) for t, c in zip(texts, found) for s, e, name, before in c]
+    p = iter(forest.predict(np.array(x)).tolist() if x else ())
+    all_out = []
+    for c in found:
+        out: list[tuple[int, int, float]] = []
+        for s, e, q in sorted((s, e, q) for (s, e, _, _), q in zip(c, p) if q >= cut):
+            if out and s < sum(out[-1][:2]):
+                a, k, r = out[-1]
+                out[-1] = (a, max(k, e - a), max(r, q))
+            else:
+                out.append((s, e - s, q))
+        all_out.append((len(c), out))
+    return all_out
 
 
 def scan(text: str | None, forest: Forest, cut: float = 0.5) -> tuple[int, list[tuple[int, int, float]]]:
-    """(number of candidates, findings as (start, length, score)) of one text, in order; those that overlap are one."""
-    found = list(candidates(text or ""))
-    if not found:
-        return 0, []
-    p = forest.predict(np.array([candidate_features(text[s:e], name, before) for s, e, name, before in found]))
-    out: list[tuple[int, int, float]] = []
-    for s, e, q in sorted((s, e, float(q)) for (s, e, _, _), q in zip(found, p) if q >= cut):
-        if out and s < sum(out[-1][:2]):
-            a, k, r = out[-1]
-            out[-1] = (a, max(k, e - a), max(r, q))
-        else:
-            out.append((s, e - s, q))
-    return len(found), out
+    return scan_all([text], forest, cut)[0]
 
 
 def redact(text: str | None, findings: list[tuple[int, int, float]]) -> str | None:
@@ -311,10 +382,10 @@ def scans(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in _slices(batch):
                 n, rows, texts = [], [], []
-                for t in _texts(part.column(0)):
-                    count, found = scan(t, forest, cut)
+                whole = list(_texts(part.column(0)))
+                for t, (count, found) in zip(whole, scan_all(whole, forest, cut)):
                     n.append(count)
-                    rows.append([{"start": s, "length": k, "score": q, "sha256": hashlib.sha256(t[s : s + k].encode("utf-8")).hexdigest()} for s, k, q in found])
+                    rows.append([{"start": s, "length": k, "score": q, "sha256": hashlib.sha256(t[s : s + k].encode("utf-8", "surrogatepass")).hexdigest()} for s, k, q in found])
                     if with_text:
                         texts.append(redact(t, found))
                 made = [pa.array(n, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind), *([pa.array(texts, pa.string())] if with_text else [])]
