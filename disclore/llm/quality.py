@@ -2,8 +2,11 @@
 
 Every line is good or bad. Line features are shares of character kinds, lengths and repetition, with the
 same features of the lines before and after; the chain adds how likely good and bad follow each other.
-Training lines carry their document's label. Forward-backward gives each line's probability of being good;
-their mean weighted by line length is the document's quality, and a logistic curve calibrates it.
+Only documents are labelled, so the lines' states are latent: a good document's lines are all good, a bad one has
+at least one bad line. The field starts from lines that carry their document's label and then climbs the likelihood
+of what the labels say about the lines, so a bad document may keep good lines and the chain learns how stretches of
+good and bad follow each other. Forward-backward gives each line's probability of being good; their mean weighted by
+line length is the document's quality, and a logistic curve calibrates it.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 from .toxicity import thinned
 
 N_LINE = 12
+#: Lines of a chain in training (longer texts are several chains there), and cells of a group of chains.
+TRAIN_LINES, GROUP_LINES = 256, 20_000
 
 
 def _kinds() -> np.ndarray:
@@ -82,8 +87,8 @@ class Model:
     shift: float
 
 
-def marginals(u: np.ndarray, edges: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(line is good) and P(edge from, to), for chains side by side.
+def marginals(u: np.ndarray, edges: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(line is good), P(edge from, to) and the logarithm of the sum over all labellings, for chains side by side.
 
     u: [chains, lines], the log odds of good; length: lines of each chain, descending; beyond them nothing counts.
     """
@@ -92,12 +97,15 @@ def marginals(u: np.ndarray, edges: np.ndarray, length: np.ndarray) -> tuple[np.
     a = np.zeros((n, t, 2))
     b = np.zeros((n, t, 2))
     a[:, 0, 1] = u[:, 0]
+    taken = np.zeros(n)
     for k in range(1, t):
         m = alive[k]
         p = a[:m, k - 1]
         a[:m, k, 0] = np.logaddexp(p[:, 0] + edges[0, 0], p[:, 1] + edges[1, 0])
         a[:m, k, 1] = np.logaddexp(p[:, 0] + edges[0, 1], p[:, 1] + edges[1, 1]) + u[:m, k]
-        a[:m, k] -= a[:m, k].max(1, keepdims=True)
+        top = a[:m, k].max(1)
+        taken[:m] += top
+        a[:m, k] -= top[:, None]
     for k in range(t - 2, -1, -1):
         m = alive[k + 1]
         q0, q1 = b[:m, k + 1, 0], b[:m, k + 1, 1] + u[:m, k + 1]
@@ -109,7 +117,7 @@ def marginals(u: np.ndarray, edges: np.ndarray, length: np.ndarray) -> tuple[np.
     if t > 1:
         pair = np.exp(pair - pair.max((2, 3), keepdims=True))
         pair /= pair.sum((2, 3), keepdims=True)
-    return good, pair
+    return good, pair, taken + np.logaddexp(*a[np.arange(n), length - 1].T)
 
 
 def _padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,14 +141,48 @@ def quality_of(chains: list[np.ndarray], sizes: list[np.ndarray], model: Model)
         at += len(group)
         u = [((chains[i] - model.mean) / model.scale) @ model.unary for i in group]
         _, length, padded = _padded(u)
-        good, _ = marginals(padded, model.edges, length)
+        good = marginals(padded, model.edges, length)[0]
         for k, i in enumerate(group):  # they are in order already: lengths descend
             w = sizes[i]
             out[i] = (good[k, : len(w)] * w).sum() / w.sum()
     return out
 
 
-def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 150, l2: float = 1e-3) -> Model:
+def _groups(chains: list[np.ndarray], labels: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Chains of like length side by side: (lengths, labels, weights, mask, features). A document counts once however
+    long it is, and both labels count alike."""
+    share = {v: 0.5 / max(1, (labels == v).sum()) for v in (0, 1)}
+    rows = [(c[k : k + TRAIN_LINES], int(v), share[int(v)] / len(c)) for c, v in zip(chains, labels) for k in range(0, len(c), TRAIN_LINES)]
+    rows.sort(key=lambda r: -len(r[0]))
+    out, at = [], 0
+    while at < len(rows):
+        part = rows[at : at + max(1, GROUP_LINES // len(rows[at][0]))]
+        at += len(part)
+        _, length, x = _padded([c for c, *_ in part])
+        out.append((length, np.array([v for _, v, _ in part]), np.array([w for *_, w in part]), np.arange(x.shape[1])[None] < length[:, None], x.astype(np.float32)))
+    return out
+
+
+def _slope(group: tuple[np.ndarray, ...], w: np.ndarray, edges: np.ndarray, latent: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of a group's log likelihood: what the labels say about lines and edges less what the field expects."""
+    length, label, weight, mask, x = group
+    u = (x @ w.astype(np.float32)).astype(np.float64) * mask
+    good, pair, total = marginals(u, edges, length)
+    told, linked = np.repeat(label[:, None], good.shape[1], 1).astype(float), np.zeros_like(pair)
+    linked[label == 0, :, 0, 0] = linked[label == 1, :, 1, 1] = 1
+    if latent:  # a bad document: any labelling but the one that is good throughout
+        all_good = np.exp(np.minimum(u.sum(1) + (length - 1) * edges[1, 1] - total, 0))[:, None]
+        rest, bad = np.maximum(1 - all_good, 1e-6), label == 0
+        told[bad] = np.clip((good - all_good) / rest, 0, 1)[bad]
+        both = pair.copy()
+        both[:, :, 1, 1] = np.maximum(both[:, :, 1, 1] - all_good, 0)
+        linked[bad] = (both / rest[:, :, None, None])[bad]
+    off = (told - good) * mask * weight[:, None]
+    real = mask[:, 1:] * weight[:, None]
+    return np.einsum("nt,ntf->f", off, x), ((linked - pair) * real[:, :, None, None]).sum((0, 1))
+
+
+def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 120, l2: float = 1e-3) -> Model:
     """Train on (text, label) pairs: the field on even rows, the curve on odd ones. Without both labels all score 1."""
     sample = sorted(thinned(sample), key=lambda r: r[1])  # so that every part has both labels
     made = [line_features(t) for t, _ in sample]
@@ -152,26 +194,17 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 150, l2: f
     flat = np.vstack(chains[::2])
     mean, scale = flat.mean(0), flat.std(0) + 1e-6
     mean[-1], scale[-1] = 0.0, 1.0
-    order, length, x = _padded([(c - mean) / scale for c in chains[::2]])
-    label = y[::2][order]
-    mask = np.arange(x.shape[1])[None] < length[:, None]
-    x[~mask] = 0
+    groups = _groups([(c - mean) / scale for c in chains[::2]], y[::2])
     w, edges = np.zeros(width), np.zeros((2, 2))
-    weight = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()) / length
-    moment = [np.zeros(width + 4), np.zeros(width + 4)]
-    for step in range(1, steps + 1):  # Adam on the log likelihood; a document counts once however long it is
-        good, pair = marginals(x @ w, edges, length)
-        off = (label[:, None] - good) * mask * weight[:, None]
-        seen = np.zeros((2, 2))
-        real = mask[:, 1:] * weight[:, None]
-        for v in (0, 1):
-            seen[v, v] += real[label == v].sum()
-        expected = (pair * real[:, :, None, None]).sum((0, 1))
-        g = np.concatenate([np.einsum("nt,ntf->f", off, x) - l2 * w, (seen - expected).ravel() - 0.05 * edges.ravel()])
-        moment[0] = 0.9 * moment[0] + 0.1 * g
-        moment[1] = 0.99 * moment[1] + 0.01 * g * g
-        move = 0.1 * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)
-        w, edges = w + move[:width], edges + move[width:].reshape(2, 2)
+    for latent in (False, True):
+        moment = [np.zeros(width + 4), np.zeros(width + 4)]
+        for step in range(1, (steps if not latent else steps // 2) + 1):  # Adam
+            parts = [_slope(g, w, edges, latent) for g in groups]
+            g = np.concatenate([sum(p[0] for p in parts) - l2 * w, (sum(p[1] for p in parts) - 0.005 * edges).ravel()])
+            moment[0] = 0.9 * moment[0] + 0.1 * g
+            moment[1] = 0.99 * moment[1] + 0.01 * g * g
+            move = (0.02 if latent else 0.1) * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)
+            w, edges = w + move[:width], edges + move[width:].reshape(2, 2)
     model = Model(mean, scale, w, edges, (1.0, 0.0), 0.0)
     q = quality_of(chains[1::2], [s for _, s in made[1::2]], model)
     curve = logistic(_logit(q)[:, None], y[1::2])
@@ -179,6 +212,12 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 150, l2: f
     return Model(mean, scale, w, edges, (float(curve[0]), float(curve[1])), shift)
 
 
+def line_quality(text: str, model: Model) -> np.ndarray:
+    """P(line is good) of a text's lines (``line_features`` tells which those are)."""
+    u = ((chain_features(line_features(text)[0]) - model.mean) / model.scale) @ model.unary
+    return marginals(u[None], model.edges, np.array([len(u)]))[0][0]
+
+
 def _logit(q: np.ndarray) -> np.ndarray:
     q = np.clip(q, 1e-6, 1 - 1e-6)
     return np.log(q / (1 - q))
@@ -215,6 +254,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 2000), folds: int = 5, held: int = 0, cut: float = 0.3) -> Model:
+    """A model of at most so many labelled bad and good documents (see ``labelled_sample``)."""
     return fit(labelled_sample(docs, labels, "quality", folds, held, per_class), cut)
 
 

@@ -199,9 +199,10 @@ def test_marginals_by_brute_force():
     from itertools import product
 
     u, e = np.array([[0.5, -1.0, 0.3, 2.0]]), np.array([[0.4, -0.2], [0.1, 0.7]])
-    good, pair = quality.marginals(u, e, np.array([4]))
+    good, pair, total = quality.marginals(u, e, np.array([4]))
     p = {y: np.exp(sum(u[0, k] * y[k] for k in range(4)) + sum(e[y[k], y[k + 1]] for k in range(3))) for y in product((0, 1), repeat=4)}
     z = sum(p.values())
+    assert np.allclose(total, np.log(z))
     assert np.allclose(good[0], [sum(v for y, v in p.items() if y[k]) / z for k in range(4)])
     assert np.allclose(pair[0, 1, 0, 1], sum(v for y, v in p.items() if y[1] == 0 and y[2] == 1) / z)
 
@@ -214,6 +215,11 @@ def test_quality_learns_and_is_defined_everywhere(docs, empty):
     test = docs.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(sample)], "doc_id long, text string")
     got = {r["doc_id"]: r["predicted"] for r in quality.scores(test, m).collect()}
     assert sum(got[i] == y for i, (_, y) in enumerate(sample)) >= 195
+    mixed = "\n".join(line(k >= 6) for k in range(12))  # a good half and a bad one
+    halves = quality.line_quality(mixed, quality.fit([*sample, *[("\n".join(line(k >= 3) for k in range(6)), 0) for _ in range(60)]], steps=80))
+    assert (halves[:5] > 0.5).all() and (halves[7:] < 0.5).all()
+    for one_sided in ([], [("a line", 1)] * 9, [("a line", 0)]):
+        assert quality.scores(test, quality.fit(one_sided)).where("score < 0.99").count() == 0
     out = {r["doc_id"]: r[-2] for r in quality.scores(docs, m, keep=docs.columns).collect()}
     assert out[0] == out[1] == out[2] == 0 and quality.scores(empty, m).count() == 0
 
