@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, written
+from .common import discard, is_empty, written
 from .graph import components
 
 LEAF = 24
 SAMPLE = 512
-SLACK = 1e-9
+#: More than the rounding of a distance: the root of 2 - 2xy is off by up to about 3e-8 where x and y nearly agree.
+SLACK = 1e-7
 
 
 def unit(rows: list) -> np.ndarray:
@@ -200,6 +201,7 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, block: int = 2048, m
     cells = written(cells, "cells")
     dealt = placed.join(cells.select("label", "pivot", "parts"), ["label", "pivot"]).select("rid", "label", "pivot", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), "v", "weight")
     dealt = written(dealt, "dealt")
+    discard(placed)
     gaps = _distance(pivots, pivots)
     spark = vectors.sparkSession
     gap = spark.createDataFrame([(i, j, float(gaps[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "p int, q int, gap double")  # at most max_pivots squared rows
@@ -213,11 +215,15 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, block: int = 2048, m
     second = dealt.join(pairs.where("p <> q or i <> j").select("label", F.col("q").alias("pivot"), F.col("j").alias("part"), "pair"), ["label", "pivot", "part"]).select("pair", F.lit(1).alias("side"), "rid", "weight", "v")
     found = first.union(second).groupBy("pair").applyInPandas(lambda f: links_of_blocks(f, threshold), "rid long, n long, anchor long")
     found = written(found, "links")
+    for t in (cells, dealt, pairs):
+        discard(t)
     counts = found.groupBy("rid").agg(F.sum("n").alias("n"))
     roots = components(found, "rid", "anchor")
     member = distinct.select("rid", "k1", "k2", "first_id", "weight").join(counts, "rid", "left").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left")
     member = written(member.select("k1", "k2", "first_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rid").alias("root")), "members")
     least = written(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = written(member.join(least, "root").select("k1", "k2", "n_links", "component_id"), "named")
+    for t in (distinct, found, roots, member, least):
+        discard(t)
     out = slim.join(named, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -36,8 +36,8 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 _S30, _S27, _S31, _S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
 MAX_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
-#: Sets that meet as one side of a task where buckets are ambiguous.
-BLOCK = 256
+#: Sets that meet as one side of a task where buckets are ambiguous, and their shingles; a larger set is alone.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         least = written(member.where("linked").groupBy("root").agg(F.min("first_id").alias("least")), "least")
         named = member.join(least, "root", "left").select("fp", F.coalesce("least", "first_id").alias("cid"))
     named = written(named, "named")
+    discard(classes)
     slim = sketch.select("doc_id", "n_shingles", "fp")
     out = slim.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("cid", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -232,7 +233,7 @@ def class_components(src: DataFrame, classes: DataFrame, width: int, percent: in
         return None
     wanted = members.select("rid").distinct()
     n = wanted.count()
-    found = classes.select("rid", "fp", "first_id").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "rid", "left_semi")
+    found = classes.select("rid", "fp", "first_id", "size").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "rid", "left_semi")
     found = written(found, "wanted")
     ids = found.select(F.col("first_id").alias("doc_id")).distinct()
     texts = src.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -249,17 +250,17 @@ def class_components(src: DataFrame, classes: DataFrame, width: int, percent: in
     sizes = placed.groupBy("key", "root").count()
     open_keys = written(sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("top")), "open")
     here = written(placed.join(open_keys, "key").select("key", "rid", "root"), "ambiguous")
-    for t in (placed, open_keys, members):
+    for t in (placed, open_keys, members, pairs):
         discard(t)
     if is_empty(here):
-        discard(here)
-        discard(sets)
+        for t in (here, sets, found, judged):
+            discard(t)
         return roots
     # what shares an ambiguous bucket, directly or by way of others, is compared block by block
     low = here.groupBy("key").agg(F.min("rid").alias("low"))
     fields = components(here.join(low, "key").where("rid <> low").select(F.col("low").alias("a"), F.col("rid").alias("b")).distinct())
-    fields = written(fields.select(F.col("node").alias("rid"), F.col("root").alias("field")), "fields")
-    parts = written(fields.groupBy("field").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
+    fields = written(fields.select(F.col("node").alias("rid"), F.col("root").alias("field")).join(found.select("rid", "size"), "rid"), "fields")
+    parts = written(fields.groupBy("field").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts")), "parts")
     dealt = fields.join(parts, "field").select("field", "rid", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"))
     dealt = written(dealt.join(here.select("rid", "root").distinct(), "rid"), "dealt")
     tasks = parts.select("field", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "parts").select("field", "i", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)).alias("j"))
@@ -269,7 +270,6 @@ def class_components(src: DataFrame, classes: DataFrame, width: int, percent: in
     again = met.groupBy("task").applyInPandas(lambda f: _links_between(f, percent), "a long, b long")
     again = written(again, "judged")
     out = roots if is_empty(again) else components(links.union(again))
-    for t in (here, fields, parts, dealt, tasks):
+    for t in (here, fields, parts, dealt, tasks, sets, found, judged, again, *([roots] if out is not roots else [])):
         discard(t)
-    discard(sets)
     return out

@@ -175,6 +175,21 @@ def test_vectors_by_brute_force(spark):
     assert covertree.near_links(df.limit(0)).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    """Angles a hair on either side of the threshold, in tight groups, so that whole nodes are counted and dropped."""
+    rows, t = [], np.arccos(0.93)
+    for g in range(20):
+        at = g * 0.31
+        for k in range(30):
+            side = (k % 2) * (t + (1e-9 if g % 2 else -1e-9))
+            a = at + side
+            rows.append((g * 30 + k, [float(np.cos(a)), float(np.sin(a)), 0.0], g))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in covertree.near_links(df, block=8).collect()}
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    assert got == {i: sum(h == g and j != i and cos(v, u) >= 0.93 for j, u, h in rows[g * 30 : g * 30 + 30]) for i, v, g in rows}
+
+
 def test_toxicity_learns_and_is_defined_everywhere(docs, empty):
     rng = np.random.default_rng(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
