@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,13 +15,14 @@ from .text import clean_lines, strip
 
 # Element ids of the disclosure form's header.
 HEADER_IDS = {"company_name_he": "HeaderEntityNameEB", "company_name_en": "HeaderEntityNameEn", "registration_number": "HeaderSingNumberD", "form_type": "HeaderFormNumber", "submission_date": "HeaderSendDate", "subject": "HeaderFormSubject", "proof_id": "HeaderProofValue"}
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 BOILERPLATE = ("script", "style", "head", "footer", "nav")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-def _decoded(t: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """Named and numeric entities decoded, a no-break space as a blank; SQL has no function for it."""
+    return text.map(lambda t: t if t is None or "&" not in t else unescape(t).replace("\xa0", " "))
 
 
 def html_text(h: Column, separator: str = "\n", drop: tuple[str, ...] = ()) -> Column:
@@ -51,7 +52,7 @@ def narrative(h: Column, least: int = 80, share: float = 0.5) -> Column:
         n = F.length(strip(F.regexp_replace(b, r"(?s)<[^>]*>", "")))
         return (n >= least) & (linked <= share * n)
 
-    return F.array_join(F.transform(F.filter(blocks, dense), lambda b: strip(_decoded(F.regexp_replace(b, r"(?s)<[^>]*>", " ")))), "\n")
+    return _decoded(F.array_join(F.transform(F.filter(blocks, dense), lambda b: strip(F.regexp_replace(b, r"(?s)<[^>]*>", " "))), "\n"))
 
 
 class _Form(HTMLParser):

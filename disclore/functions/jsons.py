@@ -98,16 +98,19 @@ def cluster_reply(reply: Column, least: int = 4) -> Column:
     j = F.from_json(r, "cluster_id string, title string, confidence string", {"mode": "PERMISSIVE"})
     is_json = F.try_parse_json(r).isNotNull() & r.startswith("{") & j["cluster_id"].isNotNull()
     number, confidence = j["cluster_id"].try_cast("long"), F.coalesce(j["confidence"], F.lit("0")).try_cast("int")
+    def told_by(key: str, value: str) -> Column:  # "key": value, its value in quotes or not
+        return F.nullif(F.regexp_extract(r, rf'{key}"\s*:\s*"?({value})', 1), empty)
+
     strict_new = is_json & (j["cluster_id"] == "NEW_CLUSTER")
     strict = is_json & number.isNotNull() & confidence.isNotNull()
-    field = F.coalesce(F.nullif(F.regexp_extract(r, r'cluster_id"\s*:\s*"(NEW_CLUSTER|\d+)"', 1), empty), F.nullif(F.regexp_extract(r, r'cluster_id"\s*:\s*(NEW_CLUSTER|\d+)', 1), empty))
-    told = F.coalesce(F.regexp_extract(r, r'confidence"\s*:\s*(\d)', 1).try_cast("int"), F.lit(5))
+    field = told_by("cluster_id", r"NEW_CLUSTER|\d+")
+    told = F.coalesce(told_by("confidence", r"\d").try_cast("int"), F.lit(5))
     lead = F.nullif(F.regexp_extract(r, r"^(\d+)", 1), empty)
     return (
         F.when(strict_new, struct(none, F.trim(F.coalesce(j["title"], empty))))
         .when(strict & (confidence >= least), struct(number, empty))
         .when(strict, struct(none, empty))
-        .when(field == "NEW_CLUSTER", struct(none, F.regexp_extract(r, r'title"\s*:\s*"(.*?)"', 1)))
+        .when(field == "NEW_CLUSTER", struct(none, F.coalesce(told_by("title", r'[^"]*'), empty)))
         .when(field.isNotNull() & (told >= least), struct(field, empty))
         .when(field.isNotNull(), struct(none, empty))
         .when(lead.isNotNull(), struct(lead, empty))

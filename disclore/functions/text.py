@@ -138,7 +138,7 @@ def csv_of(values: Column) -> Column:
 
 def ints_of(t: Column, strings_when_bad: bool = False) -> Column:
     """'1, 2' to numbers (STR20): null for blank and, if any part is no number, strings or an empty list."""
-    parts = F.transform(F.split(t, ","), F.trim)
+    parts = F.transform(F.split(t, ","), lambda x: F.trim(x))
     numbers = F.transform(parts, lambda x: x.try_cast("long"))
     bad = F.exists(numbers, lambda x: x.isNull())
     blank = F.coalesce(F.trim(t), F.lit("")) == ""

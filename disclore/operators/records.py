@@ -116,19 +116,15 @@ def sections(starts: DataFrame, end: int, key: list[str] | None = None, closed:
     return starts.withColumn("end", F.lead("start", 1, end + 1).over(w) - (1 if closed else 0))
 
 
-def in_sections(items: DataFrame, ranges: DataFrame, at: str = "page", keep_outside: bool = False, most: int = 10_000) -> DataFrame:
-    """The first section (by start) whose range holds the item's page (JOIN13).
+def in_sections(items: DataFrame, ranges: DataFrame, at: str = "page", keep_outside: bool = False, key: list[str] | None = None) -> DataFrame:
+    """The first section (by start) of the item's document whose range holds its page (JOIN13).
 
-    The ranges are those of a document's headings: few, and no more than ``most``; they become a literal, so
-    that items are not shuffled.
+    ``key`` names the document; without it the ranges are those of one document. A document's headings are one
+    array, so each item is joined once and no item meets another document's ranges.
     """
-    listed = sorted((r["start"], r["end"], r["section"]) for r in ranges.select("start", "end", "section").limit(most + 1).collect())
-    if len(listed) > most:
-        raise ValueError(f"more than {most} ranges")
-    out = F.lit(None).cast("string")
-    for start, end, section in reversed(listed):
-        out = F.when(F.col(at).between(start, end), F.lit(section)).otherwise(out)
-    found = items.withColumn("section", out)
+    listed = F.array_sort(F.collect_list(F.struct("start", "end", "section"))).alias("_ranges")
+    joined = items.join(ranges.groupBy(*key).agg(listed), key, "left") if key else items.join(F.broadcast(ranges.agg(listed)))
+    found = joined.withColumn("section", F.get(F.filter("_ranges", lambda r: F.col(at).between(r["start"], r["end"])), 0)["section"]).drop("_ranges")
     return found if keep_outside else found.where("section is not null")
 
 

@@ -454,14 +454,15 @@ def safe_names(spark, d):
 _HTML = r"regexp_replace(html, '<!--.*?-->|<![^>]*>', '', 'gs')"
 _HTML_ALL = rf"regexp_replace({_HTML}, '<[^>]*>', chr(10), 'gs')"
 _DROP = _HTML
-for _tag in html.BOILERPLATE:
+for _tag in ("script", "style", "head", "footer", "nav"):
     _DROP = rf"regexp_replace({_DROP}, '<{_tag}\b.*?</{_tag}\s*>', '', 'gsi')"
 _DROP = rf"regexp_replace({_DROP}, '<[^>]*>', chr(10), 'gs')"
 
 
 def _sql_entities(e: str) -> str:
-    for a, b in html.ENTITIES:
-        e = f"replace({e}, '{a}', {chr(39) + b.replace(chr(39), chr(39) * 2) + chr(39)})"
+    """Written out for the tables' entities, apart from the library's decoder."""
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&hellip;", "…"), ("&eacute;", "é"), ("&amp;", "&")):
+        e = f"replace({e}, '{a}', '{b}')"
     return e
 
 
@@ -529,7 +530,7 @@ def event_id_list(spark, d):
     return e.select("event_id", F.col("props").alias("events"), F.get(jsons.event_ids(F.col("j")), 0).alias("first_id"), jsons.event_ids_text(F.col("j")).alias("ids"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 'en' ELSE 'en' END AS language FROM documents")
+@query("SELECT doc_id, CASE WHEN length(trim(text)) >= 20 AND length(regexp_replace(text, '[^א-ת]', '', 'g')) > 0 AND length(regexp_replace(text, '[^א-ת]', '', 'g')) >= 0.3 * length(regexp_replace(text, '[^\\p{L}]', '', 'g')) THEN 'he' ELSE 'en' END AS language FROM documents")
 def language(spark, d):
     return _Tables(spark, d).documents.select("doc_id", text.language_of(F.col("text")).alias("language"))
 
@@ -585,7 +586,7 @@ def pca_vectors(spark, d):
 
 @query()
 def gmm_tied_labels(spark, d):
-    return clustering.gmm(clustering.reduced(clustering.normalised(_vec(_Tables(spark, d))), 8), 6, steps=5)
+    return clustering.gmm(clustering.reduced(clustering.normalised(_vec(_Tables(spark, d))), 8), 20)
 
 
 @query()
@@ -628,13 +629,15 @@ def hashed_chunk_vectors(spark, d):
 # -- model shells ---------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH e AS (SELECT source AS cluster, doc_id, trim(regexp_replace(substr(text, 1, 500), '\\s', ' ', 'g')) AS e FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY cluster) AS n FROM e WHERE e <> '')
+  SELECT cluster, least(n, 12) AS n_excerpts, k || '. ' || e AS reply, k || '. ' || e AS raw_response FROM k WHERE n >= 2 AND k = least(n, 12)""")
 def cluster_label_prompts(spark, d):
     docs = _Tables(spark, d).documents.select("doc_id", "text", F.col("source").alias("cluster"))
     return assist.labelled_clusters(docs, "cluster {cluster_id}\n{excerpts}").select("cluster", "n_excerpts", "reply", "raw_response")
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, source AS category_handle, text AS raw_response FROM documents JOIN (SELECT DISTINCT source FROM documents WHERE source < 'src5') p USING (source) WHERE greatest(1, length(text) // 4) <= 15000 AND NOT contains(trim(text), chr(10))")
+@query("""SELECT doc_id::VARCHAR AS doc_id, source AS category_handle, list_filter(list_transform(string_split('Summarise:' || chr(10) || coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1] AS raw_response FROM documents
+  JOIN (SELECT DISTINCT source FROM documents WHERE source < 'src5') p USING (source) WHERE greatest(1, length(text) // 4) <= 15000""")
 def summaries_by_handle(spark, d):
     docs = _Tables(spark, d).documents.select("doc_id", "text", F.col("source").alias("category_handle"))
     prompts = docs.where("category_handle < 'src5'").select(F.col("category_handle").alias("handle"), F.lit("Summarise:").alias("prompt_text")).distinct()
@@ -661,3 +664,6 @@ def event_windows(spark, d):
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM b GROUP BY user_id, k""")
 def event_sessions(spark, d):
     return user_sessions(_Tables(spark, d).events)
+
+
+from . import roundtrips  # noqa: E402, F401  (its queries are added to these)

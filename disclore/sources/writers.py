@@ -89,7 +89,7 @@ def excerpt_text(excerpts: Column, cluster: Column) -> Column:
 
 def log_rows(df: DataFrame, started: Column, ended: Column, file_id: Column, input_key: Column, output_key: Column, error: Column) -> DataFrame:
     """Rows of the processing log (SNK19)."""
-    took = F.floor((ended.cast("double") - started.cast("double")) * 1000).cast("long")
+    took = F.floor((ended.cast("timestamp").cast("double") - started.cast("timestamp").cast("double")) * 1000).cast("long")
     return df.select(file_id.alias("file_id"), F.date_format(ended, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processed_at"), input_key.alias("input_key"), output_key.alias("output_key"), F.when(error.isNull(), "SUCCESS").otherwise("FAILED").alias("status"), took.alias("duration_ms"), error.alias("error_message"))
 
 

@@ -8,12 +8,12 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["stats_by_source_lang", "upsert_last_wins", "k_closest_mid_far", "html_body_text", "form_symbol_classify", "reply_parser", "event_sessions"])
+@pytest.mark.parametrize("name", ["stats_by_source_lang", "upsert_last_wins", "k_closest_mid_far", "html_body_text", "form_symbol_classify", "reply_parser", "event_sessions", "rows_by_issuer", "daily_report_files", "rest_scan", "comma_lists", "clusters_one_by_one", "hebrew_texts", "workbook_sheets"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "customer", "embeddings", "pages", "events"):
+    for t in ("documents", "labels", "customer", "embeddings", "pages", "events", "orders", "nation", "region"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)

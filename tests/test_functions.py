@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from disclore.functions import chunks, jsons, text, vectors
 from disclore.functions.classify import category, classified
-from disclore.functions.html import form_fields
+from disclore.functions.html import form_fields, html_text
 
 
 def one(spark, expr, *values, names="abcdef", schema=None):
@@ -41,6 +41,7 @@ def test_normaliser_and_variants(spark):
 
 def test_lists_of_numbers(spark):
     assert one(spark, text.ints_of(F.col("a")), "1, 2") == [1, 2]
+    assert one(spark, text.ints_of(F.col("a")), "10, 21,132 ,0") == [10, 21, 132, 0]
     assert one(spark, text.ints_of(F.col("a")), "1,x") == []
     assert one(spark, text.ints_of(F.col("a"), True), "1,x") == ["1", "x"]
     assert one(spark, text.ints_of(F.col("a"), True), " ") is None
@@ -89,12 +90,19 @@ def test_json_helpers(spark):
         assert one(spark, jsons.object_keys(F.col("a")), bad) is None
 
 
-def test_replies_alike_on_driver_and_column(spark):
+def test_replies(spark):
     from disclore.operators.assist import parse_reply
 
-    for r in ('```json\n{"cluster_id": 3, "confidence": 4}\n```', '{"cluster_id": 3, "confidence": 3}', '{"cluster_id": "NEW_CLUSTER", "title": " T "}', 'x "cluster_id": 7, "confidence": 2', 'x "cluster_id": "8"', "5. title", 'NEW_CLUSTER: "N"', "nothing"):
+    for r, want in {
+        '```json\n{"cluster_id": 3, "confidence": 4}\n```': (3, ""), '{"cluster_id": 3, "confidence": 3}': (None, ""), '{"cluster_id": "NEW_CLUSTER", "title": " T "}': (None, "T"), 'x "cluster_id": 7, "confidence": 2': (None, ""), 'x "cluster_id": "8"': (8, ""),
+        'x "cluster_id": "NEW_CLUSTER", "title": "A b"': (None, "A b"), "5. title": (5, ""), 'NEW_CLUSTER: "N"': (None, "N"), "nothing": (None, ""),
+    }.items():
         x = one(spark, jsons.cluster_reply(F.col("a")), r)
-        assert (x["cluster_id"], x["title"]) == parse_reply(r), r
+        assert (x["cluster_id"], x["title"]) == want == parse_reply(r), r
+
+
+def test_entities(spark):
+    assert one(spark, html_text(F.col("a")), "<p>&#1488;&rsquo;&ndash;&eacute; &lt;b&gt;&nbsp;&amp;amp; &#x5d0;</p>") == "א’–é <b> &amp; א"
 
 
 def test_form_fields(spark):

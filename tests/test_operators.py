@@ -141,6 +141,10 @@ def test_sections(spark):
     items = spark.createDataFrame([(0,), (4,), (5,), (9,), (10,)], "page int")
     got = {r["page"]: r["section"] for r in records.in_sections(items, records.sections(starts, 9)).collect()}
     assert got == {0: "a", 4: "a", 5: "b", 9: "b"}
+    starts = spark.createDataFrame([("x", "a", 0), ("x", "b", 5), ("y", "c", 2)], "doc string, section string, start int")
+    items = spark.createDataFrame([("x", 3), ("y", 3), ("y", 1), ("z", 3)], "doc string, page int")
+    got = records.in_sections(items, records.sections(starts, 9, ["doc"]), key=["doc"], keep_outside=True).collect()
+    assert {(r["doc"], r["page"]): r["section"] for r in got} == {("x", 3): "a", ("y", 3): "c", ("y", 1): None, ("z", 3): None}
 
 
 def test_rest_source(spark):
