@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from disclore.llm import minhash, packing, quality, secrets, toxicity
 from disclore.llm.common import discard, free_names, table, written
 
-#: No stage can be told in SQL: trained models and a tokenizer decide. Tests compare run() with a plain version.
+#: No stage can be told in SQL: trained models and a tokenizer decide. tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 
@@ -47,8 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = minhash.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), F.col("component_id").alias(key))
     slim = rows.select(row, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), F.col(row).alias("row")).alias("order"))
     placed = written(groups.join(slim, row), "placed")  # ids and hashes alone
-    first = placed.groupBy(key).agg(F.min("order")["row"].alias("first"))
-    gone = written(placed.join(first, key).where(F.col(row) != F.col("first")).select(row), "gone")
+    # a group is named by its least row; only where another one is first the group has to be looked up
+    moved = written(placed.groupBy(key).agg(F.min("order")["row"].alias("first")).where(F.col(key) != F.col("first")), "moved")
+    moved = F.broadcast(moved) if moved.count() <= minhash.BROADCAST_IDS else moved
+    gone = written(placed.join(moved, key, "left").where(F.col(row) != F.coalesce("first", key)).select(row), "gone")
     discard(placed)
     few = gone.count() <= minhash.BROADCAST_IDS
     return rows.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*docs.columns)
