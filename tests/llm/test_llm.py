@@ -422,13 +422,56 @@ def test_near_copies_go_by_row(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-def test_pipeline_keeps_clean_documents(spark):
+def test_pipeline_by_a_plain_version(spark, tmp_path):
+    """run() on a table with planted copies, secrets, repeated ids and nulls, against loops over all documents."""
     import corpus_pipeline
+    from disclore.llm.training import sigmoid
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    good = corpus_pipeline.keep_good(spark, docs, sf)
-    assert good.columns == docs.columns and 0 < good.count() < docs.count()
-    pieces = corpus_pipeline.run(spark, sf)
-    kept = {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()}
-    assert kept and kept <= {r["doc_id"] for r in good.select("doc_id").collect()}
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    long = next(r for r in rows if r[2] == "en" and len(r[1].split()) > 200)
+    words = long[1].split(" ")
+    planted = [(9001, " ".join([*words[:-1], "other"]), "en", "x", 1), (9002, long[1] + ' password: "k3Yab9xQ1z"', "en", "x", 1), (9003, None, "en", "x", 1), (9004, "", "en", "x", 0), (long[0], rows[3][1], "en", "x", 1), (None, long[1], None, None, None), rows[5], rows[5]]
+    spark.createDataFrame(rows + planted, docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    table = [tuple(r) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    all_docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    m = quality.train(all_docs, labels)
+
+    def good(text):
+        if not text or not text.strip():
+            return False
+        x, size = quality.line_features(text)
+        q = quality.quality_of([quality.chain_features(x)], [size], m)
+        return sigmoid(quality._logit(q) * m.curve[0] + m.curve[1] + m.shift)[0] >= 0.3
+
+    kept = [r for r in table if good(r[1])]
+    t = toxicity.train(all_docs, labels)
+    gains = toxicity.Gains(t.toxic, toxicity.Lengths(t.ordinary).length)
+    score = lambda text: sigmoid(np.array([*toxicity.features(gains, set(toxicity.windows(text, t.window_words)), t.threshold), 1]) @ np.array(t.weights) + t.shift)
+    kept = [r for r in kept if score(r[1]) < 0.7]
+    sets = []
+    for r in kept:
+        w = r[1].encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    order = lambda k: (kept[k][0] is None, kept[k][0] or 0)
+    first = {}
+    for k, g in enumerate(group):
+        first[g] = min(first.get(g, k), k, key=order)
+    kept = [kept[k] for k in first.values()]
+    forest = secrets.train(dictionary=secrets.whole_words(VOCAB))
+    coder = library()
+    want = sorted((-1 if r[0] is None else r[0], len(coder.encode(secrets.redact(r[1], secrets.scan(r[1], forest)[1]), add_special_tokens=False).ids) + 1) for r in kept)
+    assert len(want) > 30 and len(want) < len(table)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    total = sum(n for _, n in want)
+    assert sum(p["length"] for p in pieces) == total
+    assert sorted({(-1 if p["doc_id"] is None else p["doc_id"], p["doc_tokens"]) for p in pieces}) == sorted(set(want))
