@@ -5,12 +5,13 @@ both end in the same third one, trained on other ordinary texts. A window is com
 the toxic dictionary saves are its gain. A document's features are the sum of the gains of its distinct windows
 that reach a threshold, and the number of its windows; a logistic curve turns them into a score.
 
-A window is ``WINDOW_WORDS`` neighbouring words. Most of a toxic text is ordinary language, so its windows are
-purified by the compression distance itself: the toxic texts are parted in two halves, the dictionary of each half
-judges the windows of the other, and those whose gain exceeds nearly all gains of ordinary windows train the next
-round's dictionary. No half ever judges itself. The dictionary's size, the threshold, the curve and its cut are
-calibrated on the last round: toxic texts by the dictionary of the other half, ordinary texts that are in no
-dictionary by both. The trained dictionaries serve as content, without their entropy tables, so that only matches
+A window is ``WINDOW_WORDS`` neighbouring words. Most
+of a toxic text is ordinary language, so its windows are purified by the compression distance itself: the toxic
+texts are parted in ``FOLDS`` parts, the dictionary of all parts but one judges the windows of that one, and those
+whose gain exceeds nearly all gains of ordinary windows train the next round's dictionary. No part is judged by its
+own dictionary. How rare a gain has to be, the dictionary's size, the threshold, the curve and its cut are
+calibrated on the last round: toxic texts by the dictionary of the other parts, ordinary texts that are in no
+dictionary by all of them in turn. The trained dictionaries serve as content, without their entropy tables, so that only matches
 tell them apart; a carrier stands around each window.
 """
 
@@ -34,8 +35,9 @@ from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 MAX_CACHE = 200_000
 LEVEL = 9
 WINDOW_WORDS = 2
-#: Rounds of purification, and the share of ordinary windows whose gain a toxic window has to exceed to stay.
-ROUNDS, RARE = 3, 0.998
+#: Rounds of purification, parts of the toxic texts, and the shares of ordinary windows, of which the better one is
+#: taken, whose gain a toxic window has to exceed to stay.
+ROUNDS, FOLDS, RARES = 3, 4, (0.998, 0.99)
 #: Bytes of the shared dictionary, of the first round's, and of those that are tried in the last round.
 BASE_BYTES, FIRST_BYTES, SIZES = 65_536, 16_384, (1024, 2048)
 #: Segment and d-mer length of the dictionary training.
@@ -56,6 +58,7 @@ class Model:
 
     toxic: bytes
     ordinary: bytes
+    base: bytes
     threshold: int
     weights: tuple[float, ...]
     shift: float
@@ -84,16 +87,21 @@ class Lengths(dict):
 
 
 class Gains(dict):
-    """Window -> bytes that the toxic dictionary saves against the ordinary one, which is given as a function."""
+    """Window -> bytes that the toxic dictionary (``toxic``, then ``base``) saves against the ordinary one, which is
+    given as a function."""
 
-    def __init__(self, toxic: bytes, ordinary: Callable[[str], int]):
-        self.toxic, self.ordinary = Lengths(toxic).length, ordinary
+    def __init__(self, toxic: bytes, base: bytes, ordinary: Callable[[str], int]):
+        self.toxic, self.ordinary = Lengths(toxic + base).length, ordinary
 
     def __missing__(self, window: str) -> int:
         g = self[window] = min(self.ordinary(window) - self.toxic(window), MOST)
         return g
 
 
+def gains_of(model: Model) -> Gains:
+    return Gains(model.toxic, model.base, Lengths(model.ordinary + model.base).length)
+
+
 def features(gains: Gains, w: set[str], threshold: int) -> tuple[float, float]:
     """Logarithms of the summed gains from the threshold on, and of the number of distinct windows."""
     return math.log1p(sum(g for g in map(gains.__getitem__, w) if g >= threshold)), math.log1p(len(w))
@@ -129,44 +137,48 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WIN
     k = window_words
     toxic, ordinary = ([w for t, v in sample if v == y and (w := windows(t, k))] for y in (1, 0))
     if len(toxic) < 4 or len(ordinary) < 6:
-        return Model(b" " * 8, b" " * 8, 1 << 20, (0.0, 0.0, -30.0), 0.0, k)
+        return Model(b" " * 8, b" " * 8, b"", 1 << 20, (0.0, 0.0, -30.0), 0.0, k)
     shared, against, apart = ordinary[0::2], ordinary[1::4], ordinary[3::4]
     base = train_dictionary(_flat(shared), BASE_BYTES)
     base = " ".join(_flat(shared)).encode("utf-8", "surrogatepass")[: max(0, BASE_BYTES - len(base))] + base + FRAME  # training ends early when little recurs
     others, background = _flat(against), _flat(apart)
     background = background[:: max(1, len(background) // BACKGROUND)]
-    half = lambda docs, h: _flat(docs[h::2])
-    controls = {size: Lengths(train_dictionary(others, size) + base).__getitem__ for size in {FIRST_BYTES, *SIZES}}
-    kept = toxic
-    for r in range(ROUNDS):
-        size = SIZES[-1] if r else FIRST_BYTES
-        new: list[list[str]] = [[]] * len(toxic)
-        for h in (0, 1):
-            gains = Gains(train_dictionary(half(kept, 1 - h) or half(toxic, 1 - h), size) + base, controls[size])
-            least = float(np.quantile([gains[w] for w in background], RARE))
-            for i in range(h, len(toxic), 2):
-                new[i] = [w for w in toxic[i] if gains[w] > least]
-        kept = new
+    rest = lambda docs, h: _flat([d for i, d in enumerate(docs) if i % FOLDS != h])
+    controls = {size: (own := train_dictionary(others, size), Lengths(own + base).__getitem__) for size in {FIRST_BYTES, *SIZES}}
+
+    def judge(kept: list[list[str]], h: int, size: int) -> Gains:
+        return Gains(train_dictionary(rest(kept, h) or rest(toxic, h), size), base, controls[size][1])
+
     best = None
     y = np.array([1] * len(toxic) + [0] * len(apart))
     side = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(apart))
-    for size in SIZES:
-        judges = [Gains(train_dictionary(half(kept, 1 - h) or half(toxic, 1 - h), size) + base, controls[size]) for h in (0, 1)]
-        seen = [(judges[i % 2], set(w)) for part in (toxic, apart) for i, w in enumerate(part)]
-        for threshold in range(1, MOST):
-            x = np.array([features(g, w, threshold) for g, w in seen])
-            weights = logistic(x, y)
-            z = np.column_stack([x, np.ones(len(x))]) @ weights
-            p = sigmoid(z)
-            like = float((side * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
-            if best is None or like > best[0]:
-                best = (like, threshold, weights, platt_shift(z, y, cut), size)
-    _, threshold, weights, shift, size = best
-    final = train_dictionary(_flat(kept) or _flat(toxic), size) + base
-    return Model(final, train_dictionary(others, size) + base, threshold, tuple(weights.tolist()), shift, k)
-
-
-_gains: dict[tuple[bytes, bytes], Gains] = {}
+    for rare in RARES:
+        kept = toxic
+        for r in range(ROUNDS):
+            new: list[list[str]] = [[]] * len(toxic)
+            for h in range(FOLDS):
+                gains = judge(kept, h, SIZES[-1] if r else FIRST_BYTES)
+                least = float(np.quantile([gains[w] for w in background], rare))
+                for i in range(h, len(toxic), FOLDS):
+                    new[i] = [w for w in toxic[i] if gains[w] > least]
+            kept = new
+        for size in SIZES:
+            judges = [judge(kept, h, size) for h in range(FOLDS)]
+            seen = [(judges[i % FOLDS], set(w)) for part in (toxic, apart) for i, w in enumerate(part)]
+            for threshold in range(1, MOST):
+                x = np.array([features(g, w, threshold) for g, w in seen])
+                weights = logistic(x, y)
+                z = np.column_stack([x, np.ones(len(x))]) @ weights
+                p = sigmoid(z)
+                like = float((side * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
+                if best is None or like > best[0]:
+                    best = (like, threshold, weights, platt_shift(z, y, cut), size, kept)
+    _, threshold, weights, shift, size, kept = best
+    final = train_dictionary(_flat(kept) or _flat(toxic), size)
+    return Model(final, controls[size][0], base, threshold, tuple(weights.tolist()), shift, k)
+
+
+_gains: dict[tuple[bytes, bytes, bytes], Gains] = {}
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, cut: float = 0.7) -> DataFrame:
@@ -182,10 +194,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_cache("toxicity", _gains)
-        key = (model.toxic, model.ordinary)
+        key = (model.toxic, model.ordinary, model.base)
         if key not in _gains:
             _gains.clear()
-            _gains[key] = Gains(model.toxic, Lengths(model.ordinary).length)
+            _gains[key] = gains_of(model)
         gains, w = _gains[key], np.array(model.weights)
         for batch in batches:
             for part in _slices(batch):

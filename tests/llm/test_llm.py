@@ -450,7 +450,7 @@ def test_pipeline_by_a_plain_version(spark, tmp_path):
 
     kept = [r for r in table if good(r[1])]
     t = toxicity.train(all_docs, labels)
-    gains = toxicity.Gains(t.toxic, toxicity.Lengths(t.ordinary).length)
+    gains = toxicity.gains_of(t)
     score = lambda text: sigmoid(np.array([*toxicity.features(gains, set(toxicity.windows(text, t.window_words)), t.threshold), 1]) @ np.array(t.weights) + t.shift)
     kept = [r for r in kept if score(r[1]) < 0.7]
     sets = []
