@@ -5,7 +5,8 @@ both end in the same third one, trained on other ordinary texts. A window is com
 the toxic dictionary saves are its gain. A document's features are the sum of the gains of its distinct windows
 that reach a threshold, and the number of its windows; a logistic curve turns them into a score.
 
-A window is ``WINDOW_WORDS`` neighbouring words. Most
+A window is ``WINDOW_WORDS`` neighbouring words. A match shorter than ``DMER`` bytes tells nothing, so a window that
+has no ``DMER`` bytes in common with what only the toxic dictionary holds gains nothing and is not compressed. Most
 of a toxic text is ordinary language, so its windows are purified by the compression distance itself: the toxic
 texts are parted in ``FOLDS`` parts, the dictionary of all parts but one judges the windows of that one, and those
 whose gain exceeds nearly all gains of ordinary windows train the next round's dictionary. No part is judged by its
@@ -88,13 +89,18 @@ class Lengths(dict):
 
 class Gains(dict):
     """Window -> bytes that the toxic dictionary (``toxic``, then ``base``) saves against the ordinary one, which is
-    given as a function."""
+    given as a function; 0 where ``toxic`` holds no ``DMER`` bytes of the window."""
 
     def __init__(self, toxic: bytes, base: bytes, ordinary: Callable[[str], int]):
         self.toxic, self.ordinary = Lengths(toxic + base).length, ordinary
+        self.apart = {toxic[i : i + DMER] for i in range(len(toxic) - DMER + 1)}.isdisjoint
 
     def __missing__(self, window: str) -> int:
-        g = self[window] = min(self.ordinary(window) - self.toxic(window), MOST)
+        raw = f" {window} ".encode("utf-8", "surrogatepass")
+        if self.apart([raw[i : i + DMER] for i in range(len(raw) - DMER + 1)]):
+            g = self[window] = 0
+        else:
+            g = self[window] = min(self.ordinary(window) - self.toxic(window), MOST)
         return g
 
 
@@ -149,6 +155,7 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WIN
     def judge(kept: list[list[str]], h: int, size: int) -> Gains:
         return Gains(train_dictionary(rest(kept, h) or rest(toxic, h), size), base, controls[size][1])
 
+    first = [judge(toxic, h, FIRST_BYTES) for h in range(FOLDS)]
     best = None
     y = np.array([1] * len(toxic) + [0] * len(apart))
     side = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(apart))
@@ -157,7 +164,7 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WIN
         for r in range(ROUNDS):
             new: list[list[str]] = [[]] * len(toxic)
             for h in range(FOLDS):
-                gains = judge(kept, h, SIZES[-1] if r else FIRST_BYTES)
+                gains = judge(kept, h, SIZES[-1]) if r else first[h]
                 least = float(np.quantile([gains[w] for w in background], rare))
                 for i in range(h, len(toxic), FOLDS):
                     new[i] = [w for w in toxic[i] if gains[w] > least]

@@ -208,6 +208,8 @@ def test_toxicity_learns_and_is_defined_everywhere(docs, empty):
     out = toxicity.scores(docs, m, keep=docs.columns).collect()
     assert len(out) == docs.count() and all(0 <= r[-2] <= 1 for r in out) and toxicity.scores(empty, m).count() == 0
     assert toxicity.fit([]).threshold > 100
+    g = toxicity.gains_of(m)  # a window without DMER bytes of the toxic dictionary's own part gains nothing
+    assert g["\x7f\x7e\x7f\x7e"] == g["a"] == g[""] == 0
 
 
 def test_marginals_by_brute_force():
