@@ -19,8 +19,9 @@ tell them apart; a carrier stands around each window.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from .common import free_names, small_batches, sole_cache
 from .minhash import shingles
 from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 
-MAX_CACHE = 200_000
+#: Windows that a cache holds at most, and characters of a window that is kept: text without blanks is one window.
+MAX_CACHE, LONG = 200_000, 64
 LEVEL = 9
 WINDOW_WORDS = 2
 #: Rounds of purification, parts of the toxic texts, and the shares of ordinary windows, of which the better one is
@@ -72,7 +74,27 @@ def windows(text: str, k: int) -> list[str]:
     return words if k == 1 else [" ".join(words[i : i + k]) for i in range(0, len(words), k)]
 
 
-class Lengths(dict):
+def packed(w: list[str]) -> bytes:
+    """Windows as one value: a list of short strings takes several times their bytes. They hold no line ends."""
+    return "\n".join(w).encode("utf-8", "surrogatepass")
+
+
+def unpacked(doc: bytes) -> list[str]:
+    return doc.decode("utf-8", "surrogatepass").split("\n") if doc else []
+
+
+class Kept(dict):
+    """Window -> number, for as many windows as memory allows."""
+
+    def keep(self, window: str, n: int) -> int:
+        if len(window) <= LONG:
+            if len(self) >= MAX_CACHE:
+                self.clear()
+            self[window] = n
+        return n
+
+
+class Lengths(Kept):
     """Window -> its compressed length with a dictionary."""
 
     def __init__(self, dictionary: bytes):
@@ -83,11 +105,10 @@ class Lengths(dict):
         return len(self.compress(CARRIER + f" {window} ".encode("utf-8", "surrogatepass") + TAIL))
 
     def __missing__(self, window: str) -> int:
-        n = self[window] = self.length(window)
-        return n
+        return self.keep(window, self.length(window))
 
 
-class Gains(dict):
+class Gains(Kept):
     """Window -> bytes that the toxic dictionary (``toxic``, then ``base``) saves against the ordinary one, which is
     given as a function; 0 where ``toxic`` holds no ``DMER`` bytes of the window."""
 
@@ -98,10 +119,8 @@ class Gains(dict):
     def __missing__(self, window: str) -> int:
         raw = f" {window} ".encode("utf-8", "surrogatepass")
         if self.apart([raw[i : i + DMER] for i in range(len(raw) - DMER + 1)]):
-            g = self[window] = 0
-        else:
-            g = self[window] = min(self.ordinary(window) - self.toxic(window), MOST)
-        return g
+            return self.keep(window, 0)
+        return self.keep(window, min(self.ordinary(window) - self.toxic(window), MOST))
 
 
 def gains_of(model: Model) -> Gains:
@@ -124,7 +143,7 @@ def thinned(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def train_dictionary(samples: list[str], size: int) -> bytes:
+def train_dictionary(samples: Iterable[str], size: int) -> bytes:
     """A zstandard dictionary of the windows; their plain text where there are too few to train on."""
     raw = [f" {s} ".encode("utf-8", "surrogatepass") for s in samples]
     try:
@@ -133,47 +152,71 @@ def train_dictionary(samples: list[str], size: int) -> bytes:
         return b"".join(dict.fromkeys(raw))[-size:] or b" " * 8
 
 
-def _flat(docs: list[list[str]]) -> list[str]:
-    return [w for d in docs for w in d]
+def _flat(docs: list[bytes]) -> Iterator[str]:
+    return (w for d in docs for w in unpacked(d))
+
+
+def histogram(gains: Gains, doc: bytes) -> tuple[list[int], int]:
+    """How many of the distinct windows gain 0 (or less), 1, ... ``MOST``; and their number."""
+    w, out = set(unpacked(doc)), [0] * (MOST + 1)
+    for g in map(gains.__getitem__, w):
+        out[max(g, 0)] += 1
+    return out, len(w)
 
 
 def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WINDOW_WORDS) -> Model:
-    """Train on (text, label) pairs; with fewer than four toxic or six ordinary texts every document scores 0."""
-    sample = thinned(sample)
+    """Train on (text, label) pairs; with fewer than four toxic or six ordinary texts every document scores 0.
+
+    The sample may be as long as its budget allows, so its windows stay packed, gains are told one judge after
+    the other, and caches are bounded.
+    """
     k = window_words
-    toxic, ordinary = ([w for t, v in sample if v == y and (w := windows(t, k))] for y in (1, 0))
+    toxic, ordinary = parts = [], []
+    for t, v in thinned(sample):
+        if w := windows(t, k):
+            parts[1 - v].append(packed(w))
+    del sample  # the texts are needed no more
     if len(toxic) < 4 or len(ordinary) < 6:
         return Model(b" " * 8, b" " * 8, b"", 1 << 20, (0.0, 0.0, -30.0), 0.0, k)
     shared, against, apart = ordinary[0::2], ordinary[1::4], ordinary[3::4]
     base = train_dictionary(_flat(shared), BASE_BYTES)
-    base = " ".join(_flat(shared)).encode("utf-8", "surrogatepass")[: max(0, BASE_BYTES - len(base))] + base + FRAME  # training ends early when little recurs
-    others, background = _flat(against), _flat(apart)
-    background = background[:: max(1, len(background) // BACKGROUND)]
-    rest = lambda docs, h: _flat([d for i, d in enumerate(docs) if i % FOLDS != h])
-    controls = {size: (own := train_dictionary(others, size), Lengths(own + base).__getitem__) for size in {FIRST_BYTES, *SIZES}}
+    base = " ".join(islice(_flat(shared), BASE_BYTES)).encode("utf-8", "surrogatepass")[: max(0, BASE_BYTES - len(base))] + base + FRAME  # training ends early when little recurs
+    step = max(1, sum(d.count(b"\n") + 1 for d in apart) // BACKGROUND)
+    background = list(islice(_flat(apart), 0, None, step))
+    controls = {size: (own := train_dictionary(_flat(against), size), Lengths(own + base).__getitem__) for size in {FIRST_BYTES, *SIZES}}
+
+    def judge(kept: list[bytes], h: int, size: int) -> Gains:
+        rest = [d for i, d in enumerate(kept) if i % FOLDS != h]
+        return Gains(train_dictionary(_flat(rest if any(rest) else [d for i, d in enumerate(toxic) if i % FOLDS != h]), size), base, controls[size][1])
 
-    def judge(kept: list[list[str]], h: int, size: int) -> Gains:
-        return Gains(train_dictionary(rest(kept, h) or rest(toxic, h), size), base, controls[size][1])
+    def judged(kept: list[bytes], h: int, size: int) -> tuple[list[int], list[np.ndarray]]:
+        """Gains of the background, and of all windows of each of the part's texts."""
+        gains = judge(kept, h, size)
+        return [gains[w] for w in background], [np.array([gains[w] for w in unpacked(d)], np.int32) for d in toxic[h::FOLDS]]
 
-    first = [judge(toxic, h, FIRST_BYTES) for h in range(FOLDS)]
+    first = [judged(toxic, h, FIRST_BYTES) for h in range(FOLDS)]
     best = None
     y = np.array([1] * len(toxic) + [0] * len(apart))
     side = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(apart))
     for rare in RARES:
         kept = toxic
         for r in range(ROUNDS):
-            new: list[list[str]] = [[]] * len(toxic)
+            new = [b""] * len(toxic)
             for h in range(FOLDS):
-                gains = judge(kept, h, SIZES[-1]) if r else first[h]
-                least = float(np.quantile([gains[w] for w in background], rare))
-                for i in range(h, len(toxic), FOLDS):
-                    new[i] = [w for w in toxic[i] if gains[w] > least]
+                usual, own = judged(kept, h, SIZES[-1]) if r else first[h]
+                least = float(np.quantile(usual, rare))
+                for i, g in zip(range(h, len(toxic), FOLDS), own):
+                    new[i] = packed([w for w, more in zip(unpacked(toxic[i]), g > least) if more])
             kept = new
         for size in SIZES:
-            judges = [judge(kept, h, size) for h in range(FOLDS)]
-            seen = [(judges[i % FOLDS], set(w)) for part in (toxic, apart) for i, w in enumerate(part)]
+            seen: list = [None] * len(y)
+            for h in range(FOLDS):
+                gains = judge(kept, h, size)
+                for part, at in ((toxic, 0), (apart, len(toxic))):
+                    for i in range(h, len(part), FOLDS):
+                        seen[at + i] = histogram(gains, part[i])
             for threshold in range(1, MOST):
-                x = np.array([features(g, w, threshold) for g, w in seen])
+                x = np.array([(math.log1p(sum(g * many[g] for g in range(threshold, MOST + 1))), math.log1p(n)) for many, n in seen])
                 weights = logistic(x, y)
                 z = np.column_stack([x, np.ones(len(x))]) @ weights
                 p = sigmoid(z)
@@ -181,7 +224,7 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WIN
                 if best is None or like > best[0]:
                     best = (like, threshold, weights, platt_shift(z, y, cut), size, kept)
     _, threshold, weights, shift, size, kept = best
-    final = train_dictionary(_flat(kept) or _flat(toxic), size)
+    final = train_dictionary(_flat(kept if any(kept) else toxic), size)
     return Model(final, controls[size][0], base, threshold, tuple(weights.tolist()), shift, k)
 
 
@@ -210,8 +253,6 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part in _slices(batch):
                 x = []
                 for t in _texts(part.column(0)):
-                    if len(gains) > MAX_CACHE:
-                        gains.clear()
                     x.append(features(gains, set(windows(t or "", model.window_words)), model.threshold))
                 x = np.array(x).reshape(-1, 2)
                 s = sigmoid(np.column_stack([x, np.ones(len(x))]) @ w + model.shift)

@@ -45,6 +45,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
             texts = {(r["doc_id"], r["t"]): r["text"] for r in chosen.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]).collect()}  # within the budget
             out += [(texts[k], y) for k in sorted(texts)]
     discard(found)
+    docs.sparkSession._jvm.System.gc()  # so that the heap the texts went through does not stand beside the fit
     return out
 
 

@@ -212,6 +212,23 @@ def test_toxicity_learns_and_is_defined_everywhere(docs, empty):
     assert g["\x7f\x7e\x7f\x7e"] == g["a"] == g[""] == 0
 
 
+def test_toxicity_learns_from_long_texts_in_bounded_memory(monkeypatch):
+    """Windows stay packed and caches bounded: what training holds at once follows the texts' bytes, not their windows."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "MAX_CACHE", 2000)
+    rng = np.random.default_rng(5)
+    sample = [(" ".join(f"{x:x}" for x in rng.integers(1 << 22, (1 << 22) + 3000, 2000)), i % 2) for i in range(24)]
+    size = sum(len(t) for t, _ in sample)
+    tracemalloc.start()
+    toxicity.fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * size
+    cache = toxicity.Lengths(b" " * 8)
+    assert cache["x" * 10_000] > 0 and not cache  # text without blanks is one long window, which no cache keeps
+
+
 def test_marginals_by_brute_force():
     from itertools import product
 
