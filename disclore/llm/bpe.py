@@ -1,10 +1,11 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words of the texts go into a trie. Every node stands for a prefix and holds one state: the
-last token of that prefix's encoding and the ancestor where that token starts. A node's state follows from
-its ancestors' (a vocabulary token ends the prefix's encoding iff it and the last token before it are what
-BPE makes of the two together), so nodes are filled depth first, parents before children, and a prefix that
-many words share is encoded once. A word's ids are read off by walking the links back from its leaf.
+The distinct words of the texts go into a trie. Every node stands for a prefix, by which it is found, and holds
+one state: the last token of that prefix's encoding and the ancestor where that token starts. A node's state
+follows from its ancestors' (a vocabulary token ends the prefix's encoding iff it and the last token before it
+are what BPE makes of the two together). Only ancestors where such a token can start are asked for, so the trie
+has nodes for those alone, filled depth first, ancestors before the nodes below, and a prefix that many words
+share is encoded once. A word's ids are read off by walking the links back from its leaf.
 
 The vocabulary is a ``tokenizers`` JSON file of the word-end kind: NFC, lower case, a split by pattern,
 byte-level symbols, a suffix on each word's last symbol. Its path is a parameter and the file is read on
@@ -31,6 +32,8 @@ from .common import small_batches, sole_cache
 MAX_PAIRS = 400_000
 MAX_NODES = 500_000
 MAX_WORDS = 400_000
+#: bytes of a word; in longer ones the prefixes would take the square of the length, so they stay out of the trie
+MAX_DEPTH = 128
 PIECE_CHARS = 1 << 20
 _BREAK = re.compile(r"[ \n]")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -80,7 +83,20 @@ class WordTrieBpe:
             if ic not in self.halves:
                 self.halves[ic] = (ia, ib)
                 self.made[ic] = r
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
+        #: tokens by their bytes, those within words and those that end them; the most bytes of a token with the same last three
+        code = {c: b for b, c in enumerate(self.symbols)}
+        self.inner: dict[bytes, int] = {}
+        self.ends: dict[bytes, int] = {}
+        self.inner_reach: dict[bytes, int] = {}
+        self.ends_reach: dict[bytes, int] = {}
+        for t, i in self.vocab.items():
+            core = t.removesuffix(self.suffix)
+            if core and all(c in code for c in core):
+                tokens, reach = (self.inner, self.inner_reach) if core == t else (self.ends, self.ends_reach)
+                raw = bytes([code[c] for c in core])
+                tokens[raw] = i
+                reach[raw[-3:]] = max(reach.get(raw[-3:], 2), len(raw))
+        self.longest = max(map(len, chain(self.inner, self.ends)))
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         #: ids of runs between blanks, and those of the generation before: runs in use move on, the rest go
@@ -89,10 +105,8 @@ class WordTrieBpe:
         self._reset()
 
     def _reset(self) -> None:
-        """An empty trie; ``start`` is the depth at which a node's last token begins."""
-        self.child: dict[int, int] = {}
-        self.last = array("i", [-1])
-        self.start = array("i", [0])
+        """An empty trie: by prefix, the last token << 32 and the depth at which that token starts."""
+        self.nodes: dict[bytes, int] = {}
         if len(self._pairs) > MAX_PAIRS:
             self._pairs.clear()
 
@@ -134,15 +148,15 @@ class WordTrieBpe:
         """Whether BPE leaves a boundary between tokens a and b when their symbols stand side by side.
 
         Walks the two tokens' merge trees along the boundary from the latest merge down; a join across the
-        boundary that ranks before the merge undone last would have come first.
+        boundary that ranks before the merge undone last would have come first. b has to be whole.
         """
         key = a << 32 | b
         ok = self._pairs.get(key)
         if ok is not None:
             return ok
         rank, made, halves = self.rank.get, self.made, self.halves
-        limit, ok = 1 << 40, True
-        while True:
+        limit, ok = 1 << 40, self.whole(b)
+        while ok:
             r = rank(a << 32 | b)
             if r is not None and r < limit:
                 ok = False
@@ -161,69 +175,98 @@ class WordTrieBpe:
 
     # -- the trie -------------------------------------------------------------------------------------------
     def insert(self, runs: list[str]) -> None:
-        """Add distinct runs of text without blanks, in sorted order, so that their words go down the trie depth
-        first; new nodes get their states, and the cache each run's ids."""
-        child, last, start, vocab, suffix, longest = self.child, self.last, self.start, self.vocab, self.suffix, self.longest
-        table, cache, pairs, follows = self.symbols, self.cache, self._pairs, self.follows
-        older = self.older
+        """Give the cache the ids of runs of text without blanks, which are in sorted order, so that their words go
+        down the trie depth first. Runs of the generation before move on."""
+        cache, older, words, ids_of = self.cache, self.older, self.words, self._word
         for run in runs:
-            if run in cache:  # as a word of a run before
+            if run in cache:  # a repeat, or a word of a run before
                 continue
-            parts = []
-            for word in (run,) if run.isalpha() else self.words(run):
-                known = cache.get(word) or older.get(word)
-                if known is not None:
-                    parts.append(known)
-                    continue
-                s = word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode("utf-8")])
-                path, node, n = [0], 0, len(s)
-                for d in range(1, n):
-                    key = node << 9 | ord(s[d - 1])
-                    to = child.get(key)
-                    if to is None:
-                        to = child[key] = len(last)
-                        near = start[node]  # the last token mostly extends the parent's, or is a shorter one
-                        for k in chain((near,), range(d - 1, near, -1), range(near - 1, max(0, d - longest) - 1, -1)):
-                            token = vocab.get(s[k:d])
-                            if token is None:
-                                continue
-                            if k:
-                                before = last[path[k]]
-                                ok = pairs.get(before << 32 | token)
-                                if follows(before, token) if ok is None else ok:
-                                    break
-                            elif self.whole(token):
-                                break
-                        else:
-                            raise ValueError(f"no encoding of {s[:d]!r}")
-                        last.append(token)
-                        start.append(k)
-                    node = to
-                    path.append(node)
-                # the leaf, with the word-end suffix; a word comes here once, so it need not be kept
-                near = start[node]
-                for k in chain((near,), range(n - 1, near, -1), range(near - 1, max(0, n - longest) - 1, -1)):
-                    token = vocab.get(s[k:] + suffix)
-                    if token is None:
-                        continue
-                    if k:
-                        before = last[path[k]]
-                        ok = pairs.get(before << 32 | token)
-                        if follows(before, token) if ok is None else ok:
-                            break
-                    elif self.whole(token):
-                        break
+            known = older.get(run)
+            if known is None:
+                if run.isalpha():
+                    known = ids_of(run.encode("utf-8"))
                 else:
-                    raise ValueError(f"no encoding of {s!r}")
-                ids, d = [token], k
-                while d:
-                    node = path[d]
-                    ids.append(last[node])
-                    d = start[node]
-                ids.reverse()
-                known = cache[word] = array("I", ids).tobytes()
-                parts.append(known)
-            cache[run] = b"".join(parts)
+                    parts = []
+                    for word in words(run):
+                        ids = cache.get(word) or older.get(word)
+                        if ids is None:
+                            ids = cache[word] = ids_of(word.encode("utf-8"))
+                        parts.append(ids)
+                    known = b"".join(parts)
+            cache[run] = known
+
+    def _word(self, raw: bytes) -> bytes:
+        """The ids of a word. Its leaf, with the word-end suffix, comes here once, so it is not kept."""
+        n = len(raw)
+        if n > MAX_DEPTH:
+            return self._long(raw)
+        ends, pairs, nodes = self.ends, self._pairs, self.nodes
+        for k in range(max(0, n - self.ends_reach.get(raw[-3:], 2)), n):
+            token = ends.get(raw[k:])
+            if token is None:
+                continue
+            if not k:
+                if self.whole(token):
+                    return token.to_bytes(4, "little")
+                continue
+            before = raw[:k]
+            state = nodes.get(before)
+            if state is None:
+                state = self._node(before)
+            ok = pairs.get(state >> 32 << 32 | token)
+            if self.follows(state >> 32, token) if ok is None else ok:
+                break
+        else:
+            raise ValueError(f"no encoding of {raw!r}")
+        ids = [token, state >> 32]
+        while k := state & 0xFFFFFFFF:
+            state = nodes[raw[:k]]
+            ids.append(state >> 32)
+        ids.reverse()
+        return array("I", ids).tobytes()
+
+    def _node(self, prefix: bytes) -> int:
+        """The state of a new node, and so of the ancestors that it needs."""
+        inner, pairs, nodes, n = self.inner, self._pairs, self.nodes, len(prefix)
+        for k in range(max(0, n - self.inner_reach.get(prefix[-3:], 2)), n):
+            token = inner.get(prefix[k:])
+            if token is None:
+                continue
+            if not k:
+                if self.whole(token):
+                    break
+                continue
+            before = prefix[:k]
+            state = nodes.get(before)
+            if state is None:
+                state = self._node(before)
+            ok = pairs.get(state >> 32 << 32 | token)
+            if self.follows(state >> 32, token) if ok is None else ok:
+                break
+        else:
+            raise ValueError(f"no encoding of {prefix!r}")
+        state = nodes[prefix] = token << 32 | k
+        return state
+
+    def _long(self, raw: bytes) -> bytes:
+        """The ids of a long word: the states of all of its prefixes, from left to right, in arrays of its own."""
+        last, start, n = array("i", [-1]), array("i", [0]), len(raw)
+        for d in range(1, n + 1):
+            tokens, near = self.inner if d < n else self.ends, start[-1]  # the last token mostly extends the one before, or is a shorter one
+            for k in chain((near,), range(d - 1, near, -1), range(near - 1, max(0, d - self.longest) - 1, -1)):
+                token = tokens.get(raw[k:d])
+                if token is not None and (self.follows(last[k], token) if k else self.whole(token)):
+                    break
+            else:
+                raise ValueError(f"no encoding of {raw[:d]!r}")
+            last.append(token)
+            start.append(k)
+        ids, d = [], n
+        while d:
+            ids.append(last[d])
+            d = start[d]
+        ids.reverse()
+        return array("I", ids).tobytes()
 
     # -- texts ----------------------------------------------------------------------------------------------
     def _plain(self, text: str) -> list[bytes]:
@@ -241,17 +284,18 @@ class WordTrieBpe:
             # no word of the pattern spans a blank; U+001C..1F are blanks to split(), not to the pattern
             words = self.words(piece) if any(x in piece for x in _SEPARATORS) else piece.split()
             cache = self.cache
-            new = set(words).difference(cache)
-            if new:
+            ids = list(map(cache.get, words))
+            if None in ids:
                 if len(cache) > MAX_WORDS:
                     self.older, self.cache = cache, {}
-                    cache, new = self.cache, set(words)
-                if len(self.last) > MAX_NODES:
+                    cache = self.cache
+                if len(self.nodes) > MAX_NODES:
                     self._reset()
-                older = self.older
-                cache.update((w, older[w]) for w in new if w in older)
-                self.insert(sorted(w for w in new if w not in cache))
-            out.append(b"".join(map(cache.__getitem__, words)))
+                new = [k for k, x in enumerate(ids) if x is None]
+                self.insert(sorted([words[k] for k in new]))
+                for k in new:
+                    ids[k] = cache[words[k]]
+            out.append(b"".join(ids))
         return out
 
     def encode(self, text: str | None) -> bytes:

@@ -51,6 +51,44 @@ def test_codes_equal_the_library(docs, empty):
     assert {r["text"] for r in rows} == {t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False) for x in texts.values()}
 
 
+def test_words_are_encoded_with_few_look_ups():
+    """What a new word costs is bounded by the places where its tokens can start, not by all of its prefixes."""
+    looked = [0]
+
+    class Counting(dict):
+        def get(self, *a):
+            looked[0] += 1
+            return super().get(*a)
+
+    rng = np.random.default_rng(2)
+    parts = np.array("an the tion ing er on re st nd ou ea wh ble ä chen keit é eux ción".split())
+    words = rng.permutation(sorted({"".join(rng.choice(parts, rng.integers(2, 7))) for _ in range(4000)})).tolist()
+    coder, t = bpe.WordTrieBpe(VOCAB), library()
+    coder.insert(sorted(words[::2]))  # which tokens may follow each other is known by then
+    for name, value in list(vars(coder).items()):
+        if type(value) is dict:
+            setattr(coder, name, Counting(value))
+    coder.insert(sorted(words[1::2]))
+    assert all(coder.cache[w] == np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    assert looked[0] < 29 * len(words[1::2])  # 26 to 27 a word; a state for every prefix took 32 to 33
+
+
+def test_codes_with_full_caches_and_long_words(monkeypatch):
+    t = library()
+    coder = bpe.WordTrieBpe(VOCAB)
+    long = ["q" * n for n in (127, 128, 129)] + ["acgt" * 900, "é中" * 700, "x" * 400 + "!" * 400]
+    for text in [*long, " ".join(long)]:
+        assert coder.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(map(len, coder.nodes)) < 100_000  # the square of a long word's length would be millions
+    for name in ("MAX_WORDS", "MAX_NODES", "MAX_PAIRS"):
+        monkeypatch.setattr(bpe, name, 7)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice(list("abetn.é"), rng.integers(1, 6))) for _ in range(12))
+        assert coder.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(coder.cache) < 100 and len(coder.nodes) < 200
+
+
 def test_packing_holds_every_id_once(docs, empty):
     t = library()
     rows = packing.pack(docs, VOCAB, window=64, keep_ids=True).collect()
