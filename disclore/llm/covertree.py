@@ -17,6 +17,8 @@ label's distinct vectors, as for any exact method; the rows are not.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from .graph import components
 
 LEAF = 24
 SAMPLE = 512
+#: Rows of a matrix of dot products at once, and edges noted before they are joined: they bound memory, nothing else.
+CHUNK, EDGES = 256, 1 << 20
 #: More than the rounding of a distance: the root of 2 - 2xy is off by up to about 3e-8 where x and y nearly agree.
 SLACK = 1e-7
 
@@ -42,107 +46,194 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
 
-class Node:
-    """A centre, its covering radius (the true one), its members, its children."""
-
-    __slots__ = ("centre", "children", "centres", "members", "radii", "radius")
-
-    def __init__(self, x: np.ndarray, members: np.ndarray, reach: float):
-        self.members, self.centre = members, members[0]
-        d = _distance(x[members], x[members[:1]])[:, 0]
-        self.radius = float(d.max())
-        self.children: list[Node] = []
-        if len(members) <= LEAF or self.radius <= SLACK:
-            return
-        while True:  # halve until the net has more than one point
-            reach /= 2
-            if self.radius > reach or reach < SLACK:
-                break
-        rest, parts = members, []
-        while len(rest):
-            near = _distance(x[rest], x[rest[:1]])[:, 0] <= max(reach, SLACK)
-            near[0] = True
-            parts.append(rest[near])
-            rest = rest[~near]
-        if len(parts) > 1:
-            self.children = [Node(x, p, reach) for p in parts]
-            self.centres = np.array([c.centre for c in self.children])
-            self.radii = np.array([c.radius for c in self.children])
+def _net(x: np.ndarray, reach: float) -> np.ndarray:
+    """For every vector the number of its part: each part has a centre, its first vector, and none lies further from it
+    than ``reach``. Greedy, by chunks: to the nearest centre if one covers it, else centres are taken from the rest.
+    Parts are numbered as their centres lie, so that the first vector stays first."""
+    part, centres, enough = np.empty(len(x), np.int64), np.empty(0, np.int64), 1 - reach * reach / 2
+    for lo in range(0, len(x), CHUNK):
+        rest = np.arange(lo, min(lo + CHUNK, len(x)))
+        if len(centres):
+            dots = x[rest] @ x[centres].T
+            at = dots.argmax(1)
+            covered = dots[np.arange(len(rest)), at] >= enough
+            part[rest[covered]] = at[covered]
+            rest = rest[~covered]
+        close = x[rest] @ x[rest].T >= enough
+        np.fill_diagonal(close, True)
+        alone = close.sum(1) == 1
+        new, free = list(rest[alone]), ~alone
+        part[rest[alone]] = len(centres) + np.arange(len(new))
+        for k in np.flatnonzero(free):
+            if free[k]:
+                take = close[k] & free
+                part[rest[take]] = len(centres) + len(new)
+                new.append(rest[k])
+                free &= ~take
+        centres = np.append(centres, np.array(new, np.int64))
+    return np.argsort(np.argsort(centres))[part]
+
+
+class Tree:
+    """A cover tree in arrays. The vectors lie in tree order: ``x`` is ``vectors[order]`` and node k holds those from
+    ``start[k]``, its centre, to ``end[k]``; ``radius`` is the true covering radius; its children are the ``kids[k]``
+    nodes from ``kid[k]``. A leaf's children are its vectors, which have none."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.order, self.x = np.arange(len(vectors)), vectors.copy()
+        start, end, radius = [np.array([0])], [np.array([len(vectors)])], [np.array([float(_distance(self.x, self.x[:1]).max())])]
+        made, todo, opened = 1, deque([(0, 0, len(vectors), float(radius[0][0]), 4.0)]), []
+        while todo:
+            k, lo, hi, r, reach = todo.popleft()
+            if hi - lo == 1:
+                continue
+            firsts = np.arange(hi - lo)
+            if hi - lo > LEAF and r > SLACK:
+                while True:  # halve until the net has more than one point
+                    reach /= 2
+                    if r > reach or reach < SLACK:
+                        break
+                part = _net(self.x[lo:hi], max(reach, SLACK))
+                by = np.argsort(part, kind="stable")
+                parted = np.flatnonzero(np.diff(part[by], prepend=-1))
+                if len(parted) > 1:
+                    firsts = parted
+                    self.order[lo:hi], self.x[lo:hi] = self.order[lo:hi][by], self.x[lo:hi][by]
+            lasts = np.append(firsts[1:], hi - lo)
+            here = self.x[lo:hi]
+            apart = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", here, here[np.repeat(firsts, lasts - firsts)]), 0))
+            radii = np.where(lasts - firsts > 1, np.maximum.reduceat(apart, firsts), 0.0)
+            start.append(lo + firsts)
+            end.append(lo + lasts)
+            radius.append(radii)
+            opened.append((k, made, len(firsts)))
+            todo.extend((made + c, lo + int(firsts[c]), lo + int(lasts[c]), float(radii[c]), reach) for c in np.flatnonzero(lasts - firsts > 1))
+            made += len(firsts)
+        self.start, self.end, self.radius = np.concatenate(start), np.concatenate(end), np.concatenate(radius)
+        self.kid, self.kids = np.zeros(made, np.int64), np.zeros(made, np.int64)
+        for k, first, n in opened:
+            self.kid[k], self.kids[k] = first, n
+        self.single = self.kids == 0
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The children of the nodes; a single vector stands for itself."""
+        n = np.maximum(self.kids[nodes], 1)
+        first = np.where(self.single[nodes], nodes, self.kid[nodes])
+        return np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
 
 class Links:
-    """Weighted counts of links, and a forest over the members."""
+    """Weighted counts of links, and a forest over vectors in tree order. Nodes are counted as wholes: what is added
+    for one is noted where its vectors start and, negated, where they end, and is summed up once by ``counts``."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.count = weights, np.zeros(len(weights), np.int64)
-        self.parent = np.arange(len(weights))
+        self.weights, self.upto = weights, np.append(0, np.cumsum(weights))
+        self.added, self.within, self.glued = (np.zeros(len(weights) + 1, np.int64) for _ in range(3))
+        self.root, self.edges, self.waiting = np.arange(len(weights)), [], 0
+
+    def whole(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> None:
+        """All vectors of each range a link with all of the range b beside it."""
+        for s, e, o, p in ((a, a_end, b, b_end), (b, b_end, a, a_end)):
+            n = self.upto[p] - self.upto[o]
+            np.add.at(self.added, s, n)
+            np.add.at(self.added, e, -n)
+            self._glue(s, e)
+        self.edges.append((a, b))
+        self.waiting += len(a)
+        if self.waiting > EDGES:
+            self._join()
+
+    def inside(self, a: np.ndarray, a_end: np.ndarray) -> None:
+        """All vectors of each range link with one another."""
+        n = self.upto[a_end] - self.upto[a]
+        np.add.at(self.added, a, n)
+        np.add.at(self.added, a_end, -n)
+        np.add.at(self.within, a, 1)
+        np.add.at(self.within, a_end, -1)
+        self._glue(a, a_end)
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+    def _glue(self, a: np.ndarray, a_end: np.ndarray) -> None:
+        np.add.at(self.glued, a, 1)
+        np.add.at(self.glued, a_end - 1, -1)
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+    def _join(self) -> None:
+        a, b = (np.concatenate(e) for e in zip(*self.edges))
+        self.edges, self.waiting = [], 0
+        while True:
+            a, b = self.root[a], self.root[b]
+            differ = a != b
+            if not differ.any():
+                return
+            a, b = a[differ], b[differ]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (self.root != (up := self.root[self.root])).any():
+                self.root = up
 
+    def counts(self) -> np.ndarray:
+        return np.cumsum(self.added)[:-1] - np.cumsum(self.within)[:-1] * self.weights
 
-def dual(x: np.ndarray, p: Node, q: Node, threshold: float, links: Links) -> None:
-    """All links between the members of p and of q; those within p when q is p."""
+    def roots(self) -> np.ndarray:
+        next_too = np.flatnonzero(np.cumsum(self.glued)[:-1])
+        self.edges.append((next_too, next_too + 1))
+        self._join()
+        return self.root
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each key (an array of one) with its values."""
+    by = np.argsort(keys, kind="stable")
+    firsts = np.flatnonzero(np.diff(keys[by], prepend=-1))
+    return [(keys[g[:1]], values[g]) for g in np.split(by, firsts[1:])] if len(by) else []
+
+
+def dual(p: Tree, q: Tree, threshold: float, links: Links) -> None:
+    """All links between the vectors of p and of q (whose places follow p's); those within p when q is p.
+
+    A step takes some nodes of p against some of q as one matrix. What is too far apart is dropped, what is wholly
+    within the threshold is counted, two vectors are compared, and the rest is opened: each node that has children
+    with all it has to be compared with, so that the steps follow the nodes and not the pairs of them.
+    """
     t = float(np.sqrt(2 - 2 * threshold))
-    w = links.weights
-    todo = [(p, q)]
+    shift = 0 if p is q else len(p.x)
+    root = np.zeros(1, np.int64)
+    todo = [(root, root, p is q)]
     while todo:
-        a, b = todo.pop()
-        if a is not b:
-            d = float(_distance(x[[a.centre]], x[[b.centre]])[0, 0])
-            if d > t + a.radius + b.radius + SLACK:
-                continue
-            if d + a.radius + b.radius < t - SLACK:  # all of a with all of b
-                links.count[a.members] += w[b.members].sum()
-                links.count[b.members] += w[a.members].sum()
-                for i in (*a.members, *b.members):
-                    links.join(a.centre, i)
+        a_all, b, same = todo.pop()  # same: a against itself, each pair once
+        for lo in range(0, len(a_all), CHUNK):
+            a = a_all[lo : lo + CHUNK]
+            dots = p.x[p.start[a]] @ q.x[q.start[b]].T
+            near = np.sqrt(np.maximum(2 - 2 * dots, 0)) <= (p.radius[a] + (t + SLACK))[:, None] + q.radius[b][None, :]
+            i, j = np.nonzero(near)
+            if same:
+                i, j = i[i + lo <= j], j[i + lo <= j]
+                own = a[i[i + lo == j]]
+                i, j = i[i + lo < j], j[i + lo < j]
+                tight = 2 * p.radius[own] < t - SLACK
+                links.inside(p.start[own[tight]], p.end[own[tight]])
+                todo += [(k, k, True) for k in (p.below(own[[c]]) for c in np.flatnonzero(~tight & ~p.single[own]))]
+            if not len(i):
                 continue
-        elif 2 * a.radius < t - SLACK:
-            links.count[a.members] += w[a.members].sum() - w[a.members]
-            for i in a.members:
-                links.join(a.centre, i)
-            continue
-        if not a.children and not b.children:
-            close = x[a.members] @ x[b.members].T >= threshold
-            if a is b:
-                np.fill_diagonal(close, False)
-                links.count[a.members] += close @ w[a.members]
-            else:
-                links.count[a.members] += close @ w[b.members]
-                links.count[b.members] += w[a.members] @ close
-            for i, j in zip(*np.nonzero(close)):
-                links.join(a.members[i], b.members[j])
-            continue
-        # open one side, or both if both are inner nodes; the children's bounds as one matrix
-        ca, cb = a.children or [a], b.children or [b]
-        ia, ib = (a.centres if a.children else np.array([a.centre])), (b.centres if b.children else np.array([b.centre]))
-        ra, rb = (a.radii if a.children else np.array([a.radius])), (b.radii if b.children else np.array([b.radius]))
-        near = _distance(x[ia], x[ib]) <= t + ra[:, None] + rb[None, :] + SLACK
-        if a is b:
-            near = np.triu(near)
-        todo += [(ca[i], cb[j]) for i, j in zip(*np.nonzero(near))]
+            dot, i, j = dots[i, j], a[i], b[j]
+            pair = p.single[i] & q.single[j]
+            linked = np.where(pair, dot >= threshold, np.sqrt(np.maximum(2 - 2 * dot, 0)) + p.radius[i] + q.radius[j] < t - SLACK)
+            links.whole(p.start[i[linked]], p.end[i[linked]], shift + q.start[j[linked]], shift + q.end[j[linked]])
+            i, j = i[~linked & ~pair], j[~linked & ~pair]
+            inner = ~p.single[i]
+            todo += [(p.below(k), q.below(js), False) for k, js in _grouped(i[inner], j[inner])]
+            todo += [(ks, q.below(k), False) for k, ks in _grouped(j[~inner], i[~inner])]
 
 
 def links_of_blocks(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """rid, n, anchor for the vectors of one pair of blocks (side 0 and 1; side 0 alone: within the block)."""
     frame = frame.sort_values(["side", "rid"], ignore_index=True)
-    x, side = unit(frame["v"].tolist()), frame["side"].to_numpy()
-    links = Links(frame["weight"].to_numpy())
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a = Node(x, left, 4.0)
-    dual(x, a, Node(x, right, 4.0) if len(right) else a, threshold, links)
-    rid = frame["rid"].to_numpy()
-    anchor = rid[[links.find(i) for i in range(len(rid))]]
-    out = pd.DataFrame({"rid": rid, "n": links.count, "anchor": anchor})
+    x, left = unit(frame["v"].tolist()), int((frame["side"] == 0).sum())
+    a = Tree(x[:left])
+    b = Tree(x[left:]) if left < len(x) else a
+    order = a.order if b is a else np.append(a.order, left + b.order)
+    links = Links(frame["weight"].to_numpy()[order])
+    dual(a, b, threshold, links)
+    rid = frame["rid"].to_numpy()[order]
+    out = pd.DataFrame({"rid": rid, "n": links.counts(), "anchor": rid[links.roots()]})
     return out[out["n"] > 0]
 
 

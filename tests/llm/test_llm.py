@@ -228,6 +228,41 @@ def test_vectors_at_the_threshold(spark):
     assert got == {i: sum(h == g and j != i and cos(v, u) >= 0.93 for j, u, h in rows[g * 30 : g * 30 + 30]) for i, v, g in rows}
 
 
+def test_steps_of_the_walk_follow_the_vectors():
+    """Groups too wide to be counted as wholes, and vectors apart: counts and groups equal brute force, within a block
+    and across two, and what is called grows with the vectors, not with the pairs of them."""
+    import sys
+
+    import pandas as pd
+
+    def walk(n, size):
+        rng = np.random.default_rng(4)
+        base = np.repeat(rng.normal(size=(n // size, 32)), size, axis=0)
+        v = np.concatenate([base + rng.normal(size=base.shape) * 0.12, rng.normal(size=(n, 32))])
+        v, weight, side = v[rng.permutation(len(v))], rng.integers(1, 4, len(v)), (np.arange(len(v)) >= n).astype(int)
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        calls = []
+        for sides in (side, 0 * side):
+            frame, seen = pd.DataFrame({"side": sides, "rid": np.arange(len(v)), "weight": weight, "v": list(v)}), [0]
+            sys.setprofile(lambda *_, seen=seen: seen.__setitem__(0, seen[0] + 1))
+            try:
+                got = covertree.links_of_blocks(frame, 0.93)
+            finally:
+                sys.setprofile(None)
+            calls.append(seen[0])
+            close = (u @ u.T >= 0.93) & (sides[:, None] != sides if sides.any() else ~np.eye(len(u), dtype=bool))
+            root, old = np.arange(len(u)), None
+            while old is None or (root != old).any():
+                old, root = root, np.minimum(root, np.where(close, root, len(u)).min(1))
+            count, anchor = dict(zip(got["rid"], got["n"])), dict(zip(got["rid"], got["anchor"]))
+            assert [count.get(i, 0) for i in range(len(u))] == (close @ weight).tolist()
+            assert len(set(anchor.values())) == len({(anchor[i], root[i]) for i in anchor}) == len({root[i] for i in anchor})
+        return calls
+
+    for few, many in zip(walk(300, 100), walk(1200, 400)):
+        assert many < 8 * few
+
+
 def test_toxicity_learns_and_is_defined_everywhere(docs, empty):
     rng = np.random.default_rng(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
