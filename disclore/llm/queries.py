@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, covertree, media, minhash, packing, quality, quotes, secrets, sharding, toxicity
+from . import bpe, covertree, filteraudit, media, minhash, packing, quality, quotes, runs, secrets, sharding, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -51,7 +51,15 @@ def op10_quotes(spark, sf_dir):
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_minhash, op4_cover_tree, op5_toxicity, op6_hilbert_shards, op7_quality, op8_secrets, op9_media, op10_quotes)}
+def op11_runs(spark, sf_dir):
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filteraudit.labelled_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_minhash, op4_cover_tree, op5_toxicity, op6_hilbert_shards, op7_quality, op8_secrets, op9_media, op10_quotes, op11_runs, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op3_minhash": r"""
@@ -74,4 +82,24 @@ link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label
 reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
 c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT vec_id, (SELECT count(*) FROM link WHERE link.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x09-\x0D ]+'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY doc_id),
+r AS (SELECT f.part, coalesce(l.q, 0) AS q, coalesce(l.x, 0) AS x, {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS s, row_number() OVER () AS row_id FROM f LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS z),
+orders AS (SELECT '' AS o UNION ALL SELECT o || z FROM orders JOIN letters ON NOT contains(o, z)),
+steps AS (SELECT o AS filter_order, unnest(range(1, 6))::INT AS step FROM orders WHERE length(o) = 5),
+fails AS (SELECT row_id, part, q, x, z, CASE z WHEN 'A' THEN s.A WHEN 'B' THEN s.B WHEN 'C' THEN s.C WHEN 'D' THEN s.D ELSE s.E END AS bad FROM r, letters),
+falls AS (SELECT row_id, part, q, x, list_sort(list(z) FILTER (bad)) AS failed FROM fails GROUP BY ALL),
+kinds AS (SELECT part, coalesce(failed, []) AS failed, count(*) AS n, sum(q) AS q, sum(x) AS x FROM falls GROUP BY ALL),
+gone AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS z, n, q, x, failed,
+  (SELECT min(instr(filter_order, y)) FROM unnest(failed) AS u(y)) AS pos FROM kinds, steps),
+out AS (SELECT part, filter_order, step, z, coalesce(sum(n) FILTER (pos IS NULL OR pos > step), 0) AS kept, coalesce(sum(n) FILTER (pos = step), 0) AS removed,
+  coalesce(sum(n) FILTER (pos < step AND list_contains(failed, z)), 0) AS redundant, coalesce(sum(n) FILTER (failed = [z]), 0) AS unique_fails,
+  coalesce(sum(q) FILTER (pos = step), 0) AS good_lost, coalesce(sum(x) FILTER (pos = step), 0) AS toxic_lost FROM gone GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, z)::BIGINT AS shapley FROM out""",
 }
