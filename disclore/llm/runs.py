@@ -16,7 +16,9 @@ the higher levels name only the texts that are long enough for them. Words never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import free_names, small_batches
 
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: Words that are named together, and grid points looked at together: bounds on memory, not on texts.
-NAMED_WORDS, GRID_POINTS = 200_000, 1_000_000
+NAMED_WORDS, GRID_POINTS = 100_000, 250_000
 
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
 
@@ -139,10 +140,9 @@ def kept_words(n: int, runs: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
-def _portions(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
+def _portions(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
     portion, size = [], 0
-    for t in texts:
-        words = t.split()  # bytes split at blank, \t, \n, \v, \f and \r alone
+    for words in texts:
         if portion and size + len(words) > NAMED_WORDS:
             yield portion
             portion, size = [], 0
@@ -152,12 +152,13 @@ def _portions(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
         yield portion
 
 
-def periodic_runs(docs: DataFrame, text: Column | str = "text", keep: list[str] | None = None, least: int = 6, repeats: int = 4) -> DataFrame:
+def periodic_runs(docs: DataFrame, text: Column | str = "text", keep: list[str] | None = None, least: int = 6, repeats: int = 4, rewrite: Callable[[tuple, list[bytes]], list[bytes]] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id alone unless told), then n_words, runs (array of start, length, period, by start, then
     period; starts are word numbers from 0) and collapsed: the text's words, joined by one blank, without the repeats of
     its runs.
 
-    Words are what stands between blanks and the characters 9 to 13. A null text counts as empty: no words, no runs,
+    Words are what stands between blanks and the characters 9 to 13. ``rewrite`` is told a row's kept values and its words
+    and gives the words to look at instead. A null text counts as empty: no words, no runs,
     collapsed ''. Repeated rows and null ids keep rows of their own; an empty table gives no rows; the columns that are
     added get a _ before them where ``keep`` has their names. Texts are never cut: one of millions of words is named by
     itself.
@@ -173,7 +174,9 @@ def periodic_runs(docs: DataFrame, text: Column | str = "text", keep: list[str]
         for batch in batches:
             counts, sizes, rows, left = [], [], [], []
             column = batch.column(batch.num_columns - 1).cast(pa.binary())
-            for portion in _portions([v.as_py() for v in column]):
+            kept = zip(*[c.to_pylist() for c in batch.columns[:-1]]) if keep else repeat(())
+            split = (v.as_py().split() for v in column)  # bytes split at blank, \t, \n, \v, \f and \r alone
+            for portion in _portions(split if rewrite is None else map(rewrite, kept, split)):
                 number: dict[bytes, int] = {}
                 coded = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in portion]
                 for words, runs in zip(portion, find_runs(coded, least, repeats)):
@@ -190,26 +193,22 @@ def periodic_runs(docs: DataFrame, text: Column | str = "text", keep: list[str]
     return slim.mapInArrow(work, schema)
 
 
-def planted(docs: DataFrame) -> Column:
-    """The text of ``docs`` with a period planted into about a tenth of the documents, by a rule of doc_id.
+def planted(row: tuple, words: list[bytes]) -> list[bytes]:
+    """``words`` with a period planted into about a tenth of the documents, by a rule of the row's doc_id.
 
-    With h the crc32 of the decimal doc_id and g = floor(h / 10): where h % 10 = 0 and the text has n > 0 words, each word
+    With h the crc32 of the decimal doc_id and g = floor(h / 10): where h % 10 = 0 and there are n > 0 words, each word
     i >= a becomes word a + (i - a) % p, with a = g % n and p = 1 + floor((n - a) / (3 + g % 8)). A null doc_id has no h,
-    so its text stays.
+    so its words stay.
     """
-    h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = F.filter(F.split(docs["text"], WORD_GAP, -1), lambda w: w != "")
-    n = F.size(words)
-    plain = F.struct(words.alias("w"), (g % n).alias("a"), n.alias("n"))
-
-    def turned(s: Column) -> Column:
-        p = 1 + F.floor((s["n"] - s["a"]) / (3 + g % 8))
-        places = F.sequence(F.lit(0).cast("bigint"), s["n"].cast("bigint") - 1)
-        return F.array_join(F.transform(places, lambda i: F.get(s["w"], F.when(i >= s["a"], s["a"] + (i - s["a"]) % p).otherwise(i).cast("int"))), " ")
-
-    made = F.get(F.transform(F.array(plain), turned), F.lit(0))
-    return F.when((h % 10 == 0) & docs["text"].rlike("[^\\x20\\x09-\\x0D]"), made).otherwise(docs["text"])
+    if row[0] is None or not words:
+        return words
+    g, rest = divmod(zlib.crc32(str(row[0]).encode()), 10)
+    if rest:
+        return words
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -218,7 +217,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
     Nulls, empty texts, repeated rows and empty tables are as in ``periodic_runs``; the digests are never null.
     """
-    found = periodic_runs(docs.select("doc_id", planted(docs).alias("text")))
+    found = periodic_runs(docs, rewrite=planted)
     better = F.expr("aggregate(runs, cast(null as " + RUN + "), (best, r) -> if(best is null or r.length * best.period > best.length * r.period, r, best))")
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
     lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
