@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, covertree, filteraudit, media, minhash, packing, quality, quotes, runs, secrets, sharding, toxicity
+from . import bpe, covertree, filteraudit, media, minhash, packing, quality, quotes, runs, secrets, sharding, templates, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -55,11 +55,15 @@ def op11_runs(spark, sf_dir):
     return runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_templates(spark, sf_dir):
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filteraudit.labelled_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_minhash, op4_cover_tree, op5_toxicity, op6_hilbert_shards, op7_quality, op8_secrets, op9_media, op10_quotes, op11_runs, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_minhash, op4_cover_tree, op5_toxicity, op6_hilbert_shards, op7_quality, op8_secrets, op9_media, op10_quotes, op11_runs, op12_templates, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op3_minhash": r"""
