@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, euclidean_distance
 from .pooling import mean_vectors
+from .tables import written
 
 
 def with_distance(df: DataFrame, cluster: str = "cluster", vector: str = "vector", metric: str = "cosine") -> DataFrame:
@@ -65,16 +66,18 @@ def seeded_sample(df: DataFrame, strata: list[str], n, seeds: list[int] = (0,),
 
 
 def numbered(df: DataFrame, order: list[str], start: int = 1, name: str = "count") -> DataFrame:
-    """Running numbers in an order (WIN7): partition offsets, no window over all rows in one task."""
+    """Running numbers in an order (WIN7): rows are dealt by range, sorted and written; a row's number is the rows of the
+    parts before it, which are counted, and its place in its own. No window over all rows in one task, and nothing that a
+    lost executor could deal anew. A column of ``df`` with that name is replaced."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = dealt.select("*", F.spark_partition_id().alias("_p")).persist()
-    counts = sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    at, offsets = start, []
+    at, part, before = ("_" * max(1, 1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)) + x for x in ("at", "part", "before"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright(at, 33)).agg(F.count("*")).collect())  # one row a part
+    total, offsets = start, []
     for p, k in counts:
-        offsets.append((p, at))
-        at += k
-    where = spark.createDataFrame(offsets, "_p int, _o long")
-    w = Window.partitionBy("_p").orderBy(*order)
-    return rows.join(F.broadcast(where), "_p").withColumn(name, F.row_number().over(w) - 1 + F.col("_o")).drop("_p", "_o")
+        offsets.append((p, total))
+        total += k
+    where = spark.createDataFrame(offsets, f"{part} long, {before} long")
+    out = rows.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(where), part)
+    return out.withColumn(name, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)).select(*[c for c in df.columns if c != name], name)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import chunks as ch
 from ..functions import html, jsons, text, vectors
 from ..functions.classify import classified, routed
-from ..operators import assist, clustering, evaluation, fusion, pooling, records, sampling, stats
+from ..operators import assist, clustering, density, evaluation, evidence, fusion, pooling, records, sampling, stats
 from ..sources import pdf, readers, writers
 from ..streaming import event_counts, user_sessions
 
@@ -589,6 +589,20 @@ def gmm_tied_labels(spark, d):
     return clustering.gmm(clustering.reduced(clustering.normalised(_vec(_Tables(spark, d))), 8), 20)
 
 
+@query("""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+  d AS (SELECT a.i, list(round(list_distance(a.e, b.e), 9) ORDER BY b.i) AS ds FROM v a JOIN v b ON true GROUP BY a.i),
+  c AS MATERIALIZED (SELECT list(list_sort(ds)[4] ORDER BY i) AS core FROM d),
+  m AS MATERIALIZED (SELECT i, list_transform(list_zip(ds, core), lambda z: greatest(z[1], z[2], core[i])) AS r FROM d, c),
+  t AS (SELECT 1 AS step, NULL::DOUBLE AS w, list_transform(r, lambda x, j: CASE WHEN j = 1 THEN 'infinity'::DOUBLE ELSE x END) AS best, [1] AS inside FROM m WHERE i = 1
+    UNION ALL SELECT s.step + 1, s.best[s.next], list_transform(s.best, lambda x, j: CASE WHEN j = s.next OR list_contains(s.inside, j) THEN 'infinity'::DOUBLE ELSE least(x, m.r[j]) END), list_append(s.inside, s.next)
+      FROM (SELECT *, list_position(best, list_min(best)) AS next FROM t) s JOIN m ON m.i = s.next WHERE s.step < (SELECT count(*) FROM v))
+  SELECT round(w, 6) AS weight, count(*) AS n FROM t WHERE w IS NOT NULL GROUP BY 1""")
+def reachability_tree(spark, d):
+    points, _ = density.weighted_points(clustering.normalised(_vec(_Tables(spark, d))))
+    tree = density.spanning_tree(points, 3).join(points.select(F.col("p").alias("a"), "w"), "a")
+    return tree.groupBy(_r("weight").alias("weight")).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w") - 1).otherwise(1)).alias("n"))
+
+
 @query()
 def hdbscan_labels(spark, d):
     return clustering.hdbscan(clustering.normalised(_vec(_Tables(spark, d))), 5, 3)
@@ -604,10 +618,41 @@ def spectral_labels(spark, d):
     return clustering.spectral(clustering.normalised(_vec(_Tables(spark, d))), 8)
 
 
+def _two_clusterings(spark, d):
+    return _vec(_Tables(spark, d)).select("doc_id", F.col("cluster").alias("label_0"), (F.col("vec_id") % 3).cast("int").alias("label_1"))
+
+
 @query()
 def eac_labels(spark, d):
-    e = _vec(_Tables(spark, d)).select("doc_id", F.col("cluster").alias("label_0"), (F.col("vec_id") % 3).cast("int").alias("label_1"))
-    return clustering.eac(e, ["label_0", "label_1"], min_size=5)
+    return clustering.eac(_two_clusterings(spark, d), ["label_0", "label_1"], min_size=5)
+
+
+@query("""WITH x AS (SELECT vec_id, label AS a, vec_id % 3 AS b, vec_id % 7 - 1 AS c FROM embeddings), y AS (SELECT a, b, c, count(*) AS n FROM x GROUP BY ALL),
+  s AS (SELECT x.vec_id, n, (x.a = y.a)::INT + (x.b = y.b)::INT + (x.c = y.c AND x.c <> -1)::INT AS common FROM x JOIN y ON true)
+  SELECT vec_id::VARCHAR AS doc_id, coalesce(sum(n) FILTER (common >= 1), 0)::BIGINT AS n_1, coalesce(sum(n) FILTER (common >= 2), 0)::BIGINT AS n_2, coalesce(sum(n) FILTER (common >= 3), 0)::BIGINT AS n_3 FROM s GROUP BY 1""")
+def evidence_sharing(spark, d):
+    three = ["label_0", "label_1", "label_2"]
+    labels = _two_clusterings(spark, d).withColumn("label_2", (F.col("doc_id").cast("long") % 7 - 1).cast("int"))
+    nodes = evidence.label_nodes(labels, three)
+    return labels.join(nodes.join(evidence.sharing(nodes, three), "p"), three).select("doc_id", "n_1", "n_2", "n_3")
+
+
+@query("""WITH RECURSIVE x AS (SELECT label AS a, vec_id % 3 AS b, vec_id FROM embeddings), n AS (SELECT row_number() OVER (ORDER BY a, b) AS i, a, b, count(*)::DOUBLE AS w FROM x GROUP BY a, b),
+  c AS (SELECT n.i, x.vec_id, ((n.a = x.a)::INT + (n.b = x.b)::INT) / 2 AS c FROM n JOIN x ON true),
+  p AS (SELECT p.i AS a, q.i AS b, sqrt(sum((p.c - q.c) * (p.c - q.c))) AS d FROM c p JOIN c q ON p.vec_id = q.vec_id AND p.i < q.i GROUP BY 1, 2),
+  t AS (SELECT list({'a': p.a, 'b': p.b, 'd': p.d, 'wa': m.w, 'wb': n.w} ORDER BY p.a, p.b) AS ps, NULL::DOUBLE AS height FROM p JOIN n m ON m.i = p.a JOIN n ON n.i = p.b
+    UNION ALL SELECT (SELECT list({'a': a, 'b': b, 'd': d, 'wa': wa, 'wb': wb} ORDER BY a, b) FROM (SELECT a, b, sum(d * wa * wb) / sum(wa * wb) AS d, CASE WHEN a = s.lo THEN sum(wa) ELSE max(wa) END AS wa, CASE WHEN b = s.lo THEN sum(wb) ELSE max(wb) END AS wb FROM (
+        SELECT least(ra, rb) AS a, greatest(ra, rb) AS b, d, CASE WHEN ra < rb THEN wa ELSE wb END AS wa, CASE WHEN ra < rb THEN wb ELSE wa END AS wb FROM (SELECT CASE WHEN z.a = s.hi THEN s.lo ELSE z.a END AS ra, CASE WHEN z.b = s.hi THEN s.lo ELSE z.b END AS rb, z.d AS d, z.wa AS wa, z.wb AS wb FROM unnest(s.ps) u(z)) WHERE ra <> rb) GROUP BY a, b)), s.d
+      FROM (SELECT ps, list_sort(list_transform(ps, lambda z: [round(z.d, 9), z.a, z.b]))[1] AS top, top[2] AS lo, top[3] AS hi, list_min(list_transform(ps, lambda z: z.d)) AS d FROM t WHERE len(ps) > 0) s)
+  SELECT round(height, 6) AS height, count(*) AS n FROM t WHERE height IS NOT NULL GROUP BY 1""")
+def fused_linkage(spark, d):
+    merges = evidence.average_linkage(evidence.evidence_vectors(_two_clusterings(spark, d), ["label_0", "label_1"]))
+    return merges.groupBy(_r("height").alias("height")).agg(F.count("*").alias("n"))
+
+
+@query()
+def fused_hierarchy_labels(spark, d):
+    return evidence.fused_hierarchy(_two_clusterings(spark, d), ["label_0", "label_1"], n_clusters=8)
 
 
 @query()
