@@ -238,8 +238,8 @@ def links_of_blocks(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _pivots(distinct: DataFrame, n: int, threshold: float) -> np.ndarray:
-    """A net of at most ``n`` vectors of one length from a bounded sample, farthest first."""
-    rows = [r["v"] for r in distinct.select("v").limit(SAMPLE).collect()]
+    """A net of at most ``n`` vectors of one length from a bounded sample, the least hashes, farthest first."""
+    rows = [r["v"] for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
     length = max(map(len, rows))
     x = unit([r for r in rows if len(r) == length])
     chosen = [0]

@@ -27,7 +27,7 @@ from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 from .toxicity import thinned
 
 N_LINE = 12
-#: Lines of a chain in training (longer texts are several chains there), and cells of a group of chains.
+#: Lines of a chain in training, where longer texts are several chains with one label, and cells of a group of chains.
 TRAIN_LINES, GROUP_LINES = 256, 20_000
 
 
@@ -149,37 +149,48 @@ def quality_of(chains: list[np.ndarray], sizes: list[np.ndarray], model: Model)
 
 
 def _groups(chains: list[np.ndarray], labels: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Chains of like length side by side: (lengths, labels, weights, mask, features). A document counts once however
-    long it is, and both labels count alike."""
+    """Chains of like length side by side: (lengths, labels, weights, mask, features, documents). A document counts once
+    however long it is, and both labels count alike."""
     share = {v: 0.5 / max(1, (labels == v).sum()) for v in (0, 1)}
-    rows = [(c[k : k + TRAIN_LINES], int(v), share[int(v)] / len(c)) for c, v in zip(chains, labels) for k in range(0, len(c), TRAIN_LINES)]
+    rows = [(c[k : k + TRAIN_LINES], int(v), share[int(v)] / len(c), d) for d, (c, v) in enumerate(zip(chains, labels)) for k in range(0, len(c), TRAIN_LINES)]
     rows.sort(key=lambda r: -len(r[0]))
     out, at = [], 0
     while at < len(rows):
         part = rows[at : at + max(1, GROUP_LINES // len(rows[at][0]))]
         at += len(part)
-        _, length, x = _padded([c for c, *_ in part])
-        out.append((length, np.array([v for _, v, _ in part]), np.array([w for *_, w in part]), np.arange(x.shape[1])[None] < length[:, None], x.astype(np.float32)))
+        _, length, x = _padded([r[0] for r in part])
+        out.append((length, np.array([r[1] for r in part]), np.array([r[2] for r in part]), np.arange(x.shape[1])[None] < length[:, None], x.astype(np.float32), np.array([r[3] for r in part])))
     return out
 
 
-def _slope(group: tuple[np.ndarray, ...], w: np.ndarray, edges: np.ndarray, latent: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of a group's log likelihood: what the labels say about lines and edges less what the field expects."""
-    length, label, weight, mask, x = group
-    u = (x @ w.astype(np.float32)).astype(np.float64) * mask
-    good, pair, total = marginals(u, edges, length)
-    told, linked = np.repeat(label[:, None], good.shape[1], 1).astype(float), np.zeros_like(pair)
-    linked[label == 0, :, 0, 0] = linked[label == 1, :, 1, 1] = 1
-    if latent:  # a bad document: any labelling but the one that is good throughout
-        all_good = np.exp(np.minimum(u.sum(1) + (length - 1) * edges[1, 1] - total, 0))[:, None]
-        rest, bad = np.maximum(1 - all_good, 1e-6), label == 0
-        told[bad] = np.clip((good - all_good) / rest, 0, 1)[bad]
-        both = pair.copy()
-        both[:, :, 1, 1] = np.maximum(both[:, :, 1, 1] - all_good, 0)
-        linked[bad] = (both / rest[:, :, None, None])[bad]
-    off = (told - good) * mask * weight[:, None]
-    real = mask[:, 1:] * weight[:, None]
-    return np.einsum("nt,ntf->f", off, x), ((linked - pair) * real[:, :, None, None]).sum((0, 1))
+def _slopes(groups: list[tuple[np.ndarray, ...]], w: np.ndarray, edges: np.ndarray, latent: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood: what the labels say about lines and edges less what the field expects.
+
+    That a bad document is not good throughout holds once for all its chains, so the chance that all its lines are good
+    is the product over them.
+    """
+    seen, whole = [], np.zeros(1 + max(int(g[5].max()) for g in groups))
+    for length, _, _, mask, x, of in groups:
+        u = (x @ w.astype(np.float32)).astype(np.float64) * mask
+        good, pair, total = marginals(u, edges, length)
+        np.add.at(whole, of, u.sum(1) + (length - 1) * edges[1, 1] - total)
+        seen.append((good, pair))
+    slope, linked_slope = 0.0, 0.0
+    for (length, label, weight, mask, x, of), (good, pair) in zip(groups, seen):
+        told, linked = np.repeat(label[:, None], good.shape[1], 1).astype(float), np.zeros_like(pair)
+        linked[label == 0, :, 0, 0] = linked[label == 1, :, 1, 1] = 1
+        if latent:  # a bad document: any labelling but the one that is good throughout
+            all_good = np.exp(np.minimum(whole[of], 0))[:, None]
+            rest, bad = np.maximum(1 - all_good, 1e-6), label == 0
+            told[bad] = np.clip((good - all_good) / rest, 0, 1)[bad]
+            both = pair.copy()
+            both[:, :, 1, 1] = np.maximum(both[:, :, 1, 1] - all_good, 0)
+            linked[bad] = (both / rest[:, :, None, None])[bad]
+        off = (told - good) * mask * weight[:, None]
+        real = mask[:, 1:] * weight[:, None]
+        slope = slope + np.einsum("nt,ntf->f", off, x)
+        linked_slope = linked_slope + ((linked - pair) * real[:, :, None, None]).sum((0, 1))
+    return slope, linked_slope
 
 
 def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 120, l2: float = 1e-3) -> Model:
@@ -199,8 +210,8 @@ def fit(sample: list[tuple[str, int]], cut: float = 0.3, steps: int = 120, l2: f
     for latent in (False, True):
         moment = [np.zeros(width + 4), np.zeros(width + 4)]
         for step in range(1, (steps if not latent else steps // 2) + 1):  # Adam
-            parts = [_slope(g, w, edges, latent) for g in groups]
-            g = np.concatenate([sum(p[0] for p in parts) - l2 * w, (sum(p[1] for p in parts) - 0.005 * edges).ravel()])
+            slope, linked = _slopes(groups, w, edges, latent)
+            g = np.concatenate([slope - l2 * w, (linked - 0.005 * edges).ravel()])
             moment[0] = 0.9 * moment[0] + 0.1 * g
             moment[1] = 0.99 * moment[1] + 0.01 * g * g
             move = (0.02 if latent else 0.1) * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)

@@ -39,11 +39,13 @@ VALUE = re.compile(r"""[ \t]*(?:(["'`])((?:\\\S?|(?!\1)[^\s\\])*)(\1?)|([^\s"'`]
 VALUE_END = re.compile(r"""[&;,](?=["'`]?[A-Za-z_][\w.\-]*["'`]?[=:])|["'`](?=[>,;)\]}:]|$)|</""")
 OPENED = {")": "(", "]": "[", "}": "{", ">": "<"}
 NAME_AND_SIGN = re.compile(r"[A-Za-z][\w.\-]*[=:]{1,3}")
-NAME_SPAN, LEAST, NESTED = 64, 8, 256
-LOGIN = re.compile(r"://[^\s/:@]{0,64}:([^\s/@]{6,256})@")
+NAME_SPAN, LEAST = 64, 8
+LOGIN = re.compile(r"://[^\s/:@]*:([^\s/@]{6,})@")
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_LINE = re.compile(r"\s*[A-Za-z0-9+/=]{16,}[ \t\r]*(?=\n|$)")
+#: A value with a digit that is told after a strong name, without a sign between.
+TOLD = re.compile(r"\b([\w.\-]*(?:password|passwd|pwd|passphrase|secret|token))[ \t]+(?:is|was)?[ \t]*[\"'`]?((?=[^\s\"'`]*[0-9])[^\s\"'`]{8,})", re.I)
 BESIDE = 32
 MARK = "[REDACTED]"
 #: Names that announce a secret, and common words that identifiers are made of.
@@ -95,12 +97,22 @@ def split_candidate(text: str, start: int, end: int) -> tuple[int, int, str, str
 
 
 def marked_values(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Passwords in addresses, and blocks of private keys up to their end line (without one, up to the last key line)."""
+    """Passwords in addresses, values with a digit right after a strong name, and blocks of private keys up to their end line
+    (without one, up to the last key line)."""
+    for m in TOLD.finditer(text):
+        if not SIGN.search(m[2]):
+            s, e = m.start(2), _trimmed(text, *m.span(2))
+            if e - s >= LEAST:
+                yield s, e, m[1].lower(), text[max(0, s - BESIDE) : s].lower()
     for m in LOGIN.finditer(text):
         yield *m.span(1), "password", text[max(0, m.start() - BESIDE) : m.start()].lower()
-    at = 0
-    while m := BLOCK.search(text, at):
-        end, stop = BLOCK_END.search(text, m.end()), BLOCK.search(text, m.end())
+    ends = BLOCK_END.finditer(text)  # both ends are looked for once, however many blocks begin
+    end, starts, at = next(ends, None), list(BLOCK.finditer(text)), 0
+    for m, stop in zip(starts, [*starts[1:], None]):
+        if m.start() < at:
+            continue
+        while end and end.start() < m.end():
+            end = next(ends, None)
         at = m.end()
         if end and not (stop and stop.start() < end.start()):
             at = end.end()
@@ -110,13 +122,46 @@ def marked_values(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(), at, "private key", text[max(0, m.start() - BESIDE) : m.start()].lower()
 
 
+def _trimmed(text: str, s: int, e: int) -> int:
+    """Where text[s:e] ends without the marks that close a sentence, and brackets that it does not open."""
+    opens: dict[str, int] = {}
+    while e > s:
+        c = text[e - 1]
+        if c in OPENED:
+            if c not in opens:
+                opens[c] = text.find(OPENED[c], s, e)
+            if 0 <= opens[c] < e:
+                break
+        elif c not in ".,;:\"'`":
+            break
+        e -= 1
+    return e
+
+
+def _ended(text: str, s: int, e: int) -> int:
+    """Where a value without quotes in text[s:e] ends."""
+    end = VALUE_END.search(text[s:e])
+    return _trimmed(text, s, s + end.start() if end else e)
+
+
 def assigned_values(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, name, words before) of the values of telling names.
 
     A quoted value ends at its quote, another one before a blank or the next name, less the marks that close a
-    sentence. Values within a value are candidates too if that has at most ``NESTED`` characters.
+    sentence. Telling names within a value have values of their own, each up to the next such name, so that all values of a
+    text together are at most twice as long as it.
     """
-    at = 0
+    inner, outer_end, at = None, 0, 0
+
+    def within(s: int, name: str, e: int) -> tuple[int, int, str, str]:
+        if text[s : s + 1] in ("'", '"', "`") and s < e:
+            s, quote = s + 1, text[s]
+            close = text.find(quote, s, e)
+            e = close if close >= 0 else _trimmed(text, s, e)
+        else:
+            e = _ended(text, s, e)
+        return s, e, name, text[max(0, s - BESIDE) : s].lower()
+
     while sign := SIGN.search(text, at):
         at = sign.end()
         from_ = max(0, sign.start() - NAME_SPAN)
@@ -126,27 +171,31 @@ def assigned_values(text: str) -> Iterator[tuple[int, int, str, str]]:
         m = NAME.search(text, from_, sign.start())
         if not m or not any(t in m[1].lower() for t in TELLING) or text.startswith("//", at):
             continue
+        if sign.start() < outer_end:
+            if inner and (c := within(*inner, max(inner[0], m.start(1))))[1] - c[0] >= LEAST:
+                yield c
+            inner = (at, m[1].lower())
+            continue
+        if inner and (c := within(*inner, outer_end))[1] - c[0] >= LEAST:
+            yield c
+        inner = None
         v = VALUE.match(text, at)
         if not v:
             continue
         s, e = v.span(2) if v[1] else v.span(4)
         if not v[3]:
-            run = text[s:e]
-            if not v[1] and (end := VALUE_END.search(run)):
-                run = run[: end.start()]
-            while run and (run[-1] in ".,;:\"'`" or run[-1] in OPENED and OPENED[run[-1]] not in run):
-                run = run[:-1]
-            e = s + len(run)
+            e = _trimmed(text, s, e) if v[1] else _ended(text, s, e)
+        outer_end = e
         if e - s >= LEAST:
             yield s, e, m[1].lower(), text[max(0, s - BESIDE) : s].lower()
-            if e - s > NESTED:
-                at = e
+    if inner and (c := within(*inner, outer_end))[1] - c[0] >= LEAST:
+        yield c
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Runs, assigned and marked values, each place once; they may overlap. A run that is a name and the start of its
     assigned value is left to that value."""
-    assigned = list(assigned_values(text))
+    assigned = sorted(assigned_values(text), key=lambda c: c[:2])
     starts, at, seen = [c[0] for c in assigned], 0, set()
     for m in CANDIDATE.finditer(text):
         s, e, name, before = split_candidate(text, m.start(), m.end())
@@ -193,7 +242,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[Finding]:
     """(value, name, words before, words after, 1 for a secret) made from a seed."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
-    hexed, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
+    hexed, alnum, upper, lowered = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase
     word = lambda: rng.choice(DICTIONARY)
     prose = lambda: " ".join(pick("etaoinshrdlu", rng.randint(2, 8)) for _ in range(3)) + " "
     secret_name = lambda: rng.choice(("api_key", "token", "secret", "password", "auth_token", "access_key", "client_secret", "private_key", "passwd"))
@@ -203,7 +252,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[Finding]:
         named = kind in (1, 2, 3, 6) or rng.random() < 0.4
         value = (
             lambda: "AKIA" + pick(upper, 16), lambda: pick(hexed, 40), lambda: pick(hexed, rng.choice((18, 32, 64))), lambda: pick(alnum, rng.randint(16, 44)),
-            lambda: rng.choice(("ghp_", "gho_", "xoxb-", "sk-", "sk_live_")) + pick(alnum, rng.randint(20, 40)), lambda: "AIza" + pick(alnum + "-_", 35), lambda: pick(alnum + "!@#", rng.randint(10, 20)).replace("!", "1"), lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum + "-_", 40) + "." + pick(alnum + "-_", 30),
+            lambda: rng.choice(("ghp_", "gho_", "xoxb-", "sk-", "sk_live_")) + pick(alnum, rng.randint(20, 40)) if rng.random() < 0.7 else f"xox{rng.choice('abpr')}-{pick(string.digits, rng.randint(10, 13))}-{pick(string.digits, rng.randint(10, 13))}-{pick(rng.choice((alnum, lowered)), rng.randint(16, 32))}", lambda: "AIza" + pick(alnum + "-_", 35), lambda: pick(alnum + "!@#", rng.randint(10, 20)).replace("!", "1"), lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum + "-_", 40) + "." + pick(alnum + "-_", 30),
         )[kind]()
         style = rng.randrange(3)
         name, before = (secret_name(), prose()) if named and style == 0 else ("", prose() + secret_name() + rng.choice((' = "', ": ", "=", ' is "'))) if named else ("", prose())
@@ -222,6 +271,9 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[Finding]:
             told += rng.choice(("", "", "1", "256", "512", "sum", "_id"))
             place = rng.randrange(3)
             out.append((digest, told if place == 0 else "", prose() + (told + rng.choice((" ", ": ", " = ", ":", " (")) if place == 1 else ""), f" {told} " if place == 2 else " " + prose(), 0))
+        if rng.random() < 0.1:  # public keys are no secrets
+            told = rng.choice(("ssh-rsa ", "ssh-ed25519 ", "ssh-dss ", "ecdsa-sha2-nistp256 "))
+            out.append(("AAAA" + rng.choice(("B3NzaC1yc2EAAAADAQAB", "C3NzaC1lZDI1NTE5AAAA", "B3NzaC1kc3MAAACB", "E2VjZHNhLXNoYTItbmlz")) + pick(alnum + "+/", rng.choice((44, 90, 300, 350))) + rng.choice(("", "=", "==")), "", prose() + told, " " + word() + "@" + word() + rng.choice(("", "\n")), 0))
         if rng.random() < 0.1:
             out.append((pick(alnum + "+/", 64), "", pick(alnum + "+/", 31) + "\n", "\n" + pick(alnum + "+/", 31), 0))
             kind = rng.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, free_names, written
 
 BITS = 6
 
@@ -68,19 +68,23 @@ def size_cell(c: Column, bits: int = BITS) -> Column:
     return F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(F.greatest(c, F.lit(1)).cast("double"))))
 
 
-def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with ``position`` (0, 1, ... in the order of ``keys``, which must end in a unique one) and ``total``."""
+def ranked(df: DataFrame, keys: list[str], position: str = "position", total: str = "total") -> DataFrame:
+    """``df`` with ``position`` (0, 1, ... in the order of ``keys``, which must end in a unique one) and ``total``, under names
+    that ``df`` does not have."""
     spark = df.sparkSession
+    at, part, before = free_names(["at", "part", "before"], [*df.columns, position, total])
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    counts = sorted((r["p"], r["n"]) for r in dealt.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
-    total, offsets = 0, []
+    dealt = written(df.repartitionByRange(n, *[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys]).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy(F.shiftright(at, 33)).agg(F.count("*")).collect())  # one row a partition
+    rows, offsets = 0, []
     for p, k in counts:
-        offsets.append((p, total))
-        total += k
-    where = spark.createDataFrame(offsets, "p long, before long")
-    out = dealt.join(F.broadcast(where), F.shiftright("_at", 33) == F.col("p"))
-    return out.withColumn("position", F.col("before") + F.col("_at").bitwiseAND((1 << 33) - 1)).withColumn("total", F.lit(total).cast("long")).drop("_at", "p", "before")
+        offsets.append((p, rows))
+        rows += k
+    where = spark.createDataFrame(offsets, f"{part} long, {before} long")
+    out = dealt.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(where), part)
+    out = out.withColumn(position, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)).withColumn(total, F.lit(rows).cast("long")).drop(at, part, before)
+    out._ranked = dealt
+    return out
 
 
 def shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -108,21 +112,27 @@ def shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col
 def write_shards(df: DataFrame, path: str, dimensions: list[str], n_files: int, bits: int = BITS) -> DataFrame:
     """Write ``df`` as ``n_files`` runs of the curve over numeric or string ``dimensions``; return the manifest.
 
-    Numbers are cut at quantiles into 2**bits cells, strings by a hash. The manifest has, for each run, its
-    rows and each dimension's least and greatest value.
+    Numbers are cut at quantiles into 2**bits cells, strings by a hash; null numbers come first. The files have all columns
+    of ``df``; the folders, and the manifest's first column, are named ``run``, with a _ before where ``df`` has that name.
+    The manifest has, for each run, its rows (``n_rows``) and each dimension's least and greatest value (``min_<name>``,
+    ``max_<name>``). Repeated rows stay, rows of one cell may be dealt to neighbouring runs; an empty table gives an empty
+    folder and an empty manifest.
     """
+    curve_at, row, position, total, run = free_names(["curve", "row", "position", "total", "run"], df.columns)
     numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint", "double", "float", "date", "timestamp") or t.startswith("decimal")}
     cells = []
     for d in dimensions:
+        of = F.col(f"`{d}`")
         if d in numeric:
-            value = F.col(d).cast("double")
+            value = (F.unix_date(of) if dict(df.dtypes)[d] == "date" else of).cast("double")
             cuts = df.select(F.percentile_approx(value, [i / (1 << bits) for i in range(1, 1 << bits)]).alias("q")).first()["q"] or []
             cells.append(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda q, v=value: q < F.coalesce(v, F.lit(float("-inf"))))))
         else:
-            cells.append(category_cell(F.col(d), bits))
-    keyed = df.withColumn("_curve", curve(*cells, bits=bits)).withColumn("_row", F.monotonically_increasing_id())
-    out = ranked(keyed, ["_curve", "_row"]).withColumn("run", F.expr(f"((position * {n_files}) div total)").cast("int")).drop("_curve", "_row", "position", "total")
-    out.repartitionByRange(n_files, "run").write.partitionBy("run").parquet(path)
-    spark = df.sparkSession
-    bounds = [f(d).alias(f"{name}_{d}") for d in dimensions for name, f in (("min", F.min), ("max", F.max))]
-    return spark.read.parquet(path).groupBy("run").agg(F.count("*").alias("n_rows"), *bounds)
+            cells.append(category_cell(of, bits))
+    keyed = df.withColumn(curve_at, curve(*cells, bits=bits)).withColumn(row, F.monotonically_increasing_id())
+    placed = ranked(keyed, [curve_at, row], position, total)
+    out = placed.withColumn(run, F.expr(f"(`{position}` * {n_files}) div `{total}`").cast("int")).select(*[F.col(f"`{c}`") for c in df.columns], run)
+    out.repartitionByRange(n_files, run).write.partitionBy(run).parquet(path)
+    discard(placed._ranked)
+    bounds = [f(F.col(f"`{d}`")).alias(f"{name}_{d}") for d in dimensions for name, f in (("min", F.min), ("max", F.max))]
+    return df.sparkSession.read.schema(out.schema).parquet(path).groupBy(run).agg(F.count("*").alias("n_rows"), *bounds)
