@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +33,18 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 
 def doubles(a: Column) -> Column:
     return a.cast("array<double>")
+
+
+#: Distances of matrices are told to this many digits, so that equal ones are equal however they were summed.
+DIGITS = 9
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows; small ones, where the product of sums loses digits, are summed anew."""
+    a, b = (x * x).sum(1), (y * y).sum(1)
+    d = a[:, None] + b[None] - 2 * (x @ y.T)
+    i, j = np.nonzero(d < 1e-4 * (a[:, None] + b[None]))
+    for k in range(0, len(i), 65536):
+        p, q = i[k : k + 65536], j[k : k + 65536]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(1)
+    return np.round(np.sqrt(np.maximum(d, 0)), DIGITS)

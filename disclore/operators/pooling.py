@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean_distance
-
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """Element-wise mean (AGG4): partial sums per task and position, so a large group costs no memory."""
-    parts = df.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(vector))
+    """Element-wise mean (AGG4): one buffer a group and task, so a large group costs no memory. Rows with a null vector, or
+    components that are null, are left out."""
+    v = F.col(vector).cast("array<double>")
+    rows = df.where(F.col(vector).isNotNull()).where(~F.exists(v, lambda x: x.isNull()))
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(v))).alias(vector))
 
 
 def medoid_vectors(df: DataFrame, key: str = "doc_id", order: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """The vector with the least sum of Euclidean distances to its document's others, the first of equals (AGG5)."""
-    a = df.select(key, F.col(order).alias("_o"), F.col(vector).alias("_v"))
-    b = df.select(key, F.col(vector).alias("_w"))
-    sums = a.join(b, key).groupBy(key, "_o").agg(F.sum(euclidean_distance(F.col("_v"), F.col("_w"))).alias("_s"), F.first("_v").alias("_v"))
-    return sums.groupBy(key).agg(F.min_by("_v", F.struct(F.round("_s", 9), "_o")).alias(vector))
+    from .ranks import medoids
+
+    return medoids(df, key, order, vector)[0]
 
 
 def tfidf_weights(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, euclidean_distance
 from .pooling import mean_vectors
+from .ranks import looked_up, rows_at
 from .tables import written
 
 
@@ -17,23 +18,33 @@ def with_distance(df: DataFrame, cluster: str = "cluster", vector: str = "vector
     return df.join(centre, cluster).withColumn("distance", f(F.col(vector), F.col("_centre"))).drop("_centre")
 
 
-def _placed(df: DataFrame, cluster: str, id_col: str) -> DataFrame:
-    w = Window.partitionBy(cluster)
-    return df.withColumn("_r", F.row_number().over(w.orderBy(F.round("distance", 9), id_col)) - 1).withColumn("_n", F.count("*").over(w))
+def _before(bound: str, id_col: str) -> Column:
+    """Whether a row comes before the pair ``bound`` in the order of distance (to 9 digits) and id; a null bound is the end."""
+    return F.coalesce(F.struct(F.round("distance", 9).alias("value"), F.col(id_col).alias("id")) < F.col(bound), F.lit(True))
+
+
+def _with_bounds(df: DataFrame, ranks: dict[str, Column], cluster: str, id_col: str) -> DataFrame:
+    """``df`` with ``_n`` and the pairs of distance and id at its cluster's ranks; no cluster is put in order as a whole."""
+    keyed = df.select(cluster, F.round("distance", 9).alias("_d"), id_col)
+    return df.join(looked_up(rows_at(keyed, cluster, "_d", id_col, ranks)), cluster)
 
 
 def regions(df: DataFrame, k: int = 10, far: int | None = None, middle: bool = True, cluster: str = "cluster", id_col: str = "doc_id") -> DataFrame:
     """The ``k`` closest, ``k`` middle and ``far`` farthest rows of each cluster, with region and place (WIN1, WIN2).
 
-    The middle starts at max(0, n // 2 - k // 2); the farthest come farthest first; regions may overlap.
+    The middle starts at max(0, n // 2 - k // 2); the farthest come farthest first; regions may overlap. The places that
+    bound the regions are looked up first, so that only the regions' rows are put in order.
     """
     far = k if far is None else far
-    p = _placed(df, cluster, id_col)
-    start = F.greatest(F.lit(0), F.floor(F.col("_n") / 2) - k // 2)
-    close = F.when(F.col("_r") < k, F.struct(F.lit("closest").alias("region"), F.col("_r").cast("long").alias("place")))
-    mid = F.when((F.col("_r") >= start) & (F.col("_r") < start + k), F.struct(F.lit("middle").alias("region"), (F.col("_r") - start).cast("long").alias("place"))) if middle else F.lit(None).cast("struct<region:string,place:bigint>")
-    end = F.when(F.col("_r") >= F.col("_n") - far, F.struct(F.lit("farthest").alias("region"), (F.col("_n") - 1 - F.col("_r")).cast("long").alias("place")))
-    return p.withColumn("_g", F.explode(F.filter(F.array(close, mid, end), lambda x: x.isNotNull()))).select(*df.columns, "_g.region", "_g.place")
+    n = F.col("_n")
+    start = F.greatest(F.lit(0), F.floor(n / 2) - k // 2)
+    p = _with_bounds(df, {"_close": F.lit(k), "_from": start, "_to": start + k, "_end": F.greatest(F.lit(0), n - far)}, cluster, id_col)
+    before = lambda bound: _before(bound, id_col)
+    names = [F.when(before("_close"), "closest"), F.when(~before("_from") & before("_to"), "middle") if middle else F.lit(None).cast("string"), F.when(~before("_end") & (F.lit(far) > 0), "farthest")]
+    p = p.withColumn("region", F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())))
+    w = Window.partitionBy(cluster, "region")  # at most k or far rows
+    near, away = (F.row_number().over(w.orderBy(*o)) - 1 for o in ((F.round("distance", 9), F.col(id_col)), (F.desc_nulls_last(F.round("distance", 9)), F.desc_nulls_last(id_col))))
+    return p.withColumn("place", F.when(F.col("region") == "farthest", away).otherwise(near).cast("long")).select(*df.columns, "region", "place")
 
 
 def head_middle_tail(df: DataFrame, k: int = 4, cluster: str = "cluster", id_col: str = "doc_id") -> DataFrame:
@@ -45,9 +56,9 @@ def head_middle_tail(df: DataFrame, k: int = 4, cluster: str = "cluster", id_col
 
 def quartiles(df: DataFrame, cluster: str = "cluster", id_col: str = "doc_id") -> DataFrame:
     """center (first quarter), mid (half), edge (rest) by place in the order of distance (WIN4)."""
-    q = F.floor(F.col("_n") / 4)
-    region = F.when(F.col("_r") < q, "center").when(F.col("_r") < F.floor(3 * F.col("_n") / 4), "mid").otherwise("edge")
-    return _placed(df, cluster, id_col).withColumn("region", region).drop("_r", "_n")
+    p = _with_bounds(df, {"_q": F.floor(F.col("_n") / 4), "_h": F.floor(3 * F.col("_n") / 4)}, cluster, id_col)
+    region = F.when(_before("_q", id_col), "center").when(_before("_h", id_col), "mid").otherwise("edge")
+    return p.withColumn("region", region).select(*[c for c in df.columns if c != "region"], "region")
 
 
 def seeded_sample(df: DataFrame, strata: list[str], n, seeds: list[int] = (0,), id_col: str = "doc_id", order=None) -> DataFrame:
