@@ -45,7 +45,7 @@ BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_LINE = re.compile(r"\s*[A-Za-z0-9+/=]{16,}[ \t\r]*(?=\n|$)")
 #: A value with a digit that is told after a strong name, without a sign between.
-TOLD = re.compile(r"\b([\w.\-]*(?:password|passwd|pwd|passphrase|secret|token))[ \t]+(?:is|was)?[ \t]*[\"'`]?((?=[^\s\"'`]*[0-9])[^\s\"'`]{8,})", re.I)
+TOLD = re.compile(r"(password|passwd|pwd|passphrase|secret|token)[ \t]+(?:is|was)?[ \t]*[\"'`]?((?=[^\s\"'`]*[0-9])[^\s\"'`]{8,})", re.I)
 BESIDE = 32
 MARK = "[REDACTED]"
 #: Names that announce a secret, and common words that identifiers are made of.
@@ -99,7 +99,8 @@ def split_candidate(text: str, start: int, end: int) -> tuple[int, int, str, str
 def marked_values(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Passwords in addresses, values with a digit right after a strong name, and blocks of private keys up to their end line
     (without one, up to the last key line)."""
-    for m in TOLD.finditer(text):
+    low = text.lower()
+    for m in TOLD.finditer(text) if any(t in low for t in ("passw", "pwd", "passphrase", "secret", "token")) else ():
         if not SIGN.search(m[2]):
             s, e = m.start(2), _trimmed(text, *m.span(2))
             if e - s >= LEAST:
