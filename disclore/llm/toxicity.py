@@ -2,23 +2,28 @@
 
 Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of ordinary texts, and
 both end in the same third one, trained on other ordinary texts. A window is compressed with each; the bytes that
-the toxic dictionary saves are its gain. A document's features are the sum of the gains of its distinct windows
-that reach a threshold, and the number of its windows; a logistic curve turns them into a score.
-
-A window is ``WINDOW_WORDS`` neighbouring words. A match shorter than ``DMER`` bytes tells nothing, so a window that
-has no ``DMER`` bytes in common with what only the toxic dictionary holds gains nothing and is not compressed. Most
-of a toxic text is ordinary language, so its windows are purified by the compression distance itself: the toxic
-texts are parted in ``FOLDS`` parts, the dictionary of all parts but one judges the windows of that one, and those
-whose gain exceeds nearly all gains of ordinary windows train the next round's dictionary. No part is judged by its
-own dictionary. How rare a gain has to be, the dictionary's size, the threshold, the curve and its cut are
-calibrated on the last round: toxic texts by the dictionary of the other parts, ordinary texts that are in no
-dictionary by all of them in turn. The trained dictionaries serve as content, without their entropy tables, so that only matches
-tell them apart; a carrier stands around each window.
+the toxic dictionary saves are its gain. A document's features are the sum of the gains of its windows that reach a
+threshold, and the number of its windows; a logistic curve turns them into log odds.
+
+A window is some neighbouring words. A match shorter than ``DMER`` bytes, the length of the segments that the
+dictionaries are trained on, tells nothing, so a window that has no ``DMER`` bytes in common with what only the
+toxic dictionary holds gains nothing. Most of a toxic text is ordinary language, so its windows are purified by the
+compression distance itself: the toxic texts are parted in ``FOLDS`` parts; dictionaries of each part alone, of
+several sizes, judge the windows of the others, and a window stays if enough parts give it a gain that nearly no
+ordinary window has. So what stays recurs in several parts. The next round's dictionaries are trained on what stays.
+
+How much ordinary language the third dictionary should hold depends on how many labelled texts there are: with few
+of them, a large one holds the very words that tell toxic texts. So there are ``TEAMS``: one of three members with
+small third dictionaries and windows of one word, and one with a large third dictionary and windows of two. Within a
+member, how rare a gain has to be, the dictionary's size and the threshold are chosen by the likelihood of texts
+judged by the dictionaries of the other parts (ordinary texts, which are in no dictionary, by all of them in turn); so
+is the team, whose log odds are the mean of its members'. The trained dictionaries serve as content, without
+their entropy tables, so that only matches tell them apart; a carrier stands around each window.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -37,16 +42,33 @@ from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 #: Windows that a cache holds at most, and characters of a window that is kept: text without blanks is one window.
 MAX_CACHE, LONG = 200_000, 64
 LEVEL = 9
-WINDOW_WORDS = 2
-#: Rounds of purification, parts of the toxic texts, and the shares of ordinary windows, of which the better one is
-#: taken, whose gain a toxic window has to exceed to stay.
-ROUNDS, FOLDS, RARES = 3, 4, (0.998, 0.99)
-#: Bytes of the shared dictionary, of the first round's, and of those that are tried in the last round.
-BASE_BYTES, FIRST_BYTES, SIZES = 65_536, 16_384, (1024, 2048)
+#: Parts of the toxic texts, and rounds of purification at most.
+FOLDS, ROUNDS = 4, 3
 #: Segment and d-mer length of the dictionary training.
 SEGMENT, DMER = 24, 6
-#: Ordinary windows by which a gain is judged, and what a window may count for at most.
-BACKGROUND, MOST = 10_000, 8
+#: Ordinary windows by which a gain is judged, thresholds that are tried, and windows that are added to a text's number
+#: of them, so that a text of few words is judged like one of some.
+BACKGROUND, THRESHOLDS, PRIOR = 10_000, range(1, 9), 50
+#: What a false alarm weighs against a miss where the cut is placed; and the mean log likelihood from which on a team is
+#: taken without trying the next one.
+ALARM, ENOUGH = 2.0, -0.05
+
+
+@dataclass(frozen=True)
+class Team:
+    """How members are trained: words of a window, sizes of the third dictionaries (one member each), of the first round's
+    and the later rounds' dictionaries, the shares of ordinary windows of which one is to be exceeded, and how many parts
+    have to agree in the first and in later rounds."""
+
+    words: int
+    bases: tuple[int, ...]
+    first: tuple[int, ...]
+    later: tuple[int, ...]
+    rares: tuple[float, ...]
+    votes: tuple[int, int]
+
+
+TEAMS = (Team(2, (65_536,), (16_384,), (1024, 2048, 4096), (0.998, 0.99), (1, 3)), Team(1, (4096, 5120, 6144), (8192, 65_536), (1024, 2048, 4096), (0.98, 0.97), (2, 3)))
 MARKS = ".,;:!?|\"'()[]{}#$%&*"
 #: They stand before and after every window, and end both dictionaries: the first so that a short window's own
 #: bytes count in a compressed block, the second as zstandard looks for no match in a block's last bytes.
@@ -56,14 +78,19 @@ FRAME = b"\x03" * 8 + CARRIER + b"\x04" * 8 + TAIL + b"\x05" * 32
 
 
 @dataclass(frozen=True)
-class Model:
-    """All that scoring needs; a few dozen KB."""
-
+class Member:
     toxic: bytes
     ordinary: bytes
     base: bytes
     threshold: int
-    weights: tuple[float, ...]
+    weights: tuple[float, float, float]
+
+
+@dataclass(frozen=True)
+class Model:
+    """All that scoring needs; a few hundred KB at most."""
+
+    members: tuple[Member, ...]
     shift: float
     window_words: int
 
@@ -86,7 +113,7 @@ def unpacked(doc: bytes) -> list[str]:
 class Kept(dict):
     """Window -> number, for as many windows as memory allows."""
 
-    def keep(self, window: str, n: int) -> int:
+    def keep(self, window: str, n):
         if len(window) <= LONG:
             if len(self) >= MAX_CACHE:
                 self.clear()
@@ -116,20 +143,40 @@ class Gains(Kept):
         self.toxic, self.ordinary = Lengths(toxic + base).length, ordinary
         self.apart = {toxic[i : i + DMER] for i in range(len(toxic) - DMER + 1)}.isdisjoint
 
-    def __missing__(self, window: str) -> int:
+    def gain(self, window: str) -> int:
         raw = f" {window} ".encode("utf-8", "surrogatepass")
         if self.apart([raw[i : i + DMER] for i in range(len(raw) - DMER + 1)]):
-            return self.keep(window, 0)
-        return self.keep(window, min(self.ordinary(window) - self.toxic(window), MOST))
+            return 0
+        return max(0, self.ordinary(window) - self.toxic(window))
+
+    def __missing__(self, window: str) -> int:
+        return self.keep(window, self.gain(window))
+
+
+class TeamGains(Kept):
+    """Window -> what it adds to the sum of each member; () where it adds nothing to any."""
+
+    def __init__(self, members: tuple[Member, ...]):
+        self.parts = [(Gains(m.toxic, m.base, Lengths(m.ordinary + m.base).length).gain, m.threshold) for m in members]
+
+    def __missing__(self, window: str) -> tuple[int, ...]:
+        gains = tuple(g if (g := gain(window)) >= threshold else 0 for gain, threshold in self.parts)
+        return self.keep(window, gains if any(gains) else ())
 
 
-def gains_of(model: Model) -> Gains:
-    return Gains(model.toxic, model.base, Lengths(model.ordinary + model.base).length)
+def features(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logarithms of the summed gains and of the number of windows, and a constant."""
+    return np.column_stack([np.log1p(sums), np.log(np.asarray(n) + PRIOR), np.ones(len(n))])
 
 
-def features(gains: Gains, w: set[str], threshold: int) -> tuple[float, float]:
-    """Logarithms of the summed gains from the threshold on, and of the number of distinct windows."""
-    return math.log1p(sum(g for g in map(gains.__getitem__, w) if g >= threshold)), math.log1p(len(w))
+def log_odds(gains: TeamGains, model: Model, docs: list[list[str]]) -> np.ndarray:
+    """Of texts, given by their windows."""
+    sums = np.zeros((len(docs), len(model.members)))
+    for i, w in enumerate(docs):
+        for g in filter(None, map(gains.__getitem__, w)):
+            sums[i] += g
+    n = np.array([len(w) for w in docs], float)
+    return np.mean([features(sums[:, j], n) @ np.array(m.weights) for j, m in enumerate(model.members)], 0) + model.shift
 
 
 def thinned(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -156,79 +203,98 @@ def _flat(docs: list[bytes]) -> Iterator[str]:
     return (w for d in docs for w in unpacked(d))
 
 
-def histogram(gains: Gains, doc: bytes) -> tuple[list[int], int]:
-    """How many of the distinct windows gain 0 (or less), 1, ... ``MOST``; and their number."""
-    w, out = set(unpacked(doc)), [0] * (MOST + 1)
-    for g in map(gains.__getitem__, w):
-        out[max(g, 0)] += 1
-    return out, len(w)
-
-
-def fit(sample: list[tuple[str, int]], cut: float = 0.7, window_words: int = WINDOW_WORDS) -> Model:
-    """Train on (text, label) pairs; with fewer than four toxic or six ordinary texts every document scores 0.
-
-    The sample may be as long as its budget allows, so its windows stay packed, gains are told one judge after
-    the other, and caches are bounded.
-    """
-    k = window_words
-    toxic, ordinary = parts = [], []
-    for t, v in thinned(sample):
-        if w := windows(t, k):
-            parts[1 - v].append(packed(w))
-    del sample  # the texts are needed no more
-    if len(toxic) < 4 or len(ordinary) < 6:
-        return Model(b" " * 8, b" " * 8, b"", 1 << 20, (0.0, 0.0, -30.0), 0.0, k)
+def _member(toxic: list[bytes], ordinary: list[bytes], team: Team, base_bytes: int) -> tuple[float, Member, np.ndarray]:
+    """(mean log likelihood, member, log odds of the toxic texts, then of the ordinary ones that are in no dictionary), all
+    by texts that the judging dictionaries do not hold."""
     shared, against, apart = ordinary[0::2], ordinary[1::4], ordinary[3::4]
-    base = train_dictionary(_flat(shared), BASE_BYTES)
-    base = " ".join(islice(_flat(shared), BASE_BYTES)).encode("utf-8", "surrogatepass")[: max(0, BASE_BYTES - len(base))] + base + FRAME  # training ends early when little recurs
+    base = train_dictionary(_flat(shared), base_bytes) + FRAME  # training ends early when little recurs
     step = max(1, sum(d.count(b"\n") + 1 for d in apart) // BACKGROUND)
     background = list(islice(_flat(apart), 0, None, step))
-    controls = {size: (own := train_dictionary(_flat(against), size), Lengths(own + base).__getitem__) for size in {FIRST_BYTES, *SIZES}}
-
-    def judge(kept: list[bytes], h: int, size: int) -> Gains:
-        rest = [d for i, d in enumerate(kept) if i % FOLDS != h]
-        return Gains(train_dictionary(_flat(rest if any(rest) else [d for i, d in enumerate(toxic) if i % FOLDS != h]), size), base, controls[size][1])
-
-    def judged(kept: list[bytes], h: int, size: int) -> tuple[list[int], list[np.ndarray]]:
-        """Gains of the background, and of all windows of each of the part's texts."""
-        gains = judge(kept, h, size)
-        return [gains[w] for w in background], [np.array([gains[w] for w in unpacked(d)], np.int32) for d in toxic[h::FOLDS]]
-
-    first = [judged(toxic, h, FIRST_BYTES) for h in range(FOLDS)]
-    best = None
+    controls = {size: (own := train_dictionary(_flat(against), size), Lengths(own + base).__getitem__) for size in {*team.first, *team.later}}
+
+    def judge(kept: list[bytes], parts: list[int], size: int) -> Gains:
+        held = [d for i, d in enumerate(kept) if i % FOLDS in parts]
+        return Gains(train_dictionary(_flat(held if any(held) else [d for i, d in enumerate(toxic) if i % FOLDS in parts]), size), base, controls[size][1])
+
+    def voted(kept: list[bytes], p: int, sizes: tuple[int, ...], rares: tuple[float, ...]) -> dict[float, list[set[str]]]:
+        """For each rarity and each other part, the windows with a gain that so many ordinary windows do not have."""
+        out = {r: [set() for _ in range(FOLDS)] for r in rares}
+        for size in sizes:
+            gains = judge(kept, [p], size)
+            usual = [gains[w] for w in background]
+            least = {r: float(np.quantile(usual, r)) for r in rares}
+            lowest = min(least.values())
+            for i, d in enumerate(toxic):
+                if i % FOLDS != p:
+                    for w in unpacked(d):
+                        if (g := gains[w]) > lowest:
+                            for r in rares:
+                                if g > least[r]:
+                                    out[r][i % FOLDS].add(w)
+        return out
+
+    first = [voted(toxic, p, team.first, team.rares) for p in range(FOLDS)]
     y = np.array([1] * len(toxic) + [0] * len(apart))
     side = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(apart))
-    for rare in RARES:
+    n = np.array([d.count(b"\n") + 1 for d in [*toxic, *apart]], float)
+    best = None
+    for rare in team.rares:
         kept = toxic
         for r in range(ROUNDS):
-            new = [b""] * len(toxic)
-            for h in range(FOLDS):
-                usual, own = judged(kept, h, SIZES[-1]) if r else first[h]
-                least = float(np.quantile(usual, rare))
-                for i, g in zip(range(h, len(toxic), FOLDS), own):
-                    new[i] = packed([w for w, more in zip(unpacked(toxic[i]), g > least) if more])
-            kept = new
-        for size in SIZES:
+            votes = [(v if r == 0 else voted(kept, p, team.later, (rare,)))[rare] for p, v in enumerate(first)]
+            tally = [Counter(w for v in votes for w in v[h]) for h in range(FOLDS)]
+            after = [packed([w for w in unpacked(d) if tally[i % FOLDS][w] >= team.votes[r > 0]]) for i, d in enumerate(toxic)]
+            if after == kept:
+                break
+            kept = after
+        for size in team.later:
             seen: list = [None] * len(y)
             for h in range(FOLDS):
-                gains = judge(kept, h, size)
+                gains = judge(kept, [p for p in range(FOLDS) if p != h], size)
                 for part, at in ((toxic, 0), (apart, len(toxic))):
                     for i in range(h, len(part), FOLDS):
-                        seen[at + i] = histogram(gains, part[i])
-            for threshold in range(1, MOST):
-                x = np.array([(math.log1p(sum(g * many[g] for g in range(threshold, MOST + 1))), math.log1p(n)) for many, n in seen])
-                weights = logistic(x, y)
-                z = np.column_stack([x, np.ones(len(x))]) @ weights
+                        seen[at + i] = np.array([g for g in map(gains.__getitem__, unpacked(part[i])) if g], np.int64)
+            for threshold in THRESHOLDS:
+                x = features(np.array([g[g >= threshold].sum() for g in seen], float), n)
+                weights = logistic(x[:, :2], y)
+                z = x @ weights
                 p = sigmoid(z)
                 like = float((side * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
                 if best is None or like > best[0]:
-                    best = (like, threshold, weights, platt_shift(z, y, cut), size, kept)
-    _, threshold, weights, shift, size, kept = best
+                    best = (like, threshold, weights, z, size, kept)
+    like, threshold, weights, z, size, kept = best
     final = train_dictionary(_flat(kept if any(kept) else toxic), size)
-    return Model(final, controls[size][0], base, threshold, tuple(weights.tolist()), shift, k)
+    return like, Member(final, controls[size][0], base, threshold, tuple(weights.tolist())), z
 
 
-_gains: dict[tuple[bytes, bytes, bytes], Gains] = {}
+def fit(sample: list[tuple[str, int]], cut: float = 0.7, teams: tuple[Team, ...] = TEAMS) -> Model:
+    """Train on (text, label) pairs; with fewer than four toxic or six ordinary texts every document scores 0.
+
+    The sample may be as long as its budget allows, so its windows stay packed, gains are told one judge after
+    the other, and caches are bounded.
+    """
+    sample = thinned(sample)
+    if sum(v for _, v in sample) < FOLDS or sum(1 - v for _, v in sample) < 6:
+        return Model((Member(b" " * 8, b" " * 8, b"", 1 << 20, (0.0, 0.0, -30.0)),), 0.0, teams[0].words)
+    best = None
+    for team in teams:
+        parts: tuple[list[bytes], list[bytes]] = ([], [])
+        for t, v in sample:
+            parts[1 - v].append(packed(windows(t, team.words)))
+        toxic, ordinary = parts
+        found = [_member(toxic, ordinary, team, b) for b in team.bases]
+        z = np.mean([f[2] for f in found], 0)
+        y = np.array([1] * len(toxic) + [0] * (len(z) - len(toxic)))
+        p = sigmoid(z)
+        like = float(np.mean([np.log(p[y == 1] + 1e-12).mean(), np.log(1 - p[y == 0] + 1e-12).mean()]))
+        if best is None or like > best[0]:
+            best = (like, Model(tuple(f[1] for f in found), platt_shift(z, y, cut, ALARM), team.words))
+        if like > ENOUGH:
+            break
+    return best[1]
+
+
+_gains: dict[Model, TeamGains] = {}
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, cut: float = 0.7) -> DataFrame:
@@ -244,18 +310,13 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_cache("toxicity", _gains)
-        key = (model.toxic, model.ordinary, model.base)
-        if key not in _gains:
+        if model not in _gains:
             _gains.clear()
-            _gains[key] = gains_of(model)
-        gains, w = _gains[key], np.array(model.weights)
+            _gains[model] = TeamGains(model.members)
+        gains = _gains[model]
         for batch in batches:
             for part in _slices(batch):
-                x = []
-                for t in _texts(part.column(0)):
-                    x.append(features(gains, set(windows(t or "", model.window_words)), model.threshold))
-                x = np.array(x).reshape(-1, 2)
-                s = sigmoid(np.column_stack([x, np.ones(len(x))]) @ w + model.shift)
+                s = sigmoid(log_odds(gains, model, [windows(t or "", model.window_words) for t in _texts(part.column(0))]))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[*cols, *made])
 
     return src.mapInArrow(run, schema)

@@ -82,11 +82,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def platt_shift(score_raw: np.ndarray, y: np.ndarray, cut: float) -> float:
-    """What to add to the log odds so that ``cut`` falls into the middle of the gap that splits the classes best."""
+def platt_shift(score_raw: np.ndarray, y: np.ndarray, cut: float, alarm: float = 1.0) -> float:
+    """What to add to the log odds so that ``cut`` falls into the middle of the gap that splits the classes best, where the
+    share of label 0 above it weighs ``alarm`` times as much as that of label 1 below."""
     order = np.argsort(score_raw)
     s, t = score_raw[order], y[order]
-    good = np.concatenate([[0], np.cumsum(t == 0)]) / max(1, (t == 0).sum()) + (1 - np.concatenate([[0], np.cumsum(t == 1)]) / max(1, (t == 1).sum()))
+    good = alarm * np.concatenate([[0], np.cumsum(t == 0)]) / max(1, (t == 0).sum()) + (1 - np.concatenate([[0], np.cumsum(t == 1)]) / max(1, (t == 1).sum()))
     best = np.flatnonzero(good >= good.max() - 1e-12)
     edges = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
     at = edges[best].mean()

@@ -280,9 +280,27 @@ def test_toxicity_learns_and_is_defined_everywhere(docs, empty):
     assert sum(got[i] == y for i, (_, y) in enumerate(sample)) >= 290
     out = toxicity.scores(docs, m, keep=docs.columns).collect()
     assert len(out) == docs.count() and all(0 <= r[-2] <= 1 for r in out) and toxicity.scores(empty, m).count() == 0
-    assert toxicity.fit([]).threshold > 100
-    g = toxicity.gains_of(m)  # a window without DMER bytes of the toxic dictionary's own part gains nothing
-    assert g["\x7f\x7e\x7f\x7e"] == g["a"] == g[""] == 0
+    assert toxicity.fit([]).members[0].threshold > 100
+    g = toxicity.TeamGains(m.members)  # a window without DMER bytes of the toxic dictionary's own part gains nothing
+    assert g["\x7f\x7e\x7f\x7e"] == g["a"] == g[""] == ()
+
+
+def test_no_gain_is_clipped():
+    m = toxicity.Model((toxicity.Member(b" scoundrelly scoundrels ", b" " * 8, toxicity.FRAME, 2, (1.0, -0.1, 0.0)),), 0.0, 1)
+    z = toxicity.log_odds(toxicity.TeamGains(m.members), m, [["scoundrels"] * k for k in (0, 1, 4, 16, 64)])
+    assert (np.diff(z) > 0).all() and toxicity.TeamGains(m.members)["scoundrelly"][0] >= 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_held_out(spark):
+    """In four languages, three of them with 21 to 45 toxic texts to learn from, whose words share stems that ordinary texts
+    hold too, but seldom."""
+    from disclore.llm import queries
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op5_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("called")).collect()
+    of = {r["toxic"]: (r["called"], r["n"]) for r in rows}
+    assert of[1][0] / of[1][1] >= 0.9 and of[0][0] / of[0][1] <= 0.03
 
 
 def test_toxicity_learns_from_long_texts_in_bounded_memory(monkeypatch):
@@ -542,8 +560,8 @@ def test_pipeline_by_a_plain_version(spark, tmp_path):
 
     kept = [r for r in table if good(r[1])]
     t = toxicity.train(all_docs, labels)
-    gains = toxicity.gains_of(t)
-    score = lambda text: sigmoid(np.array([*toxicity.features(gains, set(toxicity.windows(text, t.window_words)), t.threshold), 1]) @ np.array(t.weights) + t.shift)
+    gains = toxicity.TeamGains(t.members)
+    score = lambda text: sigmoid(toxicity.log_odds(gains, t, [toxicity.windows(text or "", t.window_words)]))[0]
     kept = [r for r in kept if score(r[1]) < 0.7]
     sets = []
     for r in kept:
