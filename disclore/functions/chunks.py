@@ -36,26 +36,25 @@ def token_chunks(t: Column, most: int, whole_up_to: int = 0) -> Column:
 def semantic_chunks(df: DataFrame, *keys: str, text: str = "text", percentile: float = 0.95, likeness=None) -> DataFrame:
     """keys, chunk_id, text: sentences joined until neighbours differ more than all but the given share of neighbours do (STR17).
 
-    ``likeness(a, b)`` is the similarity of two sentences; by default the cosine of their word sets. Each
-    step is a column of its own, so that no step is computed again for every sentence.
+    ``likeness(a, b)`` is the similarity of two sentences, given as columns of text (of any embedder); by default the cosine
+    of their word sets. Neighbours are compared within their row, so a document's sentences are held once; repeated keys
+    keep rows of their own. Each step is a column of its own, so that no step is computed again for every sentence.
     """
-    def cosine(a: Column, b: Column) -> Column:
-        x, y = F.array_distinct(F.split(F.lower(a), r"(?U)\W+")), F.array_distinct(F.split(F.lower(b), r"(?U)\W+"))
+    def cosine(x: Column, y: Column) -> Column:
         return F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))
 
-    like = likeness or cosine
     d = df.select(*keys, F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), strip), lambda x: x != "").alias("_s"))
-    d = d.select(*keys, F.posexplode("_s").alias("_i", "_a"), F.col("_s"))
-    d = d.select(*keys, "_i", "_a", F.when(F.col("_i") > 0, 1 - like(F.get("_s", F.col("_i") - 1), F.col("_a"))).alias("_g"))
-    d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_a", "_g"))).alias("_p"))
-    gaps = F.array_sort(F.filter(F.transform("_p", lambda x: x["_g"]), lambda g: g.isNotNull()))
-    d = d.select(*keys, "_p", gaps.alias("_gs")).select(*keys, "_p", F.get("_gs", F.floor(percentile * (F.size("_gs") - 1)).cast("int")).alias("_cut"))
+    d = d.select(*keys, "_s", (F.col("_s") if likeness else F.transform("_s", lambda x: F.array_distinct(F.split(F.lower(x), r"(?U)\W+")))).alias("_w"))
+    like = likeness or cosine
+    d = d.select(*keys, "_s", F.transform("_w", lambda x, i: F.when(i > 0, 1 - like(F.get("_w", i - 1), x))).alias("_g"))
+    d = d.select(*keys, F.arrays_zip("_s", "_g").alias("_p"), F.array_sort(F.filter("_g", lambda g: g.isNotNull())).alias("_gs"))
+    d = d.select(*keys, "_p", F.get("_gs", F.floor(percentile * (F.size("_gs") - 1)).cast("int")).alias("_cut"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def add(acc: Column, x: Column) -> Column:
         broken = F.coalesce(x["_g"] > F.col("_cut"), F.lit(False))
-        now = F.when(acc["now"] == "", x["_a"]).otherwise(F.concat(acc["now"], F.lit(" "), x["_a"]))
-        return F.struct(F.when(broken, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(broken, x["_a"]).otherwise(now).alias("now"))
+        now = F.when(acc["now"] == "", x["_s"]).otherwise(F.concat(acc["now"], F.lit(" "), x["_s"]))
+        return F.struct(F.when(broken, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(broken, x["_s"]).otherwise(now).alias("now"))
 
     folded = F.aggregate("_p", start, add, lambda a: F.when(a["now"] != "", F.array_append(a["done"], a["now"])).otherwise(a["done"]))
     return d.select(*keys, F.posexplode(folded).alias("chunk_id", "text"))

@@ -116,16 +116,26 @@ def sections(starts: DataFrame, end: int, key: list[str] | None = None, closed:
     return starts.withColumn("end", F.lead("start", 1, end + 1).over(w) - (1 if closed else 0))
 
 
-def in_sections(items: DataFrame, ranges: DataFrame, at: str = "page", keep_outside: bool = False, key: list[str] | None = None) -> DataFrame:
-    """The first section (by start) of the item's document whose range holds its page (JOIN13).
+def in_sections(items: DataFrame, ranges: DataFrame, at: str = "page", keep_outside: bool = False, key: list[str] | None = None, width: int = 64) -> DataFrame:
+    """The first section (by start, then end and name) of the item's document whose range holds its page (JOIN13).
 
-    ``key`` names the document; without it the ranges are those of one document. A document's headings are one
-    array, so each item is joined once and no item meets another document's ranges.
+    ``key`` names the document; without it the ranges are those of one document. Pages are put in bins of ``width`` and
+    ranges in all bins that they reach, within the document's pages, so that pages meet the ranges of their bin alone, and
+    no row ever holds all ranges. Each page of a document is looked up once, however many items it has. Items without a
+    page, or outside of all ranges, have no section; columns of ranges other than these are not read.
     """
-    listed = F.array_sort(F.collect_list(F.struct("start", "end", "section"))).alias("_ranges")
-    joined = items.join(ranges.groupBy(*key).agg(listed), key, "left") if key else items.join(F.broadcast(ranges.agg(listed)))
-    found = joined.withColumn("section", F.get(F.filter("_ranges", lambda r: F.col(at).between(r["start"], r["end"])), 0)["section"]).drop("_ranges")
-    return found if keep_outside else found.where("section is not null")
+    key = key or []
+    pages = items.select(*key, F.col(at).cast("long").alias("_at")).where("_at is not null").distinct()
+    reach = pages.groupBy(*key).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    known = ranges.select(*key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "section").where("section is not null")
+    known = known.join(reach, key) if key else known.join(F.broadcast(reach))  # without a key it is one row
+    known = known.where((F.col("end") >= F.col("start")) & (F.col("end") >= F.col("_lo")) & (F.col("start") <= F.col("_hi")))
+    bin_of = lambda c: F.floor(c / width).cast("long")
+    known = known.withColumn("_bin", F.explode(F.sequence(bin_of(F.greatest("start", "_lo")), bin_of(F.least("end", "_hi")))))
+    met = pages.withColumn("_bin", bin_of(F.col("_at"))).join(known, [*key, "_bin"]).where(F.col("_at").between(F.col("start"), F.col("end")))
+    first = met.groupBy(*key, "_at").agg(F.min(F.struct("start", "end", "section"))["section"].alias("section"))
+    found = items.withColumn("_at", F.col(at).cast("long")).join(first, [*key, "_at"], "left" if keep_outside else "inner")
+    return found.select(*items.columns, "section")
 
 
 def section_starts(pages: DataFrame, patterns: dict[str, str], skip_first: int = 5, key: str = "path") -> DataFrame:

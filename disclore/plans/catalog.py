@@ -222,6 +222,16 @@ def prompt_lookup(spark, d):
     return records.with_prompt(t.nation.withColumnRenamed("n_regionkey", "category_handle"), p).select("n_nationkey", "n_name", "prompt_text")
 
 
+@query("""WITH s AS (SELECT l_orderkey % 200 AS doc, l_suppkey::VARCHAR || '-' || l_linenumber AS section, l_partkey % 1900 AS start, l_partkey % 1900 + l_quantity::BIGINT AS stop FROM lineitem),
+  m AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, section) AS k FROM documents JOIN s ON doc = doc_id % 200 AND doc_id % 2000 BETWEEN start AND stop) SELECT doc_id, section FROM m WHERE k = 1""")
+def range_sections_of_many(spark, d):
+    """About 300 overlapping ranges for each of 200 documents."""
+    t = _Tables(spark, d)
+    start = F.col("l_partkey") % 1900
+    ranges = t.lineitem.select((F.col("l_orderkey") % 200).alias("doc"), F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("section"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+    return records.in_sections(t.documents.select("doc_id", (F.col("doc_id") % 200).alias("doc"), (F.col("doc_id") % 2000).alias("page")), ranges, key=["doc"]).select("doc_id", "section")
+
+
 @query("""WITH s AS (SELECT n_nationkey AS section, n_nationkey * 40 AS start FROM nation), r AS (SELECT section, start, lead(start, 1, 1001) OVER (ORDER BY start) - 1 AS stop FROM s)
   SELECT doc_id, section::VARCHAR AS section FROM documents JOIN r ON doc_id % 1000 BETWEEN start AND stop""")
 def range_sections(spark, d):
@@ -497,7 +507,12 @@ def token_chunks(spark, d):
     return ch.exploded(_Tables(spark, d).documents, ch.token_chunks(F.col("text"), 100, 200), "doc_id")
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+  e AS (SELECT doc_id, i, s[i] AS x, list_distinct(string_split_regex(lower(s[i]), '[^\p{L}\p{N}_]+')) AS w FROM s, range(1, len(s) + 1) r(i)),
+  g AS (SELECT doc_id, i, x, 1 - len(list_intersect(lag(w) OVER p, w)) / sqrt(len(lag(w) OVER p) * len(w)) AS g FROM e WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  c AS (SELECT doc_id, list_sort(list(g) FILTER (g IS NOT NULL)) AS gs FROM g GROUP BY 1),
+  b AS (SELECT doc_id, i, x, sum((coalesce(g > gs[floor(0.95 * (len(gs) - 1))::INT + 1], false))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chunk_id FROM g JOIN c USING (doc_id))
+  SELECT doc_id, chunk_id::INT AS chunk_id, string_agg(x, ' ' ORDER BY i) AS text FROM b GROUP BY 1, 2""")
 def semantic_chunks(spark, d):
     return ch.semantic_chunks(_Tables(spark, d).documents, "doc_id")
 

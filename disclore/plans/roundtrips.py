@@ -165,9 +165,12 @@ def texts_by_name(spark, d):
     return readers.texts(spark, path)
 
 
-@query("""SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) || chr(10) AS text FROM region""")
+@query("""SELECT '| c_custkey | c_name |' AS line UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || c_custkey || ' | ' || CASE WHEN c_custkey % 3 = 0 THEN 'a\\|b ' || c_name ELSE c_name END || ' |' FROM customer""")
 def markdown_table(spark, d):
-    return spark.createDataFrame([(writers.markdown(_Tables(spark, d).region.select("r_regionkey", "r_name").orderBy("r_regionkey")),)], "text string")
+    rows = _Tables(spark, d).customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("a|b\n"), "c_name")).otherwise(F.col("c_name")).alias("c_name"))
+    path = scratch(spark)
+    writers.markdown(rows, path, ["c_custkey"])
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("SELECT event_id::VARCHAR AS file_id, strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S.%f') AS processed_at, 'in/' || event_id AS input_key, 'out/' || event_id AS output_key, CASE WHEN user_id % 4 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, 90000 AS duration_ms, CASE WHEN user_id % 4 = 0 THEN event_type END AS error_message FROM events")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sheet_name
+from ..operators.sampling import numbered
 from .readers import latest
 
 
@@ -72,13 +71,18 @@ def workbook(sheets: dict[str, DataFrame], path: str) -> None:
         csv(df, f"{path}/{name}")
 
 
-def markdown(df: DataFrame, path: str | None = None, most: int = 1000) -> str:
-    """A small table as Markdown, for people (SNK13, SNK14); reads at most ``most`` rows."""
-    rows = [[("" if v is None else str(v)).replace("|", r"\|").replace("\n", " ") for v in r] for r in df.limit(most).collect()]
-    text = "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows]) + "\n"
-    if path:
-        Path(path).write_text(text, encoding="utf-8")
-    return text
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """(n, line): the whole table as lines of Markdown, header first, rows in ``order``; bars are escaped, line ends blanks."""
+    cells = [F.translate(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\n", " ") for c in df.columns]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = numbered(df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(order)], row.alias("line")), [f"_{i}" for i in range(len(order))], 2, "n")
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "| " + " | ".join(["---"] * len(df.columns)) + " |")], "n long, line string")
+    return head.union(rows.select("n", "line"))
+
+
+def markdown(df: DataFrame, path: str, order: list[str]) -> None:
+    """A table as a folder of Markdown text, whose files follow each other in the order of their names (SNK13, SNK14)."""
+    markdown_lines(df, order).orderBy("n").select("line").write.mode("overwrite").text(path)
 
 
 def excerpt_text(excerpts: Column, cluster: Column) -> Column:
