@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,17 +78,30 @@ def daily_report_files(spark, d):
     return readers.daily_reports(spark, path).select(F.col("mayaReportId").alias("id"), "title", F.size("issuer").alias("n_issuers"))
 
 
-@query("SELECT strftime(DATE '2024-02-27' + i::INTEGER, '%Y-%m-%d') AS date, j AS id FROM range(4) a(i), range(1, 4) b(j) WHERE i <> 2")
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS id, o_orderstatus AS status FROM orders")
 def rest_scan(spark, d):
-    """The REST source over an offline fetcher: one partition a date, one date without an answer."""
-    spark.dataSource.register(rest.RestSource)
-    df = spark.read.format("disclosure_rest").option("url", "https://x").option("start", "2024-02-27").option("days", 4).option("pause", 0).option("fetcher", "disclore.plans.roundtrips:offline").load()
-    return df.select("date", F.get_json_object("record", "$.id").cast("long").alias("id"))
-
-
-def offline(url: str, headers: dict[str, str]) -> tuple[int, str]:
-    """Three records for every date but the last of February."""
-    return (404, "") if url.endswith("/2/29") else (200, json.dumps({"mayaReports": {"result": [{"id": i, "url": url} for i in (1, 2, 3)]}}))
+    """All orders through the REST source: a request a day and page, served from the table."""
+    rest.registered(spark)
+    days = spark.read.parquet(f"{d}/orders.parquet").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).first()
+    options = {"url": f"{d}/orders.parquet", "start": days["a"].isoformat(), "days": (days["b"] - days["a"]).days + 1, "dates_per_task": 64, "paged": "true", "pause": 0, "path": "result", "fetcher": "disclore.plans.roundtrips:orders_of_a_day"}
+    df = spark.read.format("disclosure_rest").options(**{k: str(v) for k, v in options.items()}).load()
+    return df.select("date", F.get_json_object("record", "$.id").cast("long").alias("id"), F.get_json_object("record", "$.status").alias("status"))
+
+
+@lru_cache(maxsize=2)
+def _orders(path: str) -> pd.DataFrame:
+    t = pd.read_parquet(path, columns=["o_orderkey", "o_orderstatus", "o_orderdate"])
+    return t.assign(day=pd.to_datetime(t["o_orderdate"])).sort_values(["day", "o_orderkey"]).set_index("day")
+
+
+def orders_of_a_day(url: str, headers: dict[str, str], size: int = 5) -> tuple[int, str]:
+    """What a service over the orders would answer: a page of the records of <table>/<year>/<month>/<day>?page=<n>."""
+    address, _, page = url.partition("?page=")
+    path, y, m, day = address.rsplit("/", 3)
+    t = _orders(path)
+    at = pd.Timestamp(int(y), int(m), int(day))
+    rows = t.loc[at:at].iloc[int(page) * size : (int(page) + 1) * size]
+    return 200, json.dumps({"result": [{"id": int(i), "status": s} for i, s in zip(rows["o_orderkey"], rows["o_orderstatus"])]})
 
 
 # -- files written and read back --------------------------------------------------------------------------------------

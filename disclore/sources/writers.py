@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sheet_name
 from ..operators.sampling import numbered
+from ..operators.tables import dropped, written
 from .readers import latest
 
 
@@ -29,6 +30,58 @@ def updated(table: DataFrame, changes: DataFrame, key: list[str], columns: list[
     return out.drop(*[f"_new_{x}" for x in columns])
 
 
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, key: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with the ``bucket`` of their key."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+
+
+def created(rows: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> None:
+    """A table of keyed rows, a folder a bucket of keys; ``merged_into`` and ``deleted_from`` change it."""
+    bucketed(rows, key, buckets).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def merged_into(path: str, rows: DataFrame, key: list[str], order: str, buckets: int = BUCKETS) -> list[int]:
+    """Upsert ``rows`` (the last by ``order`` of each key) into a table made by ``created``: only the buckets that hold one of
+    their keys are read and written again, by dynamic partition overwrite. Returns those buckets, at most ``buckets``.
+
+    The same rows merged again change nothing, so a batch that failed half-way or is replayed ends in the same table.
+    """
+    spark = rows.sparkSession
+    new = written(bucketed(rows, key, buckets), "new")
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+    if touched:
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        _rewritten(upserted(old, new, key, order), path)
+    dropped(new)
+    return touched
+
+
+def _rewritten(rows: DataFrame, path: str) -> None:
+    """Replace the buckets of ``rows``; they are written elsewhere first, as they are read from the table."""
+    staged = written(rows, "merged")
+    staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    dropped(staged)
+
+
+def deleted_from(spark: SparkSession, path: str, where: Column) -> list[int]:
+    """Delete the rows that match: only buckets that hold one are written again. Returns those buckets."""
+    table = spark.read.parquet(path)
+    touched = sorted(r["bucket"] for r in table.where(where).select("bucket").distinct().collect())
+    if touched:
+        left = written(purged(table.where(F.col("bucket").isin(touched)), where), "left")
+        alive = {r["bucket"] for r in left.select("bucket").distinct().collect()}
+        _rewritten(left, path)
+        for b in set(touched) - alive:  # an overwrite leaves a folder alone that gets no rows
+            gone = table.where("false")
+            gone._step_path = f"{path}/bucket={b}"
+            dropped(gone)
+        dropped(left)
+    return touched
+
+
 def backfilled(table: DataFrame, column: str, value: Column, key: list[str]) -> DataFrame:
     """A constant for every row whose key is complete (SNK5)."""
     whole = F.lit(True)

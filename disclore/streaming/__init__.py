@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.records import by_issuer
-from ..sources.readers import latest
+from ..sources.writers import BUCKETS, created, merged_into
 
 
 def report_files(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -16,21 +16,25 @@ def report_files(spark: SparkSession, path: str, per_trigger: int = 100) -> Data
     return df.select(F.explode("mayaReports.result").alias("r")).select("r.*")
 
 
-def upsert_stream(reports: DataFrame, path: str, checkpoint: str, key: tuple[str, str] = ("issuerName", "publicationDate")):
-    """Issuer rows upserted into versions of a Parquet table: each batch writes <path>/v=<n> from the version before.
+def upsert_stream(reports: DataFrame, path: str, checkpoint: str, key: tuple[str, str] = ("issuerName", "publicationDate"), buckets: int = BUCKETS):
+    """Issuer rows upserted into a bucketed Parquet table: a batch writes the buckets of its keys again, no others.
 
-    A batch that is replayed writes its version again, so the result is exactly once.
+    A batch that is replayed merges the same rows again, which changes nothing, so the result is exactly once.
     """
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = by_issuer(batch).withColumn("events", F.to_json("events")).withColumn("_v", F.lit(n))
-        if n > 0:
-            rows = spark.read.parquet(f"{path}/v={n - 1}").unionByName(rows, allowMissingColumns=True)
-        latest(rows, list(key), ["_v", "reportId"]).write.mode("overwrite").parquet(f"{path}/v={n}")
+        rows = by_issuer(batch).withColumn("events", F.to_json("events"))
+        if n == 0:
+            created(rows.limit(0), path, list(key), buckets) if not exists(batch.sparkSession, path) else None
+        merged_into(path, rows, list(key), "reportId", buckets)
 
     return reports.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and values by window and type, with late events kept for a while."""
     w = events.withWatermark("ts", late) if events.isStreaming else events
