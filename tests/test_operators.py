@@ -62,8 +62,6 @@ def test_methods_find_blobs(spark):
     df = vectors(spark, x)
     for f in (lambda d: clustering.hdbscan(d, 5, 3, 0.0), lambda d: clustering.agglomerative(d, 3), lambda d: clustering.spectral(d, 3), lambda d: clustering.kmeans(d, 3)):
         assert agree([r["label"] for r in f(df).orderBy("doc_id").collect()], y.tolist())
-    with pytest.raises(ValueError, match="at most"):
-        clustering.spectral(df, 3, most=10)
 
 
 def test_pca_is_centred(spark):
