@@ -186,9 +186,30 @@ def url_file_name(url: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]*)$", 1)
 
 
+def charset_of(raw: Column) -> Column:
+    """utf-8, windows-1255, iso-8859-8 or windows-1252, by how bytes stand (SRC16).
+
+    Valid UTF-8 is that. Hebrew letters are the bytes E0 to FA in both Hebrew charsets and stand in runs, while the accented
+    letters that these bytes are in windows-1252 stand alone: it is Hebrew if at least half of them stand in runs of two and
+    more. Marks at 80 to 9F and points at C0 to D8 are of windows-1255 only. A null stays null.
+    """
+    one = F.decode(raw, "ISO-8859-1")  # a character a byte
+    letters = F.length(F.regexp_replace(one, "[^\u00e0-\u00fa]", ""))
+    in_runs = F.length(F.regexp_replace(one, "[^\u00e0-\u00fa]|(?<![\u00e0-\u00fa])[\u00e0-\u00fa](?![\u00e0-\u00fa])", ""))
+    hebrew = F.when(one.rlike("[\u0080-\u009f\u00c0-\u00d8]"), "windows-1255").otherwise("iso-8859-8")
+    return F.when(raw.isNull(), None).when(F.is_valid_utf8(raw.cast("string")), "utf-8").when((letters > 0) & (2 * in_runs >= letters), hebrew).otherwise("windows-1252")
+
+
+@F.pandas_udf(T.StringType())
+def _decoded_as(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    """Spark's own decode knows no charset of these."""
+    return pd.Series([None if b is None else bytes(b).decode(c, "replace") for b, c in zip(raw, charset)])
+
+
 def decoded(raw: Column) -> Column:
-    """Bytes to text: UTF-8 when they are valid, else windows-1255 (SRC16)."""
-    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "windows-1255"))
+    """Bytes to text by ``charset_of``; bytes that the charset does not have become U+FFFD (SRC16)."""
+    charset = charset_of(raw)
+    return F.coalesce(F.when(charset == "utf-8", raw.cast("string")), _decoded_as(F.when(charset != "utf-8", raw), F.coalesce(charset, F.lit("utf-8"))))
 
 
 def date_path(d: Column) -> Column:

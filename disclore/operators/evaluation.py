@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, dot, euclidean_distance, l2_normalised
-from .clustering import gmm, hdbscan, meta_cluster, normalised, reduced
+from .clustering import gmm, meta_cluster, normalised, reduced
+from .density import flat_labels, hierarchy, row_labels, spanning_tree, weighted_points
 from .pooling import mean_vectors
+from .tables import dropped, written
 
 
 def cosine_silhouette(df: DataFrame, label: str = "label", vector: str = "vector", noise: int | None = None) -> DataFrame:
@@ -71,12 +73,22 @@ def gmm_grid(df: DataFrame, components: list[int], covariances: list[str] = ("fu
 
 
 def hdbscan_grid(df: DataFrame, sizes=(5, 10, 15, 20), samples=(5, 10), eps=(0.01, 0.02, 0.05), dims=(0, 50, 100)) -> DataFrame:
-    """Runs sorted by dimensions, then silhouette (ML13, SRT3); noise is left out of the indices."""
+    """Runs sorted by dimensions, then silhouette (ML13, SRT3); noise is left out of the indices. The spanning tree is made
+    once for each number of dimensions and neighbours, its hierarchy once for each least size."""
     unit, out = normalised(df).persist(), []
     for k in dims:
         small = reduced(unit, k).persist()
-        for s, m, e in product(sizes, samples, eps):
-            out.append({"combo": f"pca{k}_min{s}_samp{m}_eps{e:.2f}", "pca_dim": k} | evaluated(small.join(hdbscan(small, s, m, e), "doc_id"), noise=-1))
+        points, rows = weighted_points(small)
+        for m in samples:
+            tree = written(spanning_tree(points, m), "tree")
+            for s in sizes:
+                members, clusters = hierarchy(points, tree, s)
+                for e in eps:
+                    labels = row_labels(points, rows, flat_labels(members, clusters, e))
+                    out.append({"combo": f"pca{k}_min{s}_samp{m}_eps{e:.2f}", "pca_dim": k} | evaluated(small.join(labels, "doc_id"), noise=-1))
+            dropped(tree)
+        small.unpersist()
+    unit.unpersist()
     return _results(df, out).orderBy("pca_dim", F.desc_nulls_last(F.nanvl("silhouette", F.lit(None).cast("double"))))
 
 

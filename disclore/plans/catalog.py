@@ -319,12 +319,12 @@ def pool_medoid(spark, d):
     return _rounded_vector(pooling.medoid_vectors(v), "doc_id")
 
 
-@query("""WITH c AS (SELECT doc_id % 100 AS doc_id, doc_id // 100 AS chunk_id, text FROM documents), w AS (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS w FROM c),
+@query("""WITH c AS (SELECT doc_id % 100 AS doc_id, doc_id // 100 AS chunk_id, text FROM documents), w AS (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}_]{2,}')) AS w FROM c),
   tf AS (SELECT doc_id, chunk_id, w, count(*) AS tf FROM w GROUP BY 1, 2, 3), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1), df AS (SELECT doc_id, w, count(*) AS df FROM tf GROUP BY 1, 2),
   x AS (SELECT tf.doc_id, chunk_id, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (doc_id, w) JOIN n USING (doc_id)), r AS (SELECT doc_id, chunk_id, sum(x) / sqrt(sum(x * x)) AS s FROM x GROUP BY 1, 2),
   s AS (SELECT c.doc_id, c.chunk_id, coalesce(s, 0) + 1e-9 AS s FROM c LEFT JOIN r USING (doc_id, chunk_id)) SELECT doc_id, chunk_id, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS weight FROM s""")
 def tfidf_chunk_weights(spark, d):
-    c = _Tables(spark, d).documents.select((F.col("doc_id") % 100).alias("doc_id"), F.expr("doc_id div 100").alias("chunk_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
+    c = _Tables(spark, d).documents.select((F.col("doc_id") % 100).alias("doc_id"), F.expr("doc_id div 100").alias("chunk_id"), "text")
     return pooling.tfidf_weights(c).select("doc_id", "chunk_id", _r("weight").alias("weight"))
 
 

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import chunks as ch
 from ..functions import html, jsons, text
@@ -104,9 +105,39 @@ def orders_of_a_day(url: str, headers: dict[str, str], size: int = 5) -> tuple[i
     return 200, json.dumps({"result": [{"id": int(i), "status": s} for i, s in zip(rows["o_orderkey"], rows["o_orderstatus"])]})
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתאבגד"
+_IN_HEBREW = f"translate(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), '{_ALPHABET[0]}', '{_ALPHABET[1]}')"
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(c) for t, c in zip(text, charset)])
+
+
+@query(f"""WITH t AS (SELECT doc_id, ['utf-8', 'windows-1255', 'iso-8859-8'][doc_id % 3 + 1] AS charset, {_IN_HEBREW} AS t FROM documents),
+  u AS (SELECT doc_id, charset, CASE WHEN charset = 'windows-1255' THEN '“' || t || '”' ELSE t END AS t FROM t) SELECT doc_id, CASE WHEN charset = 'iso-8859-8' AND NOT regexp_matches(t, '[א-ת]') THEN 'utf-8' ELSE charset END AS charset, t AS text FROM u""")
+def charsets_told(spark, d):
+    """All documents, their letters as Hebrew ones, in three charsets: told and decoded."""
+    plain = F.translate(F.regexp_replace(F.lower("text"), "[^a-z ]+", " "), *_ALPHABET)
+    t = _Tables(spark, d).documents.select("doc_id", F.get(F.array(F.lit("utf-8"), F.lit("windows-1255"), F.lit("iso-8859-8")), (F.col("doc_id") % 3).cast("int")).alias("charset"), plain.alias("t"))
+    t = t.withColumn("t", F.when(F.col("charset") == "windows-1255", F.concat(F.lit("“"), "t", F.lit("”"))).otherwise(F.col("t")))
+    raw = t.select("doc_id", _encoded("t", "charset").alias("raw"))
+    return raw.select("doc_id", text.charset_of(F.col("raw")).alias("charset"), text.decoded(F.col("raw")).alias("text"))
+
+
 # -- files written and read back --------------------------------------------------------------------------------------
 
 
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def json_arrays(spark, d):
+    """All documents as files of JSON arrays, 500 rows each, with a byte-order mark, read back as rows."""
+    docs = _Tables(spark, d).documents.select(F.expr("doc_id div 500").alias("part"), F.struct("doc_id", "lang", "n_chars").alias("r"))
+    path = scratch(spark)
+    arrays = docs.groupBy("part").agg(F.concat(F.lit("\ufeff"), F.to_json(F.collect_list("r"))).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return readers.json_records(spark, path, "doc_id long, lang string, n_chars long, part int").select("doc_id", "lang", "n_chars")
+
+
 @query("SELECT doc_id, lang, source AS date FROM documents")
 def raw_json_by_date(spark, d):
     path = scratch(spark)
@@ -254,14 +285,14 @@ def combined_label_sizes(spark, d):
     return fusion.coassociation_labels(e, ["label_0", "label_1"])
 
 
-@query("""WITH c AS (SELECT doc_id % 20 AS doc_id, doc_id // 20 AS chunk_id, text FROM documents), w AS (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS w FROM c),
+@query("""WITH c AS (SELECT doc_id % 20 AS doc_id, doc_id // 20 AS chunk_id, text FROM documents), w AS (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}_]{2,}')) AS w FROM c),
   tf AS (SELECT doc_id, chunk_id, w, count(*) AS tf FROM w GROUP BY 1, 2, 3), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1), df AS (SELECT doc_id, w, count(*) AS df FROM tf GROUP BY 1, 2),
   x AS (SELECT tf.doc_id, chunk_id, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (doc_id, w) JOIN n USING (doc_id)), r AS (SELECT doc_id, chunk_id, sum(x) / sqrt(sum(x * x)) AS s FROM x GROUP BY 1, 2),
   s AS (SELECT c.doc_id, c.chunk_id, coalesce(s, 0) + 1e-9 AS s FROM c LEFT JOIN r USING (doc_id, chunk_id)), y AS (SELECT doc_id, chunk_id, s / sum(s) OVER (PARTITION BY doc_id) AS weight FROM s)
   SELECT y.doc_id, i - 1 AS pos, round(sum(weight * embedding[i]::DOUBLE), 6) AS x FROM y JOIN embeddings ON vec_id % 20 = y.doc_id AND vec_id // 20 = chunk_id, range(1, 65) r(i) GROUP BY 1, 2""")
 def tfidf_pooled_vectors(spark, d):
     t = _Tables(spark, d)
-    c = t.documents.select((F.col("doc_id") % 20).alias("doc_id"), F.expr("doc_id div 20").alias("chunk_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
+    c = t.documents.select((F.col("doc_id") % 20).alias("doc_id"), F.expr("doc_id div 20").alias("chunk_id"), "text")
     v = _vec(t).select((F.col("vec_id") % 20).alias("doc_id"), F.expr("vec_id div 20").alias("chunk_id"), "vector")
     return _rounded_vector(pooling.tfidf_vectors(v, c), "doc_id")
 

@@ -64,6 +64,17 @@ def test_methods_find_blobs(spark):
         assert agree([r["label"] for r in f(df).orderBy("doc_id").collect()], y.tolist())
 
 
+def test_density_grid_equals_single_runs(spark):
+    x, _ = blobs(n=12)
+    df = vectors(spark, x).drop("label")
+    rows = evaluation.hdbscan_grid(df, sizes=(4,), samples=(2,), eps=(0.0, 0.5), dims=(0,)).collect()
+    unit = clustering.normalised(df)
+    for r in rows:
+        one = evaluation.evaluated(unit.join(clustering.hdbscan(unit, 4, 2, float(r["combo"][-4:])), "doc_id"), noise=-1)
+        assert r["n_clusters"] == one["n_clusters"] and r["silhouette"] == pytest.approx(one["silhouette"])
+    assert len(rows) == 2
+
+
 def test_pca_is_centred(spark):
     x, _ = blobs()
     got = np.array([r["vector"] for r in clustering.reduced(vectors(spark, x).drop("label"), 2).orderBy("doc_id").collect()])
