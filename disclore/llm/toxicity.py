@@ -41,6 +41,8 @@ from .training import labelled_sample, logistic, platt_shift, remainder, sigmoid
 
 #: Windows that a cache holds at most, and characters of a window that is kept: text without blanks is one window.
 MAX_CACHE, LONG = 200_000, 64
+#: Characters of texts whose bytes are looked at together.
+AT_ONCE = 500_000
 LEVEL = 9
 #: Parts of the toxic texts, and rounds of purification at most.
 FOLDS, ROUNDS = 4, 3
@@ -153,16 +155,47 @@ class Gains(Kept):
         return self.keep(window, self.gain(window))
 
 
+def dmers(data: bytes) -> np.ndarray:
+    """The ``DMER`` bytes from each place on, as numbers."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(x) - DMER + 1)
+    return sum((x[i : i + n] << np.uint64(8 * i) for i in range(DMER)), np.zeros(n, np.uint64))
+
+
+def hashed(x: np.ndarray, bits: int = 32) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint32)
+
+
 class TeamGains(Kept):
     """Window -> what it adds to the sum of each member; () where it adds nothing to any."""
 
     def __init__(self, members: tuple[Member, ...]):
         self.parts = [(Gains(m.toxic, m.base, Lengths(m.ordinary + m.base).length).gain, m.threshold) for m in members]
+        known = np.unique(np.concatenate([dmers(m.toxic) for m in members]))
+        self.known, self.marks = known, np.zeros(1 << 16, bool)
+        self.marks[hashed(known, 16)] = True
 
     def __missing__(self, window: str) -> tuple[int, ...]:
         gains = tuple(g if (g := gain(window)) >= threshold else 0 for gain, threshold in self.parts)
         return self.keep(window, gains if any(gains) else ())
 
+    def sums(self, docs: list[list[str]]) -> np.ndarray:
+        """Of each document and member. Windows without ``DMER`` bytes of a member's dictionary are told from all bytes at
+        once: a table of hashes first, then the numbers themselves."""
+        out = np.zeros((len(docs), len(self.parts)))
+        flat = [w for d in docs for w in d]
+        raw = [w.encode("utf-8", "surrogatepass") for w in flat]
+        data = b" \n " + b" \n ".join(raw) + b" \n "
+        found = dmers(data)
+        at = np.flatnonzero(self.marks[hashed(found, 16)])
+        at = at[np.isin(found[at], self.known)]
+        starts = np.cumsum([2, *(len(r) + 3 for r in raw)])
+        of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        for i in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+            if 0 <= i < len(flat) and (g := self[flat[i]]):
+                out[of[i]] += g
+        return out
+
 
 def features(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Logarithms of the summed gains and of the number of windows, and a constant."""
@@ -170,12 +203,18 @@ def features(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def log_odds(gains: TeamGains, model: Model, docs: list[list[str]]) -> np.ndarray:
-    """Of texts, given by their windows."""
-    sums = np.zeros((len(docs), len(model.members)))
-    for i, w in enumerate(docs):
-        for g in filter(None, map(gains.__getitem__, w)):
-            sums[i] += g
-    n = np.array([len(w) for w in docs], float)
+    """Of texts, given by their windows; some texts at a time, as numbers take several times their bytes."""
+    parts, at = [], 0
+    sizes = [sum(map(len, d)) for d in docs]
+    while at < len(docs):
+        end, total = at, 0
+        while end < len(docs) and (end == at or total + sizes[end] <= AT_ONCE):
+            total += sizes[end]
+            end += 1
+        parts.append(gains.sums(docs[at:end]))
+        at = end
+    sums = np.concatenate(parts) if parts else np.zeros((0, len(model.members)))
+    n = np.array([len(d) for d in docs], float)
     return np.mean([features(sums[:, j], n) @ np.array(m.weights) for j, m in enumerate(model.members)], 0) + model.shift
 
 
