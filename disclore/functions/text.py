@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -72,10 +73,11 @@ def normalise_hebrew(t: Column, join_table_lines: bool = False) -> Column:
     return strip(reduce(lambda c, s: F.regexp_replace(c, *s), steps, t))
 
 
-def clean_extracted(t: Column) -> Column:
-    """The five-step variant that keeps line ends after . ! ? only (STR5)."""
+def clean_extracted(t: Column, ends: Callable[[Column], Column] = strip) -> Column:
+    """The five-step variant that keeps line ends after . ! ? only (STR5); ``ends`` takes off what stands at both ends, with
+    ``F.trim`` blanks alone, so that a last line of other signs leaves the line end before it."""
     steps = [(r"[ \t]+", " "), (r"\n{2,}", "\n"), (r"(?<![.!?])\n(?!\n)", " "), ("[^\\x00-\\x7F֐-׿]+", " ")]
-    return strip(reduce(lambda c, s: F.regexp_replace(c, *s), steps, t))
+    return ends(reduce(lambda c, s: F.regexp_replace(c, *s), steps, t))
 
 
 def matches_either_way(t: Column, pattern: str) -> Column:

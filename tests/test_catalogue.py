@@ -95,3 +95,21 @@ def test_summaries_take_documents_of_many_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["raw_response"] for r in catalog.QUERIES["summaries_by_handle"](spark, str(tmp_path)).collect()}
     assert got == {str(i): stub(t) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("name", ["extracted_text", "html_to_text", "html_body_text", "charsets_told"])
+def test_odd_texts_equal_sql(spark, tmp_path, name):
+    import duckdb
+
+    texts = ["End.\nü", "ü\nEnd.", "a\n\u00e9.\n", "", "a", "b 1", "1 c", "1", "$ 2", "?", "a. b", "to be", "x y z", "é", "\n"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(t for t in texts for _ in range(3))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    cut = ["&am", "&amp", "&amp;", "&amp;amp", "&quot", "&copy x", "&middot;&quot;", "&"]
+    pages = [(i, "u", f"<html><head><title>t {x}</title></head><body><p>{x}</p><p>a{x}</body></html>") for i, x in enumerate(cut)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    got = sorted(str(list(r)) for r in df.collect())
+    assert got == sorted(str(list(r)) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[name]})").fetchall())
