@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,17 +27,28 @@ def _decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or "&" not in t else unescape(t).replace("\xa0", " "))
 
 
-def html_text(h: Column, separator: str = "\n", drop: tuple[str, ...] = ()) -> Column:
-    """Text of all nodes, entities decoded (HTML1); with ``drop``, without those elements (HTML2)."""
+_ENDED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+@F.pandas_udf(T.StringType())
+def _decoded_ended(text: pd.Series) -> pd.Series:
+    """As ``_decoded``, but a reference that no semicolon ends, as where a text was cut, stays as it is."""
+    one = lambda m: unescape(m[0]) if not m[1] or m[1] + ";" in html5 else m[0]
+    return text.map(lambda t: t if t is None or "&" not in t else _ENDED.sub(one, t).replace("\xa0", " "))
+
+
+def html_text(h: Column, separator: str = "\n", drop: tuple[str, ...] = (), ended: bool = False) -> Column:
+    """Text of all nodes, entities decoded (HTML1); with ``drop``, without those elements (HTML2); with ``ended``, only
+    entities that a semicolon ends are decoded."""
     h = F.regexp_replace(h, "(?s)<!--.*?-->|<![^>]*>", "")
     for tag in drop:
         h = F.regexp_replace(h, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    return strip(_decoded(F.regexp_replace(h, r"(?s)<[^>]*>", separator)))
+    return strip((_decoded_ended if ended else _decoded)(F.regexp_replace(h, r"(?s)<[^>]*>", separator)))
 
 
-def html_body(h: Column) -> Column:
+def html_body(h: Column, ended: bool = False) -> Column:
     """Text without scripts, styles, head, footer and navigation, clean lines (HTML2)."""
-    return clean_lines(html_text(h, "\n", BOILERPLATE))
+    return clean_lines(html_text(h, "\n", BOILERPLATE, ended))
 
 
 def combined(*parts: Column) -> Column:
