@@ -193,13 +193,14 @@ def charset_of(raw: Column) -> Column:
 
     Valid UTF-8 is that. Hebrew letters are the bytes E0 to FA in both Hebrew charsets and stand in runs, while the accented
     letters that these bytes are in windows-1252 stand alone: it is Hebrew if at least half of them stand in runs of two and
-    more. Marks at 80 to 9F and points at C0 to D8 are of windows-1255 only. A null stays null.
+    more, or if there is no letter of ASCII, which no Western text lacks. Marks at 80 to 9F and points at C0 to D8 are of
+    windows-1255 only. A null stays null.
     """
     one = F.decode(raw, "ISO-8859-1")  # a character a byte
     letters = F.length(F.regexp_replace(one, "[^\u00e0-\u00fa]", ""))
     in_runs = F.length(F.regexp_replace(one, "[^\u00e0-\u00fa]|(?<![\u00e0-\u00fa])[\u00e0-\u00fa](?![\u00e0-\u00fa])", ""))
     hebrew = F.when(one.rlike("[\u0080-\u009f\u00c0-\u00d8]"), "windows-1255").otherwise("iso-8859-8")
-    return F.when(raw.isNull(), None).when(F.is_valid_utf8(raw.cast("string")), "utf-8").when((letters > 0) & (2 * in_runs >= letters), hebrew).otherwise("windows-1252")
+    return F.when(raw.isNull(), None).when(F.is_valid_utf8(raw.cast("string")), "utf-8").when(((letters > 0) & (2 * in_runs >= letters)) | ~one.rlike("[A-Za-z]"), hebrew).otherwise("windows-1252")
 
 
 @F.pandas_udf(T.StringType())

@@ -111,7 +111,7 @@ _IN_HEBREW = f"translate(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), '{_A
 
 @F.pandas_udf(T.BinaryType())
 def _encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
-    return pd.Series([t.encode(c) for t, c in zip(text, charset)])
+    return pd.Series([None if t is None else t.encode(c) for t, c in zip(text, charset)])
 
 
 @query(f"""WITH t AS (SELECT doc_id, ['utf-8', 'windows-1255', 'iso-8859-8'][doc_id % 3 + 1] AS charset, {_IN_HEBREW} AS t FROM documents),
