@@ -64,8 +64,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; null and empty texts are their end token alone, repeated
-    rows and null ids are packed as rows of their own."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    rows and null ids are packed as rows of their own. Executors hold what the stages before left behind, so the encoder
+    makes do with small caches."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_share=1 / 8)
 
 
 STAGES = [("quality", keep_good), ("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("secrets", redact_secrets), ("packing", pack)]

@@ -97,6 +97,8 @@ class WordTrieBpe:
                 tokens[raw] = i
                 reach[raw[-3:]] = max(reach.get(raw[-3:], 2), len(raw))
         self.longest = max(map(len, chain(self.inner, self.ends)))
+        #: the share of the bounds on caches that is used
+        self.share = 1.0
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         #: ids of runs between blanks, and those of the generation before: runs in use move on, the rest go
@@ -107,7 +109,7 @@ class WordTrieBpe:
     def _reset(self) -> None:
         """An empty trie: by prefix, the last token << 32 and the depth at which that token starts."""
         self.nodes: dict[bytes, int] = {}
-        if len(self._pairs) > MAX_PAIRS:
+        if len(self._pairs) > MAX_PAIRS * self.share:
             self._pairs.clear()
 
     # -- which tokens may follow each other -----------------------------------------------------------------
@@ -168,7 +170,7 @@ class WordTrieBpe:
                 limit, a = ra, halves[a][1]
             else:
                 limit, b = rb + 1, halves[b][0]
-        if len(self._pairs) > MAX_PAIRS:
+        if len(self._pairs) > MAX_PAIRS * self.share:
             self._pairs.clear()
         self._pairs[key] = ok
         return ok
@@ -286,10 +288,10 @@ class WordTrieBpe:
             cache = self.cache
             ids = list(map(cache.get, words))
             if None in ids:
-                if len(cache) > MAX_WORDS:
+                if len(cache) > MAX_WORDS * self.share:
                     self.older, self.cache = cache, {}
                     cache = self.cache
-                if len(self.nodes) > MAX_NODES:
+                if len(self.nodes) > MAX_NODES * self.share:
                     self._reset()
                 new = [k for k, x in enumerate(ids) if x is None]
                 self.insert(sorted([words[k] for k in new]))
@@ -316,11 +318,12 @@ class WordTrieBpe:
 _loaded: dict[str, WordTrieBpe] = {}
 
 
-def load(path: str) -> WordTrieBpe:
-    """The encoder of a file, once per Python worker."""
+def load(path: str, share: float = 1.0) -> WordTrieBpe:
+    """The encoder of a file, once per Python worker; its caches take ``share`` of their bounds at most."""
     sole_cache("bpe", _loaded)
     if path not in _loaded:
         _loaded[path] = WordTrieBpe(path)
+    _loaded[path].share = share
     return _loaded[path]
 
 

@@ -132,19 +132,20 @@ class SumOfSquares:
             self.emit(pieces)
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, cache_share: float = 1.0) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document is its encoding followed by ``end_id``; null and empty texts are that id alone. Every id lies
     in exactly one piece; pieces of a sequence have offsets without gaps from 0. Null ids and repeated rows
-    are packed as rows of their own. An empty table gives no rows; other columns are not read.
+    are packed as rows of their own. An empty table gives no rows; other columns are not read. ``cache_share``: how much of
+    the bounds on its caches the encoder uses; less takes less memory and more time, for the same result.
     """
     src = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     end = int(end_id).to_bytes(4, "little")
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.load(vocabulary)
+        coder = bpe.load(vocabulary, cache_share)
         base = TaskContext.get().partitionId() << 33
         out: list[list] = [[] for _ in names]
         count = 0

@@ -120,3 +120,23 @@ def test_a_long_bad_document_holds_one_bad_stretch_only(monkeypatch):
         seen.append(quality.line_quality(lines, quality.fit(sample)))
     assert np.abs(seen[0] - seen[1]).max() < 0.12  # before: 0.53
     assert seen[0][10:40].min() > 0.8 and seen[0][65:95].min() > 0.8 and seen[0][50:55].max() < 0.1
+
+
+def test_packing_with_small_caches_is_the_same(spark, monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from disclore.llm import bpe, packing
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abetn.é"), rng.integers(1, 6))) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = packing.pack(docs, vocabulary, window=64, keep_ids=True).collect()
+    assert packing.pack(docs, vocabulary, window=64, keep_ids=True, cache_share=1e-5).collect() == whole
+    for name in ("MAX_WORDS", "MAX_NODES", "MAX_PAIRS"):
+        monkeypatch.setattr(bpe, name, 800)
+    coder = bpe.load(vocabulary, 1 / 8)
+    for t in texts:
+        coder.encode(t)
+    assert len(coder.cache) < 200 and len(coder.nodes) < 400
