@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import held, strip
 
 
 def char_chunks(t: Column, size: int = 1500, stride: int = 300) -> Column:
@@ -28,9 +28,14 @@ def paragraph_chunks(t: Column, most: int = 4000) -> Column:
 def token_chunks(t: Column, most: int, whole_up_to: int = 0) -> Column:
     """Runs of ``most`` blank-separated tokens; one chunk while there are ``whole_up_to`` at most (STR16)."""
     tokens = F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(0), n - 1, F.lit(most)), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(most)), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= whole_up_to, F.array(F.array_join(tokens, " "))).otherwise(runs)
+
+
+    def chunked(tokens: Column) -> Column:
+        n = F.size(tokens)
+        runs = F.transform(F.sequence(F.lit(0), n - 1, F.lit(most)), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(most)), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= whole_up_to, F.array(F.array_join(tokens, " "))).otherwise(runs)
+
+    return held(tokens, chunked)
 
 
 def semantic_chunks(df: DataFrame, *keys: str, text: str = "text", percentile: float = 0.95, likeness=None) -> DataFrame:

@@ -28,6 +28,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row: Spark writes an expression out wherever it is used, and within a lambda
+    computes it again for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(t: Column) -> Column:
     """Without white space (Unicode's, and the separators U+001C..1F) at both ends."""
     return F.regexp_replace(t, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")

@@ -114,3 +114,14 @@ def test_form_fields(spark):
 def test_zero_vectors(spark):
     assert one(spark, vectors.l2_normalised(F.col("a")), [0.0, 0.0], schema="a array<double>") == [0.0, 0.0]
     assert one(spark, vectors.cosine_distance(F.col("a"), F.col("a")), [0.0, 0.0], schema="a array<double>") == 1.0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_split_once_a_row(spark):
+    df = spark.createDataFrame([("a b  c d e",), ("",), (" x ",), (None,)], "a string").select(chunks.token_chunks(F.col("a"), 2, 3).alias("x"))
+    assert [r["x"] for r in df.collect()] == [["a b", "c d", "e"], [], ["x"], None]
+    lazy = spark.range(1).select(chunks.token_chunks(F.concat(F.col("id").cast("string"), F.lit(" b")), 2, 3).alias("x"))
+    assert plan_of(lazy).count("split(") == 1
