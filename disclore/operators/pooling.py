@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import held
+
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """Element-wise mean (AGG4): one buffer a group and task, so a large group costs no memory. Rows with a null vector, or
@@ -49,9 +51,9 @@ def hashed_embeddings(chunks: DataFrame, dims: int = 64, text: str = "text") ->
     DataFrame to DataFrame with a ``vector`` column can take its place."""
     words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    counts = held(slots, lambda of: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(of, lambda s: s == i)).cast("double")))
     n = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    return chunks.withColumn("_c", counts).withColumn("vector", F.transform("_c", lambda x: x / F.when(n == 0, 1.0).otherwise(n))).drop("_c")
+    return chunks.withColumn("_c", counts).withColumn("vector", held(n, lambda n: F.transform("_c", lambda x: x / F.when(n == 0, 1.0).otherwise(n)))).drop("_c")
 
 
 def embedded(chunks: DataFrame, models: dict, done: DataFrame | None = None) -> DataFrame:

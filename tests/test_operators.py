@@ -185,3 +185,20 @@ def test_model_shell(spark):
 def test_statistics(spark):
     df = spark.createDataFrame([("f", 1, 1000), ("f", None, None), ("g", 2, 2048)], "k string, c int, s int")
     assert [tuple(r) for r in stats.report_stats(df, ["k"], F.col("c"), F.col("s")).collect()] == [("f", 2, "0.5", "0.488"), ("g", 1, "2", "2")]
+
+
+def test_hashed_embeddings_hash_a_text_once(spark):
+    import math
+    from collections import Counter
+
+    from disclore.operators import pooling
+
+    texts = ["One two, two", "", "é a_b 1 1 1"]
+    got = pooling.hashed_embeddings(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 8)
+    assert "transform(array(transform(filter(split(" in got._jdf.queryExecution().analyzed().toString().lower()
+    for r in got.collect():
+        words = {"One two, two": ["one", "two", "two"], "": [], "é a_b 1 1 1": ["é", "a_b", "1", "1", "1"]}[r["text"]]
+        slot = {w: spark.sql(f"select pmod(xxhash64('{w}'), 8L) as s").first()["s"] for w in set(words)}
+        n = Counter(slot[w] for w in words)
+        size = math.sqrt(sum(x * x for x in n.values())) or 1
+        assert r["vector"] == [n[i] / size for i in range(8)]
