@@ -50,7 +50,7 @@ def clean_lines(t: Column) -> Column:
 
 def strip_points(t: Column, compose: bool = True) -> Column:
     """NFC, then without U+0591..U+05C7, then single blanks (STR1)."""
-    t = nfc(t) if compose else t
+    t = F.coalesce(nfc(F.when(t.rlike(r"[^\x00-\x{2ff}]"), t)), t) if compose else t  # signs below U+0300 are composed
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[֑-ׇ]", ""), rf"(?U){_BLANK}+", " "))
 
 

@@ -58,3 +58,14 @@ def components(links: DataFrame) -> DataFrame:
         if not changed:
             dropped(edges)
             return roots.select("node", "root")
+
+
+def small_batches(df: DataFrame, rows: int = 256, size: int = 8 << 20) -> DataFrame:
+    """``df``, after bounding its session's Arrow batches by rows and bytes, for functions in Python of long texts: a worker
+    holds several forms of a batch. Smaller settings stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = "".join(c for c in conf.get(f"spark.sql.execution.arrow.{key}") if c.isdigit() or c == "-") or "-1"
+        if not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df

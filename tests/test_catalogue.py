@@ -113,3 +113,16 @@ def test_odd_texts_equal_sql(spark, tmp_path, name):
     df = catalog.QUERIES[name](spark, str(tmp_path))
     got = sorted(str(list(r)) for r in df.collect())
     assert got == sorted(str(list(r)) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE[name]})").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_python_takes_small_batches_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    from disclore.functions import text
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    catalog.QUERIES["clean_text"](spark, DATA)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    row = spark.createDataFrame([("é", "é", "שׁ x", None)], "a string, b string, c string, d string")
+    assert list(row.select(*[text.strip_points(F.col(c)) for c in "abcd"]).first()) == ["é", "é", "ש x", None]
