@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,27 +83,37 @@ def daily_report_files(spark, d):
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey AS id, o_orderstatus AS status FROM orders")
 def rest_scan(spark, d):
-    """All orders through the REST source: a request a day and page, served from the table."""
+    """All orders through the REST source: a request a day and page, served from files that hold a day each."""
     rest.registered(spark)
-    days = spark.read.parquet(f"{d}/orders.parquet").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).first()
-    options = {"url": f"{d}/orders.parquet", "start": days["a"].isoformat(), "days": (days["b"] - days["a"]).days + 1, "dates_per_task": 64, "paged": "true", "pause": 0, "path": "result", "fetcher": "disclore.plans.roundtrips:orders_of_a_day"}
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    days = orders.agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).first()
+    path = scratch(spark)
+    dated = orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    dated.repartition("day").sortWithinPartitions("day", "o_orderkey").write.partitionBy("day").parquet(path)
+    options = {"url": path, "start": days["a"].isoformat(), "days": (days["b"] - days["a"]).days + 1, "dates_per_task": 64, "paged": "true", "pause": 0, "path": "result", "fetcher": "disclore.plans.roundtrips:orders_of_a_day"}
     df = spark.read.format("disclosure_rest").options(**{k: str(v) for k, v in options.items()}).load()
     return df.select("date", F.get_json_object("record", "$.id").cast("long").alias("id"), F.get_json_object("record", "$.status").alias("status"))
 
 
 @lru_cache(maxsize=2)
-def _orders(path: str) -> pd.DataFrame:
-    t = pd.read_parquet(path, columns=["o_orderkey", "o_orderstatus", "o_orderdate"])
-    return t.assign(day=pd.to_datetime(t["o_orderdate"])).sort_values(["day", "o_orderkey"]).set_index("day")
+def _orders(path: str, day: str) -> pd.DataFrame:
+    """The orders of one day, of a folder with one for each day, or of a table."""
+    columns = ["o_orderkey", "o_orderstatus"]
+    local = path.removeprefix("file:")
+    if not local.endswith(".parquet"):
+        local = f"{local}/day={day}"
+        if not os.path.isdir(local):
+            return pd.DataFrame({c: [] for c in columns})
+        return pd.concat([pq.ParquetFile(f"{local}/{f}").read(columns).to_pandas() for f in sorted(os.listdir(local)) if f.endswith(".parquet")]).sort_values("o_orderkey")
+    t = pd.read_parquet(local, columns=[*columns, "o_orderdate"])
+    return t[pd.to_datetime(t["o_orderdate"]).dt.strftime("%Y-%m-%d") == day].sort_values("o_orderkey")
 
 
 def orders_of_a_day(url: str, headers: dict[str, str], size: int = 5) -> tuple[int, str]:
-    """What a service over the orders would answer: a page of the records of <table>/<year>/<month>/<day>?page=<n>."""
+    """What a service over the orders would answer: a page of the records of <orders>/<year>/<month>/<day>?page=<n>."""
     address, _, page = url.partition("?page=")
     path, y, m, day = address.rsplit("/", 3)
-    t = _orders(path)
-    at = pd.Timestamp(int(y), int(m), int(day))
-    rows = t.loc[at:at].iloc[int(page) * size : (int(page) + 1) * size]
+    rows = _orders(path, f"{int(y):04}-{int(m):02}-{int(day):02}").iloc[int(page) * size : (int(page) + 1) * size]
     return 200, json.dumps({"result": [{"id": int(i), "status": s} for i, s in zip(rows["o_orderkey"], rows["o_orderstatus"])]})
 
 

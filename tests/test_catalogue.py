@@ -126,3 +126,13 @@ def test_python_takes_small_batches_of_texts(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
     row = spark.createDataFrame([("é", "é", "שׁ x", None)], "a string, b string, c string, d string")
     assert list(row.select(*[text.strip_points(F.col(c)) for c in "abcd"]).first()) == ["é", "é", "ש x", None]
+
+
+def test_rest_fetcher_reads_one_day(spark, tmp_path):
+    from disclore.plans import roundtrips
+
+    for day, n in (("2024-03-01", 7), ("2024-03-12", 2)):
+        spark.range(n).selectExpr("id as o_orderkey", "'F' as o_orderstatus").repartition(2).write.parquet(str(tmp_path / f"day={day}"))
+    assert len(roundtrips._orders(str(tmp_path), "2024-03-01")) == 7
+    pages = [roundtrips.orders_of_a_day(f"{tmp_path}/2024/3/{day}?page={page}", {})[1] for day, page in ((1, 0), (1, 1), (1, 2), (12, 0), (2, 0))]
+    assert [p.count('"id"') for p in pages] == [5, 2, 0, 2, 0]
