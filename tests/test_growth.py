@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from disclore.operators import fusion, tables
+from disclore.operators import fusion, records, tables
 
 
 def totals(spark):
@@ -38,3 +38,17 @@ def test_coassociation_counts_repeated_ids(spark, monkeypatch):
             if n and None not in (i, j) and i != j:
                 want[i, j] = want.get((i, j), 0) + n
     assert {(r["i"], r["j"]): r["weight"] for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_of_one_key_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART", 8, raising=False)
+    a = spark.createDataFrame([("x", i % 20, i) for i in range(60)] + [("y", 1, 1), (None, 1, 1)], "handle string, path int, more int")
+    b = spark.createDataFrame([("x", None)] + [("x", i) for i in range(50)] + [("z", 1), (None, 2)], "handle string, path int")
+    out = records.both_present(a, b)
+    assert out.columns == ["handle", "path_a", "more", "path_b"]
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    want = [("x", i % 20, i, j) for i in range(60) for j in [None, *range(50)]]
+    assert pairs(tuple(r)[:4] for r in got) == pairs(want)
+    assert len({r["task"] for r in got}) > 3
+
+
