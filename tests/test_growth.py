@@ -20,7 +20,7 @@ def pairs(rows):
 
 
 def test_coassociation_shuffles_no_pairs(spark):
-    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("label_0"), (F.col("id") % 2).cast("int").alias("label_1"))
+    df = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, label_0 int, label_1 int")
     before = totals(spark)[0]
     got = fusion.coassociation(df, ["label_0", "label_1"]).agg(F.count("*"), F.sum("weight")).first()
     assert tuple(got) == (400 * 399, 2 * (200 * 199) + 2 * 200 * 200 * 0.5)
