@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from disclore.operators import fusion, records, tables
+from disclore.operators import density, fusion, records, tables
 
 
 def totals(spark):
@@ -52,3 +52,21 @@ def test_pairs_of_one_key_are_many_tasks(spark, monkeypatch):
     assert len({r["task"] for r in got}) > 3
 
 
+
+
+def test_blocks_that_all_meet_are_not_shuffled(spark):
+    x = np.random.default_rng(4).normal(size=(300, 64))
+    points = tables.written(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "p long, v array<double>, w long"), "points")
+    before = totals(spark)
+    rows = density.neighbours(points, 4, block=10).collect()  # 30 blocks and more
+    d = density.distances(x, x)
+    want = {i: sorted(np.lexsort((np.arange(300), d[i]))[:4].tolist()) for i in range(300)}
+    got = {}
+    for r in rows:
+        got.setdefault(r["p"], []).append(r["q"])
+    assert {p: sorted(q) for p, q in got.items()} == want
+    blocks, pivots, radii = density.packed(points, 10)
+    core = density.core_distances(blocks, pivots, radii, 3).join(blocks, "block").collect()
+    found = {int(p): c for r in core for p, c in zip(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["core"]))}
+    assert np.allclose([found[i] for i in range(300)], np.sort(d, 1)[:, 3])
+    assert (totals(spark) - before)[1] < 8  # the vectors take 0.15 MB
