@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import held
 
+#: Parts of a document's words in ``tfidf_weights``, and documents up to which their sizes are broadcast.
+BUCKETS, BROADCAST_ROWS = 32, 100_000
+
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """Element-wise mean (AGG4): one buffer a group and task, so a large group costs no memory. Rows with a null vector, or
@@ -30,11 +33,15 @@ def tfidf_weights(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_id
 
     Words of two and more word characters, lower case; idf = ln((1 + n) / (1 + df)) + 1 within the document.
     """
-    words = chunks.select(key, order, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("w"))
-    tf = words.groupBy(key, order, "w").agg(F.count("*").alias("tf"))
+    # A document's words are dealt to BUCKETS parts: all sums over words are within a part, and what is shuffled after that
+    # is a row for each chunk and part.
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = chunks.select(key, order, F.explode(F.array_sort(found)).alias("w"))
+    n_parts = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = words.withColumn("_b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).repartition(n_parts, key, "_b")
+    tf = dealt.groupBy(key, "_b", order, "w").agg(F.count("*").alias("tf")).withColumn("df", F.count("*").over(Window.partitionBy(key, "_b", "w")))
     n = chunks.groupBy(key).agg(F.count("*").alias("n"))
-    df = tf.groupBy(key, "w").agg(F.count("*").alias("df"))
-    x = tf.join(df, [key, "w"]).join(n, key).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    x = tf.join(F.broadcast(n) if n.count() <= BROADCAST_ROWS else n, key).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     rows = x.groupBy(key, order).agg((F.sum("x") / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("s"))
     s = chunks.select(key, order).join(rows, [key, order], "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + 1e-9)
     return s.select(key, order, (F.col("s") / F.sum("s").over(Window.partitionBy(key))).alias("weight"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from disclore.operators import density, fusion, records, tables
+from disclore.operators import density, fusion, pooling, records, tables
 
 
 def totals(spark):
@@ -70,3 +70,26 @@ def test_blocks_that_all_meet_are_not_shuffled(spark):
     found = {int(p): c for r in core for p, c in zip(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["core"]))}
     assert np.allclose([found[i] for i in range(300)], np.sort(d, 1)[:, 3])
     assert (totals(spark) - before)[1] < 8  # the vectors take 0.15 MB
+
+
+def test_words_are_shuffled_once(spark):
+    rng = np.random.default_rng(2)
+    texts = [[f"w{x}" for x in rng.integers(0, 900, 300)] for _ in range(50)]
+    rows = [(i % 2, i // 2, " ".join(t)) for i, t in enumerate(texts)] + [(0, 0, "w1 again"), (1, 99, ""), (2, 0, None)]
+    before = totals(spark)[0]
+    got = {(r[0], r[1]): r[2] for r in pooling.tfidf_weights(spark.createDataFrame(rows, "doc_id int, chunk_id int, text string").repartition(4)).collect()}
+    assert totals(spark)[0] - before < 1.2 * 50 * 300
+    for d in (0, 1):
+        tf = {}
+        for k, c, t in rows:
+            if k == d:
+                tf.setdefault(c, []).extend(t.split())
+        n = sum(k == d for k, _, _ in rows)
+        words = {w for t in tf.values() for w in t}
+        idf = {w: np.log((1 + n) / (1 + sum(w in t for t in tf.values()))) + 1 for w in words}
+        s = {}
+        for c, t in tf.items():
+            x = np.array([t.count(w) * idf[w] for w in set(t)])
+            s[c] = (x.sum() / np.sqrt((x * x).sum()) if len(x) else 0) + 1e-9
+        total = sum(s[c] for k, c, _ in rows if k == d)
+        assert all(abs(got[d, c] - s[c] / total) < 1e-12 for c in s)
