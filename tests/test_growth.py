@@ -1,8 +1,11 @@
 """Work that grew with the square of a group, or went to one task, and no longer does."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from disclore.functions import text
 from disclore.operators import density, fusion, pooling, records, tables
 
 
@@ -93,3 +96,12 @@ def test_words_are_shuffled_once(spark):
             s[c] = (x.sum() / np.sqrt((x * x).sum()) if len(x) else 0) + 1e-9
         total = sum(s[c] for k, c, _ in rows if k == d)
         assert all(abs(got[d, c] - s[c] / total) < 1e-12 for c in s)
+
+
+def test_signs_that_become_blanks_take_linear_time(spark):
+    n = 300_000
+    df = spark.createDataFrame([("x" + "\u00e9" * n + "y\u00e9\u00e9\n5 \u00a0|z\u00e9" + "\u0085\t",)], "a string")
+    start = time.time()
+    got = df.select(text.normalise_hebrew(F.col("a"))).first()[0]
+    assert got == "x" + " " * n + "y\n5  |z" or got == "x" + " " * n + "y   5  |z"
+    assert time.time() - start < 10
