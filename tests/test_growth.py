@@ -105,3 +105,27 @@ def test_signs_that_become_blanks_take_linear_time(spark):
     got = df.select(text.normalise_hebrew(F.col("a"))).first()[0]
     assert got == "x" + " " * n + "y\n5  |z" or got == "x" + " " * n + "y   5  |z"
     assert time.time() - start < 10
+
+
+def test_tree_looks_at_a_pair_of_blocks_once(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(150, 32))
+    points = tables.written(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "p long, v array<double>, w long"), "points")
+    met, plain = [], density._paired
+
+    def paired(pairs, state, columns):
+        met.append((pairs.count(), state.count()))
+        return plain(pairs, state, columns)
+
+    monkeypatch.setattr(density, "_paired", paired)
+    tree = density.spanning_tree(points, 3, block=30).collect()
+    d = density.distances(x, x)
+    core = np.sort(d, 1)[:, 3]
+    d = np.maximum(np.maximum(core[:, None], core[None]), d)
+    best, left, want = d[0].copy(), np.arange(150) > 0, []
+    while left.any():
+        now = int(np.where(left, best, np.inf).argmin())
+        want.append(best[now])
+        left[now], best = False, np.minimum(best, d[now])
+    assert sorted(r["weight"] for r in tree) == sorted(want)
+    blocks = met[0][1]
+    assert blocks >= 5 and sum(n for n, _ in met[1:]) <= blocks * (blocks - 1) // 2  # the first is of the core distances
