@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from disclore.functions import text
-from disclore.operators import density, fusion, pooling, records, tables
+from disclore.operators import density, fusion, pooling, ranks, records, tables
 
 
 def totals(spark):
@@ -129,3 +129,23 @@ def test_tree_looks_at_a_pair_of_blocks_once(spark, monkeypatch):
     assert sorted(r["weight"] for r in tree) == sorted(want)
     blocks = met[0][1]
     assert blocks >= 5 and sum(n for n, _ in met[1:]) <= blocks * (blocks - 1) // 2  # the first is of the core distances
+
+
+def test_medoids_in_many_dimensions_write_little(spark, monkeypatch):
+    for name, value in (("SMALL", 50), ("CANDIDATES", 4), ("TILE", 64)):
+        monkeypatch.setattr(ranks, name, value, raising=False)
+    x = np.random.default_rng(5).normal(size=(2, 200, 48))
+    df = spark.createDataFrame([(k, i, v.tolist()) for k, g in enumerate(x) for i, v in enumerate(g)], "k int, i int, v array<double>")
+    written, plain = [], ranks.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranks, "written", counted)
+    found, _ = ranks.medoids(df, "k", "i", "v")
+    got = {r["k"]: r["v"] for r in found.collect()}
+    for k, g in enumerate(x):
+        assert np.allclose(got[k], g[np.round(density.distances(g, g).sum(1), 9).argmin()])
+    assert sum(written) < 10 * 400  # rows, not one table of them a round
