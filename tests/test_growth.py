@@ -149,3 +149,13 @@ def test_medoids_in_many_dimensions_write_little(spark, monkeypatch):
     for k, g in enumerate(x):
         assert np.allclose(got[k], g[np.round(density.distances(g, g).sum(1), 9).argmin()])
     assert sum(written) < 10 * 400  # rows, not one table of them a round
+
+
+def test_files_of_pairs_are_small(spark, tmp_path):
+    a = spark.range(500).select(F.lit(3).alias("handle"), (F.col("id") * 7).alias("path"))
+    b = spark.range(4003).select(F.lit(3).alias("handle"), (F.col("id") * 11).alias("path"))
+    at = str(tmp_path / "pairs")
+    records.both_present(a, b).write.parquet(at)
+    got = spark.read.parquet(at).agg(F.count("*"), F.sum("path_a"), F.sum("path_b"), F.countDistinct("path_a", "path_b")).first()
+    assert tuple(got) == (500 * 4003, 7 * sum(range(500)) * 4003, 11 * sum(range(4003)) * 500, 500 * 4003)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 500 * 4003
