@@ -159,3 +159,12 @@ def test_files_of_pairs_are_small(spark, tmp_path):
     got = spark.read.parquet(at).agg(F.count("*"), F.sum("path_a"), F.sum("path_b"), F.countDistinct("path_a", "path_b")).first()
     assert tuple(got) == (500 * 4003, 7 * sum(range(500)) * 4003, 11 * sum(range(4003)) * 500, 500 * 4003)
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 500 * 4003
+
+
+def test_files_of_coassociation_are_small(spark, tmp_path):
+    df = spark.range(1500).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label_0"), (F.col("id") % 3).cast("int").alias("label_1"))
+    at = str(tmp_path / "pairs")
+    fusion.coassociation(df, ["label_0", "label_1"]).write.parquet(at)
+    rows, weight = spark.read.parquet(at).agg(F.count("*"), F.sum("weight")).first()
+    assert (rows, weight) == (6 * 250 * 1000 - 1500, 6 * 250 * (250 + 0.5 * 750) - 1500)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * rows
