@@ -168,3 +168,28 @@ def test_files_of_coassociation_are_small(spark, tmp_path):
     rows, weight = spark.read.parquet(at).agg(F.count("*"), F.sum("weight")).first()
     assert (rows, weight) == (6 * 250 * 1000 - 1500, 6 * 250 * (250 + 0.5 * 750) - 1500)
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * rows
+
+
+def test_tree_comes_from_the_nearest_points(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(170, 32))
+    x = np.concatenate([x, x[:1] + rng.normal(scale=1e-3, size=(30, 32))])  # a group that hides what is around it
+    points = tables.written(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "p long, v array<double>, w long"), "points")
+    met, plain = [], density._paired
+
+    def paired(pairs, state, columns):
+        met.append(pairs.count())
+        return plain(pairs, state, columns)
+
+    monkeypatch.setattr(density, "_paired", paired)
+    tree = density.spanning_tree(points, 3, block=20).collect()
+    d = density.distances(x, x)
+    core = np.sort(d, 1)[:, 3]
+    d = np.maximum(np.maximum(core[:, None], core[None]), d)
+    best, left, want = d[0].copy(), np.arange(200) > 0, []
+    while left.any():
+        now = int(np.where(left, best, np.inf).argmin())
+        want.append(best[now])
+        left[now], best = False, np.minimum(best, d[now])
+    assert np.allclose(sorted(r["weight"] for r in tree), sorted(want))
+    assert sum(met[1:]) < met[0] / 3  # the first pairs are those of the core distances
